@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,7 +29,16 @@ def _last(text: Column, n: Column | int) -> Column:
     return F.right(text, F.lit(n) if isinstance(n, int) else n)
 
 
+def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate `value` once and use it in `body`."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def mask_string(text: Column, mode: str = "balanced") -> Column:
+    return _bind(text, lambda t: _mask_string(t, mode))
+
+
+def _mask_string(text: Column, mode: str) -> Column:
     size = F.length(text)
     hidden = F.when(size <= 2, _stars(size))
     if mode == "strict":
@@ -46,26 +55,31 @@ def mask_string(text: Column, mode: str = "balanced") -> Column:
 
 
 def mask_email(text: Column) -> Column:
-    local = F.split_part(text, F.lit("@"), F.lit(1))
-    domain = F.split_part(text, F.lit("@"), F.lit(2))
-    local_out = F.when(F.length(local) > 1, F.concat(_first(local, 1), F.lit("***"))).otherwise(F.lit("*"))
-    domain_out = F.when(
-        F.contains(domain, F.lit(".")),
-        F.concat(
-            _first(F.split_part(domain, F.lit("."), F.lit(1)), 1),
-            F.lit("***."),
-            F.split_part(domain, F.lit("."), F.lit(-1)),
-        ),
-    ).otherwise(mask_string(domain))
-    return F.when(domain == "", mask_string(text)).otherwise(F.concat(local_out, F.lit("@"), domain_out))
+    def masked(parts: Column) -> Column:
+        local, domain = F.get(parts, F.lit(0)), F.coalesce(F.get(parts, F.lit(1)), F.lit(""))
+        local_out = F.when(F.length(local) > 1, F.concat(_first(local, 1), F.lit("***"))).otherwise(F.lit("*"))
+        domain_out = F.when(
+            F.contains(domain, F.lit(".")),
+            F.concat(
+                _first(F.substring_index(domain, ".", 1), 1), F.lit("***."), F.substring_index(domain, ".", -1)
+            ),
+        ).otherwise(mask_string(domain))
+        return F.when(domain == "", mask_string(F.array_join(parts, "@"))).otherwise(
+            F.concat(local_out, F.lit("@"), domain_out)
+        )
+
+    return _bind(F.split(text, "@"), masked)
 
 
 def mask_phone(text: Column, mask_short: bool = False) -> Column:
-    digits = F.regexp_replace(text, "[^0-9]", "")
     shortest = 5 if mask_short else 4
-    return F.when(F.length(digits) < shortest, _stars(F.length(text))).otherwise(
-        F.concat(_stars(F.length(digits) - 4), _last(digits, 4))
-    )
+
+    def masked(digits: Column) -> Column:
+        return F.when(F.length(digits) < shortest, _stars(F.length(text))).otherwise(
+            F.concat(_stars(F.length(digits) - 4), _last(digits, 4))
+        )
+
+    return _bind(F.regexp_replace(text, "[^0-9]", ""), masked)
 
 
 def mask_number(text: Column, mask_short: bool = False) -> Column:

@@ -181,8 +181,12 @@ def detect_mask(path: Column, value: Column, custom: Sequence[str] = ()) -> Colu
 
 
 def hints_of(mask: Column, custom: Sequence[str] = ()) -> Column:
-    """Spell a mask out as an array of hint names, in report order."""
-    return F.array_compact(F.array(*[F.when(has_hint(mask, h, custom), F.lit(h)) for h in hint_order(custom)]))
+    """Spell a mask out as an array of hint names, in report order. The mask is evaluated once."""
+
+    def spelled(m: Column) -> Column:
+        return F.array_compact(F.array(*[F.when(has_hint(m, h, custom), F.lit(h)) for h in hint_order(custom)]))
+
+    return F.element_at(F.transform(F.array(mask), spelled), 1)
 
 
 def detect_pii(path: Column, value: Column, custom: Sequence[str] = ()) -> Column:

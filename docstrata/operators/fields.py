@@ -394,14 +394,8 @@ def pii_scan(paths: DataFrame, totals: DataFrame, options: ProfileOptions = Prof
     custom = options.pii_patterns
     names = pii.hint_order(custom)
     value = F.when(F.col("type") == "string", F.col("text"))
-    rows = field_rows(paths).withColumn("mask", pii.value_hint_mask(value, custom))
-    value_names = list(dict.fromkeys(hint for _, hint in pii.VALUE_PATTERNS))
-    hit = rows.where("mask <> 0").select(
-        "collection", "doc_id", "path", "solo",
-        F.explode(F.array_compact(F.array(*[
-            F.when(pii.has_hint(F.col("mask"), h, custom), F.lit(h)) for h in value_names
-        ]))).alias("hint"),
-    )
+    hits = pii.hints_of(pii.value_hint_mask(value, custom), custom)
+    hit = field_rows(paths).select("collection", "doc_id", "path", "solo", F.explode(hits).alias("hint"))
     repeated = F.when(~F.col("solo"), F.col("doc_id"))
     by_value = hit.groupBy(*FIELD, "hint").agg(
         (F.count_if("solo") + F.count_distinct(repeated)).alias("docs_hit")

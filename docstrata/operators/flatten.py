@@ -58,11 +58,16 @@ def _get(v: str, type_: str, at: str = "$") -> str:
     return f"try_variant_get({v}, '{at}', '{type_}')"
 
 
-def _extended_key(v: str, s: str) -> str:
+def _is_wrapper(s: str) -> str:
+    """SQL: does this schema text describe an Extended JSON value, i.e. one known key alone?"""
+    keys = "|".join(k[1:] for k in EXTENDED_TAGS)
+    shape = rf"\\AOBJECT<`\\$(?:{keys})`: (?:[A-Z0-9_(),]+|OBJECT<[^<>]*>)>\\z"
+    return f"(startswith({s}, 'OBJECT<`$') and {s} rlike '{shape}')"
+
+
+def _extended_key(s: str) -> str:
     """SQL: the wrapper key of an Extended JSON value, NULL for any other value."""
-    keys = f"map_keys({_get(v, 'map<string,variant>')})"
-    known = ", ".join(f"'{k}'" for k in EXTENDED_TAGS)
-    return f"if(startswith({s}, 'OBJECT<`$') and size({keys}) = 1 and {keys}[0] in ({known}), {keys}[0], null)"
+    return f"if({_is_wrapper(s)}, regexp_extract({s}, '`([^`]*)`', 1), null)"
 
 
 def _as_long(v: str, s: str) -> str:
@@ -93,7 +98,7 @@ def _tag_case(s: str, b: str, d: str, extended_key: str, typed_decimals: bool) -
 
 def type_tag(v: str, s: str, options: ProfileOptions, extended_json: bool = True) -> str:
     """SQL: type tag of the VARIANT `v` whose `schema_of_variant` text is `s`."""
-    key = _extended_key(v, s) if extended_json else "cast(null as string)"
+    key = _extended_key(s) if extended_json else "cast(null as string)"
     return _tag_case(s, _as_long(v, s), _as_double(v, s), key, options.typed_decimals)
 
 
@@ -171,7 +176,7 @@ class _Chain:
         marker_path = f"if(path = '', '{WILDCARD}', concat(path, '.{WILDCARD}'))"
         is_open = "(startswith(es, 'OBJECT') or startswith(es, 'ARRAY'))"
         if self.extended:
-            is_open = f"({is_open} and {_extended_key('value', 'es')} is null)"
+            is_open = f"({is_open} and not {_is_wrapper('es')})"
         kind = str(VALUE)
         if depth > o.max_depth:
             # Array elements are depth-checked only when they are plain containers.
@@ -205,7 +210,7 @@ class _Chain:
 
     def described(self, state: DataFrame) -> DataFrame:
         """Type tag, printed form and size; the values they share are read once, one step earlier."""
-        key = _extended_key("w", "s") if self.extended else "cast(null as string)"
+        key = _extended_key("s") if self.extended else "cast(null as string)"
         named = f"startswith(s, 'OBJECT') and kind = {VALUE}"
         read = state.selectExpr(
             "*",
@@ -264,10 +269,14 @@ def _could_exceed(options: ProfileOptions) -> str:
     nested = f"regexp_replace({schema}, '[^<>]', '')"
     for _ in range(levels):
         nested = f"replace({nested}, '<>', '')"
-    # Quoted keys could contain brackets, and a VARIANT element type hides what lies below it.
-    unclear = f"contains({schema}, '`') or contains({schema}, 'VARIANT')"
+    # Quoted keys could contain brackets, and a VARIANT element type hides what lies below it;
+    # then only the number of opening brackets in the text bounds the depth.
+    unclear = (
+        f"if(contains({schema}, '`') or contains({schema}, 'VARIANT'), "
+        f"length({text}) - length(translate({text}, '[{{', '')) > {levels}, false)"
+    )
     few_brackets = f"{schema} rlike '\\\\A[^<]*(?:<[^<]*){{0,{levels}}}\\\\z'"
-    deep = f"{unclear} or if({few_brackets}, false, {nested} <> '')"
+    deep = f"({unclear} or if({few_brackets}, false, {nested} <> ''))"
     return f"coalesce({wide} or {deep}, false)"
 
 
@@ -285,16 +294,23 @@ def flatten_documents(
     cut), solo (no other row of this document can have this path), keys_refused, depth_cut.
     Marker rows are returned only with `markers`, but always count towards the key budget.
     If the documents carry a boolean column `complex` (see `classify`), it replaces the check.
+    Whether any complex document exists is looked up once, stopping at the first one, so that
+    collections without any are read by the plain chain alone.
     """
     if "complex" not in documents.columns:
         documents = classify(documents, options)
+    kept = ["collection", "doc_id", "path", "pos", "depth", "type", "text", "size", "kind", "solo"]
+    if documents.where("complex").isEmpty():
+        plain = _Chain(options, raw_paths, extended_json, ranked=False, markers=markers).run(
+            documents, min(PLAIN_LEVELS, options.max_depth + 1)
+        )
+        return plain.selectExpr(*kept, "0L as keys_refused", f"cast(kind = {CUT} as int) as depth_cut")
     plain = _Chain(options, raw_paths, extended_json, ranked=False, markers=markers).run(
         documents.where("not complex"), min(PLAIN_LEVELS, options.max_depth + 1)
     )
     ranked = _Chain(options, raw_paths, extended_json, ranked=True, markers=True).run(
         documents.where("complex"), options.max_depth + 1
     )
-    kept = ["collection", "doc_id", "path", "pos", "depth", "type", "text", "size", "kind", "solo"]
     plain = plain.selectExpr(*kept, "0L as keys_refused", f"cast(kind = {CUT} as int) as depth_cut")
     within = _within_budget(ranked, options.max_keys_per_doc)
     if not markers:

@@ -169,10 +169,10 @@ def field_hints(name: str = "fh", source: str = "fields_rows") -> str:
 
 def examples(name: str = "ex", k: int = 3) -> str:
     """CTE of the first k distinct shown values per type; needs `rendered`."""
-    return f"""{name}_first as (select collection, path, type, shown, min((doc_id, id)) as at from rendered group by 1, 2, 3, 4),
-{name} as (select *, row_number() over (partition by collection, path, type order by at, shown) as rank from {name}_first
- qualify row_number() over (partition by collection, path, type order by at, shown) <= {k}),
-{name}_type as (select *, min(at) over (partition by collection, path, type) as type_at from {name}),
+    return f"""{name}_first as (select collection, path, type, shown, min((doc_id, id)) as seen_at from rendered group by 1, 2, 3, 4),
+{name} as (select *, row_number() over (partition by collection, path, type order by seen_at, shown) as rank from {name}_first
+ qualify row_number() over (partition by collection, path, type order by seen_at, shown) <= {k}),
+{name}_type as (select *, min(seen_at) over (partition by collection, path, type) as type_at from {name}),
 {name}_list as (select collection, path, list(shown order by type_at, rank) as shown_list from {name}_type group by 1, 2)"""
 
 
