@@ -334,11 +334,15 @@ def array_element_types(paths: DataFrame) -> DataFrame:
 def truncation_counters(paths: DataFrame, options: ProfileOptions = ProfileOptions()) -> DataFrame:
     """Truncated depths, keys and arrays per collection; the NULL collection is the total."""
     capped = (F.col("type") == "array") & (F.col("kind") == VALUE) & (F.col("size") > options.max_array_sample)
-    return paths.rollup("collection").agg(
+    per_collection = paths.groupBy("collection").agg(
         F.sum(F.col("depth_cut").cast("bigint")).alias("depth_truncated"),
         F.sum("keys_refused").alias("keys_truncated"),
         F.count_if(capped).alias("arrays_truncated"),
     )
+    # The total is added up from one row per collection, so path rows are not expanded.
+    return per_collection.rollup("collection").agg(
+        *[F.sum(c).alias(c) for c in ("depth_truncated", "keys_truncated", "arrays_truncated")]
+    )
 
 
 def partial_profile(paths: DataFrame) -> DataFrame:

@@ -4,8 +4,8 @@ Documents are expanded in place by a chain of `variant_explode` steps, one per
 nesting level: each step replaces an open container by itself plus its direct
 children. The chain is narrow (no shuffle), and unused output columns are pruned
 through it. Documents that may exceed the per-document key budget, or nest deeper
-than `PLAIN_LEVELS`, take a second, longer chain where the rows of one document
-are ranked in pre-order; all others skip that ranking.
+than `PLAIN_LEVELS`, take a second chain where the rows of one document are ranked
+in pre-order; all others skip that ranking.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from docstrata.options import ProfileOptions
 
 VALUE, MARKER, CUT = 0, 1, 2
 
-# Nesting levels unrolled for ordinary documents.
+# Deepest nesting of documents that are expanded without ranking.
 PLAIN_LEVELS = 7
 # Levels analysed together; more would exceed the analyzer's iteration limit.
 LEVELS_PER_STATEMENT = 4
@@ -259,25 +259,39 @@ class _Chain:
         return documents.sparkSession.sql(statement, documents=documents)
 
 
-def _could_exceed(options: ProfileOptions) -> str:
-    """SQL: may this document need the key budget or more than the plain levels? Never misses one."""
-    cap, levels = options.max_keys_per_doc, min(PLAIN_LEVELS, options.max_depth + 1)
-    text, schema = "cast(v as string)", "schema_of_variant(v)"
-    # Every row costs a separator or an opening bracket, and brings at most one marker with it.
-    rows = f"2 * (length({text}) - length(translate({text}, ',[{{', ''))) + 2"
-    wide = f"if(length({text}) <= {cap}, false, {rows} > {cap})"
-    nested = f"regexp_replace({schema}, '[^<>]', '')"
-    for _ in range(levels):
+def _let(name: str, value: str, body: str) -> str:
+    """SQL: evaluate `value` once and use it as `name` in `body`."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def _levels_needed(options: ProfileOptions) -> str:
+    """SQL: levels needed to expand document `v`; negative if its rows must be ranked.
+
+    Never too few: the depth is read off the schema text, or, where that hides something (a
+    VARIANT element type, quoted keys), bounded by the number of opening brackets.
+    """
+    nested, depth = "n", []
+    for _ in range(PLAIN_LEVELS + 1):
+        depth.append(f"cast({nested} <> '' as int)")
         nested = f"replace({nested}, '<>', '')"
-    # Quoted keys could contain brackets, and a VARIANT element type hides what lies below it;
-    # then only the number of opening brackets in the text bounds the depth.
-    unclear = (
-        f"if(contains({schema}, '`') or contains({schema}, 'VARIANT'), "
-        f"length({text}) - length(translate({text}, '[{{', '')) > {levels}, false)"
-    )
-    few_brackets = f"{schema} rlike '\\\\A[^<]*(?:<[^<]*){{0,{levels}}}\\\\z'"
-    deep = f"({unclear} or if({few_brackets}, false, {nested} <> ''))"
-    return f"coalesce({wide} or {deep}, false)"
+    exact = f"if({nested} = '', {' + '.join(depth)}, length(n) div 2)"
+    exact = _let("n", "regexp_replace(s, '[^<>]', '')", exact)
+    opens = "length(t) - length(translate(t, '[{', ''))"
+    bound = f"if(contains(s, '`') or contains(s, 'VARIANT'), {opens}, {exact})"
+    # Every row costs a separator or an opening bracket, and brings at most one marker with it.
+    rows = "2 * (length(t) - length(translate(t, ',[{', ''))) + 2"
+    cap = options.max_keys_per_doc
+    ranked = f"if(length(t) <= {cap}, false, {rows} > {cap}) or d > {PLAIN_LEVELS}"
+    levels = _let("d", f"cast(greatest(1, least({bound}, {options.max_depth + 1})) as int)", f"if({ranked}, -d, d)")
+    return _let("x", "v", _let("s", "schema_of_variant(x)", _let("t", "cast(x as string)", levels)))
+
+
+def classify(documents: DataFrame, options: ProfileOptions = ProfileOptions()) -> DataFrame:
+    """Add `levels`: how far each document must be expanded, negative where rows need ranking.
+
+    Stored with the documents, it saves `flatten_documents` its own look at them.
+    """
+    return documents.withColumn("levels", F.expr(_levels_needed(options)))
 
 
 def flatten_documents(
@@ -293,34 +307,33 @@ def flatten_documents(
     document), depth, type, text, size, kind (0 value, 1 array-element-type marker, 2 depth
     cut), solo (no other row of this document can have this path), keys_refused, depth_cut.
     Marker rows are returned only with `markers`, but always count towards the key budget.
-    If the documents carry a boolean column `complex` (see `classify`), it replaces the check.
-    Whether any complex document exists is looked up once, stopping at the first one, so that
-    collections without any are read by the plain chain alone.
+
+    One aggregate over the documents (see `classify`) fixes how many levels are unrolled, so the
+    plan is as long as the deepest ordinary document and no longer.
     """
-    if "complex" not in documents.columns:
+    if "levels" not in documents.columns:
         documents = classify(documents, options)
-    kept = ["collection", "doc_id", "path", "pos", "depth", "type", "text", "size", "kind", "solo"]
-    if documents.where("complex").isEmpty():
-        plain = _Chain(options, raw_paths, extended_json, ranked=False, markers=markers).run(
-            documents, min(PLAIN_LEVELS, options.max_depth + 1)
-        )
-        return plain.selectExpr(*kept, "0L as keys_refused", f"cast(kind = {CUT} as int) as depth_cut")
-    plain = _Chain(options, raw_paths, extended_json, ranked=False, markers=markers).run(
-        documents.where("not complex"), min(PLAIN_LEVELS, options.max_depth + 1)
-    )
-    ranked = _Chain(options, raw_paths, extended_json, ranked=True, markers=True).run(
-        documents.where("complex"), options.max_depth + 1
-    )
-    plain = plain.selectExpr(*kept, "0L as keys_refused", f"cast(kind = {CUT} as int) as depth_cut")
-    within = _within_budget(ranked, options.max_keys_per_doc)
-    if not markers:
-        within = within.where(F.col("kind") != MARKER)
-    return plain.unionByName(within.select(*plain.columns))
+    levels = F.col("levels")
+    deepest, ranked_deepest = documents.agg(F.max(F.when(levels > 0, levels)), F.max(F.when(levels < 0, -levels))).first()
 
+    def chain(docs: DataFrame, depth: int, ranked: bool) -> DataFrame:
+        return _Chain(options, raw_paths, extended_json, ranked, markers or ranked).run(docs, depth)
 
-def classify(documents: DataFrame, options: ProfileOptions = ProfileOptions()) -> DataFrame:
-    """Add the `complex` flag; store it with the documents to pay for it once."""
-    return documents.withColumn("complex", F.expr(_could_exceed(options)))
+    kept = ["collection", "doc_id", "path", "pos", "depth", "type", "text", "size", "kind", "solo"]
+    rows = []
+    if deepest or not ranked_deepest:
+        docs = documents.where(levels > 0) if ranked_deepest else documents
+        plain = chain(docs, deepest or 1, ranked=False)
+        rows.append(plain.selectExpr(*kept, "0L as keys_refused", f"cast(kind = {CUT} as int) as depth_cut"))
+    if ranked_deepest:
+        within = _within_budget(chain(documents.where(levels < 0), ranked_deepest, ranked=True), options.max_keys_per_doc)
+        if not markers:
+            within = within.where(F.col("kind") != MARKER)
+        rows.append(within.select(*kept, "keys_refused", "depth_cut"))
+    union = rows[0]
+    for more in rows[1:]:
+        union = union.unionByName(more)
+    return union
 
 
 def _within_budget(rows: DataFrame, cap: int) -> DataFrame:

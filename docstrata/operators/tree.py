@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docstrata.functions.paths import WILDCARD, split_path
+from docstrata.session import cut_lineage
 
 _SEPARATOR = "\x01"
 
@@ -48,7 +49,8 @@ def field_tree(fields: DataFrame) -> DataFrame:
     best = ways.groupBy("collection", _node_key(F.col("segments")).alias("node")).agg(
         F.min(F.struct("lifts", "segments", "raw", "has_field")).alias("way")
     )
-    best = best.select("collection", "node", "way.*")
+    # One row per field from here on, and read several times.
+    best = cut_lineage(best.select("collection", "node", "way.*"))
     # A way survives if each of its ancestors was chosen by the same way.
     steps = F.transform(
         F.sequence(F.lit(1), F.size("segments")),
@@ -65,7 +67,7 @@ def field_tree(fields: DataFrame) -> DataFrame:
         .agg(F.bool_and(F.col("lifts_above") == F.col("lifts_chosen")).alias("kept"))
         .where("kept")
     )
-    nodes = best.join(kept.select("collection", "node"), ["collection", "node"], "left_semi")
+    nodes = cut_lineage(best.join(kept.select("collection", "node"), ["collection", "node"], "left_semi"))
     nodes = nodes.join(subtree_rows(nodes), ["collection", "node"], "left")
     return nodes.select(
         "collection",

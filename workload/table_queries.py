@@ -6,6 +6,7 @@ import datetime as dt
 import tempfile
 from dataclasses import replace
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from docstrata.functions import paths as P
@@ -19,18 +20,19 @@ from docstrata.operators import sampling as S
 from docstrata.operators import tree as N
 from docstrata.operators import variants as V
 from docstrata.operators.flatten import flatten_documents
+from docstrata.session import cut_lineage
 from docstrata.sources import readers, store
 from docstrata.sources.fixtures import TABLES, fixture, table
 from workload import oracle as O
 from workload.registry import OPTIONS, documents, paths_of, query
 
 AS_OF = dt.datetime(2024, 1, 31)
-NO_EXAMPLES = {"examples": False}
 
 
 def profile(spark, sf, *names, examples=False, options=OPTIONS):
+    """A profile stored once: one row per field, read several times by what follows."""
     docs = documents(spark, sf, *names)
-    return A.profile_collection(flatten_documents(docs, options), A.document_counts(docs), options, examples)
+    return cut_lineage(A.profile_collection(flatten_documents(docs, options), A.document_counts(docs), options, examples))
 
 
 # --- samples and filters -----------------------------------------------------------------------
@@ -153,8 +155,12 @@ _ALL = ("mixed_docs", "contact_docs", "order_docs")
 _FIELDS = f"with {O.flat(*_ALL)}, names as (select distinct collection, path from ({O.FIELD_ROWS}) r)"
 
 
+def _field_names(spark, sf, *names):
+    return cut_lineage(A.field_rows(paths_of(spark, sf, *names)).select("collection", "path").distinct())
+
+
 def _fields(spark, sf):
-    return A.field_rows(paths_of(spark, sf, *_ALL)).select("collection", "path").distinct()
+    return _field_names(spark, sf, *_ALL)
 
 
 _CANDIDATES = f"""cands as (select collection || '.' || path as candidate, {O.last_segment('path')} as name from names
@@ -262,7 +268,7 @@ def top_fields_by_presence(spark, sf):
 select collection, path, 'Said of ' || replace(path, '.[*].', '.*.') as description from names"""
 )
 def apply_descriptions(spark, sf):
-    fields = A.field_rows(paths_of(spark, sf, "order_docs")).select("collection", "path").distinct()
+    fields = _field_names(spark, sf, "order_docs")
     loose = F.replace("path", F.lit(".[*]."), F.lit(".*."))
     older = fields.select("collection", "path", F.lit("older").alias("description"), F.lit(1).alias("seq"))
     newer = fields.select("collection", loose.alias("path"), F.concat(F.lit("Said of "), loose).alias("description"), F.lit(2).alias("seq"))
@@ -277,8 +283,7 @@ inputs as (select f.collection, f.path,
 
 
 def _inputs(spark, sf, *names):
-    docs = documents(spark, sf, *names)
-    fields = A.profile_collection(flatten_documents(docs, OPTIONS), A.document_counts(docs), OPTIONS)
+    fields = profile(spark, sf, *names, examples=True)
     return D.description_inputs(fields, K.fk_context(fields, K.fk_candidates(fields)))
 
 
@@ -343,9 +348,8 @@ select s.collection, s.field_count, t.docs as sample_count, string_agg(f.path, '
 from summary s join fields_totals t using (collection) join firsts f using (collection) where f.r <= 20 group by 1, 2, 3, 5"""
 )
 def summary_inputs(spark, sf):
-    docs = documents(spark, sf, "contact_docs", "order_docs")
-    totals = A.document_counts(docs)
-    fields = A.profile_collection(flatten_documents(docs, OPTIONS), totals, OPTIONS, examples=False)
+    totals = A.document_counts(documents(spark, sf, "contact_docs", "order_docs"))
+    fields = profile(spark, sf, "contact_docs", "order_docs")
     found = D.summary_inputs(fields, totals)
     return found.select(
         "collection", "field_count", "sample_count", F.array_join("first_paths", ", ").alias("first_paths"),
@@ -369,9 +373,8 @@ def default_descriptions(spark, sf):
 select collection, collection || ' 컬렉션이다. ' || count(*) || '개의 필드로 구성되어 있다.' as summary from fields group by 1"""
 )
 def default_summaries(spark, sf):
-    docs = documents(spark, sf, *_ALL)
-    totals = A.document_counts(docs)
-    fields = A.profile_collection(flatten_documents(docs, OPTIONS), totals, OPTIONS, examples=False)
+    totals = A.document_counts(documents(spark, sf, *_ALL))
+    fields = profile(spark, sf, *_ALL)
     return D.default_summaries(D.summary_inputs(fields, totals))
 
 
@@ -386,8 +389,7 @@ from fields_totals t join f using (collection) join v using (collection) left jo
 def collection_overview(spark, sf):
     docs = documents(spark, sf, *_ALL)
     totals = A.document_counts(docs)
-    paths = flatten_documents(docs, OPTIONS)
-    fields = A.profile_collection(paths, totals, OPTIONS, examples=False)
+    fields = profile(spark, sf, *_ALL)
     hits = A.pii_fields(fields).select("collection", "pii_field_count")
     run = totals.select("collection", F.col("docs").alias("sampled"), F.lit(False).alias("fallback"))
     warnings = A.collection_warnings(run.join(hits, "collection", "left"))
@@ -441,13 +443,13 @@ spans as (select n.collection, n.full_path, count(*) as rowspan from nodes n joi
 select collection, full_path, segment, depth, true as has_field from nodes"""
 )
 def field_tree(spark, sf):
-    tree = N.field_tree(A.field_rows(paths_of(spark, sf, "order_docs", "contact_docs")).select("collection", "path").distinct())
+    tree = N.field_tree(_field_names(spark, sf, "order_docs", "contact_docs"))
     return tree.select("collection", "full_path", "segment", F.col("depth").cast("bigint").alias("depth"), "has_field")
 
 
 @query(f"with {O.flat('order_docs', 'deep_docs')}, {_NODES} select collection, full_path, rowspan from spans")
 def subtree_rows(spark, sf):
-    tree = N.field_tree(A.field_rows(paths_of(spark, sf, "order_docs", "deep_docs")).select("collection", "path").distinct())
+    tree = N.field_tree(_field_names(spark, sf, "order_docs", "deep_docs"))
     return tree.select("collection", "full_path", F.col("rowspan").cast("bigint").alias("rowspan"))
 
 
@@ -457,9 +459,7 @@ select collection, full_path, row_number() over (partition by collection order b
 from nodes"""
 )
 def tree_preorder(spark, sf):
-    tree = N.field_tree(A.field_rows(paths_of(spark, sf, "order_docs", "contact_docs")).select("collection", "path").distinct())
-    from pyspark.sql import Window
-
+    tree = N.field_tree(_field_names(spark, sf, "order_docs", "contact_docs"))
     place = F.row_number().over(Window.partitionBy("collection").orderBy("order_key", "full_path"))
     return N.tree_preorder(tree).select("collection", "full_path", place.cast("bigint").alias("place"))
 
@@ -510,7 +510,7 @@ def variant_report(spark, sf):
 p as (select collection, string_agg(path, ', ' order by {O.path_key('path')}, path) as paths from fh_text group by 1),
 capped as (select count(*) as n from flat where type = 'array' and size > 2)
 select 'options' as section, 1 as position, 'Strategy: random' as line union all select 'options', 2, 'Sample Size: 100'
-union all select 'options', 3, 'Redaction: pii' union all select 'options', 4, 'Max Depth: 8'
+union all select 'options', 3, 'Redaction: pii' union all select 'options', 4, 'Max Depth: 9'
 union all select 'collections', 1, 'Collections: ' || count(distinct collection) from flat_docs
 union all select 'truncation', 3, 'Arrays truncated: ' || n || ' arrays exceeded sample limit' from capped where n > 0
 union all select 'warnings', row_number() over (order by {O.natural_key('collection')}, collection), '[' || collection || '] PII-suspected fields detected: ' || paths from p"""
@@ -527,14 +527,12 @@ def overview_report(spark, sf):
 # --- names, paths and short texts --------------------------------------------------------------
 
 
-@query(f"select p_name, p_partkey, row_number() over (order by {O.natural_key('p_name')}, p_name, p_partkey) as place from part")
+@query(f"select p_partkey, p_name, {O.natural_key('p_name')} as sort_key, {O.natural_key('p_brand')} as brand_key from part")
 def natural_sort(spark, sf):
-    parts = table(spark, sf, "part").select("p_name", "p_partkey", P.natural_key(F.col("p_name")).alias("k"))
-    from pyspark.sql import Window
-
-    # A global rank is what this report shows; the table is sorted once by the key.
-    place = F.row_number().over(Window.orderBy("k", "p_name", "p_partkey"))
-    return parts.select("p_name", "p_partkey", place.cast("bigint").alias("place"))
+    parts = table(spark, sf, "part").select(
+        "p_partkey", "p_name", P.natural_key(F.col("p_name")).alias("sort_key"), P.natural_key(F.col("p_brand")).alias("brand_key")
+    )
+    return parts.orderBy("brand_key", "sort_key", "p_partkey")
 
 
 @query(f"{_FIELDS} select collection, string_agg(path, ' ' order by {O.path_key('path')}, path) as sorted from names group by 1")
@@ -615,9 +613,10 @@ def preview_text(spark, sf):
 def format_counts(spark, sf):
     docs = table(spark, sf, "documents")
     per_lang = docs.groupBy("lang").agg(F.sum("n_chars").alias("chars"), F.count(F.lit(1)).alias("n"))
-    total = docs.agg(F.count(F.lit(1)).alias("total"))
-    return per_lang.join(F.broadcast(total)).select(
-        "lang", X.format_count(F.col("chars")).alias("chars"), X.percent(F.col("n") / F.col("total")).alias("share")
+    # One row per language is left here.
+    total = F.sum("n").over(Window.partitionBy())
+    return per_lang.select(
+        "lang", X.format_count(F.col("chars")).alias("chars"), X.percent(F.col("n") / total).alias("share")
     )
 
 
