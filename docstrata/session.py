@@ -40,3 +40,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="run-")
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def spread_small(df: DataFrame) -> DataFrame:
+    """Give a table scan at least one partition per core.
+
+    Expanding documents costs far more than moving them, and a small file is one partition. Scans
+    that already have enough partitions, as any large table does, are left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from docstrata.session import spread_small
 from docstrata.sources.readers import documents_from_json
 
 MIXED = """
@@ -99,9 +100,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def spread_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table whose rows are documents or texts, i.e. expensive per row."""
+    return spread_small(table(spark, folder, name))
+
+
 def fixture(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """documents(collection, doc_id, v) of a fixture collection."""
-    sources = {t: table(spark, folder, t) for t in ("events", "orders", "customer", "nation")}
+    used = [t for t in ("events", "orders", "customer", "nation") if f"from {t}" in STATEMENTS[name] or f"join {t}" in STATEMENTS[name]]
+    sources = {t: spread_table(spark, folder, t) if f"from {t}" in STATEMENTS[name] else table(spark, folder, t) for t in used}
     return documents_from_json(_run(spark, STATEMENTS[name], sources), name, "doc_id", "j")
 
 
@@ -111,5 +118,4 @@ def _run(spark: SparkSession, statement: str, sources: dict[str, DataFrame]) ->
     for t in sources:
         for word in ("from", "join"):
             statement = statement.replace(f"{word} {t}", f"{word} {{{t}}}")
-    used = {t: df for t, df in sources.items() if f"{{{t}}}" in statement}
-    return spark.sql(statement, **used)
+    return spark.sql(statement, **sources)

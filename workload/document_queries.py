@@ -10,7 +10,7 @@ from docstrata.functions import masks, paths as P, pii, text as X
 from docstrata.operators import fields as A
 from docstrata.operators import variants as V
 from docstrata.operators.flatten import normalize_wildcards, value_type
-from docstrata.sources.fixtures import table
+from docstrata.sources.fixtures import spread_table, table
 from docstrata.sources.readers import documents_from_table
 from workload import oracle as O
 from workload.registry import OPTIONS, documents, paths_of, query
@@ -469,7 +469,7 @@ def pii_scan(spark, sf):
     .replace("select collection, count(*) as docs", "select 'documents' as collection, count(*) as docs")
 )
 def pii_scan_documents(spark, sf):
-    docs = documents_from_table(table(spark, sf, "documents"), "documents", "doc_id")
+    docs = documents_from_table(spread_table(spark, sf, "documents"), "documents", "doc_id")
     from docstrata.operators.flatten import flatten_documents
 
     found = A.pii_scan(flatten_documents(docs, OPTIONS), A.document_counts(docs), OPTIONS)
@@ -521,7 +521,7 @@ def mask_string_balanced(spark, sf):
 
 @query(f"select doc_id, {O.mask_string('text', strict=True)} as masked, {O.mask_string('lang', strict=True)} as lang from documents")
 def mask_string_strict(spark, sf):
-    return table(spark, sf, "documents").select(
+    return spread_table(spark, sf, "documents").select(
         "doc_id", masks.mask_string(F.col("text"), "strict").alias("masked"), masks.mask_string(F.col("lang"), "strict").alias("lang")
     )
 
@@ -597,17 +597,17 @@ def _redact_sql(x: str) -> str:
 
 @query(f"select doc_id, {_redact_sql('text')} as redacted from documents")
 def redact_text_documents(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", X.redact_text(F.col("text")).alias("redacted"))
+    return spread_table(spark, sf, "documents").select("doc_id", X.redact_text(F.col("text")).alias("redacted"))
 
 
 @query(f"select conv_id, turn, role, {_redact_sql('text')} as redacted from conversations")
 def redact_text_conversations(spark, sf):
-    return table(spark, sf, "conversations").select("conv_id", "turn", "role", X.redact_text(F.col("text")).alias("redacted"))
+    return spread_table(spark, sf, "conversations").select("conv_id", "turn", "role", X.redact_text(F.col("text")).alias("redacted"))
 
 
 @query(f"select page_id, {_redact_sql('html')} as redacted from pages")
 def redact_text_pages(spark, sf):
-    return table(spark, sf, "pages").select("page_id", X.redact_text(F.col("html")).alias("redacted"))
+    return spread_table(spark, sf, "pages").select("page_id", X.redact_text(F.col("html")).alias("redacted"))
 
 
 @query(
@@ -615,7 +615,7 @@ def redact_text_pages(spark, sf):
  regexp_replace(url, '//[^:]+:[^@]+@', '//***:***@') as url from pages"""
 )
 def redact_uri_credentials(spark, sf):
-    pages = table(spark, sf, "pages")
+    pages = spread_table(spark, sf, "pages")
     uri = F.replace("url", F.lit("://"), F.concat(F.lit("://user"), F.col("page_id").cast("string"), F.lit(":pw@")))
     return pages.select(
         "page_id", X.redact_uri_credentials(uri).alias("uri"), X.redact_uri_credentials(F.col("url")).alias("url")

@@ -22,7 +22,7 @@ from docstrata.operators import variants as V
 from docstrata.operators.flatten import flatten_documents
 from docstrata.session import cut_lineage
 from docstrata.sources import readers, store
-from docstrata.sources.fixtures import TABLES, fixture, table
+from docstrata.sources.fixtures import TABLES, fixture, spread_table, table
 from workload import oracle as O
 from workload.registry import OPTIONS, documents, paths_of, query
 
@@ -546,12 +546,12 @@ _ESC = r"replace(replace(replace({x}, '\', '\\'), '.', '\.'), '$', '\$')"
 
 @query(f"select doc_id, {_ESC.format(x='text')} as escaped from documents")
 def escape_key(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", P.escape_key(F.col("text")).alias("escaped"))
+    return spread_table(spark, sf, "documents").select("doc_id", P.escape_key(F.col("text")).alias("escaped"))
 
 
 @query("select doc_id, text as unescaped from documents")
 def unescape_key(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", P.unescape_key(P.escape_key(F.col("text"))).alias("unescaped"))
+    return spread_table(spark, sf, "documents").select("doc_id", P.unescape_key(P.escape_key(F.col("text"))).alias("unescaped"))
 
 
 @query(
@@ -560,14 +560,14 @@ def unescape_key(spark, sf):
 )
 def split_path(spark, sf):
     segments = P.split_path(F.col("url"))
-    return table(spark, sf, "pages").select(
+    return spread_table(spark, sf, "pages").select(
         "page_id", F.array_join(segments, "|").alias("segments"), F.size(segments).cast("bigint").alias("n")
     )
 
 
 @query("select page_id, array_to_string(list_filter(string_split(url, '/'), lambda s: s <> ''), '.') as joined from pages")
 def join_path(spark, sf):
-    return table(spark, sf, "pages").select("page_id", P.join_path(F.split("url", "/")).alias("joined"))
+    return spread_table(spark, sf, "pages").select("page_id", P.join_path(F.split("url", "/")).alias("joined"))
 
 
 @query(
@@ -586,7 +586,7 @@ def array_index_ops(spark, sf):
 @query("select doc_id, sha256(text) as sha256, left(sha256(text), 8) as short_hash from documents")
 def short_hash(spark, sf):
     digest = F.sha2("text", 256)
-    return table(spark, sf, "documents").select("doc_id", digest.alias("sha256"), F.left(digest, F.lit(8)).alias("short_hash"))
+    return spread_table(spark, sf, "documents").select("doc_id", digest.alias("sha256"), F.left(digest, F.lit(8)).alias("short_hash"))
 
 
 @query(
@@ -603,7 +603,7 @@ def format_diff(spark, sf):
 
 @query(f"select doc_id, {O.preview('text')} as preview from documents")
 def preview_text(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", X.preview_text(F.col("text")).alias("preview"))
+    return spread_table(spark, sf, "documents").select("doc_id", X.preview_text(F.col("text")).alias("preview"))
 
 
 @query(
@@ -611,7 +611,7 @@ def preview_text(spark, sf):
  {O.percent('count(*) / (select count(*) from documents)')} as share from documents group by 1"""
 )
 def format_counts(spark, sf):
-    docs = table(spark, sf, "documents")
+    docs = spread_table(spark, sf, "documents")
     per_lang = docs.groupBy("lang").agg(F.sum("n_chars").alias("chars"), F.count(F.lit(1)).alias("n"))
     # One row per language is left here.
     total = F.sum("n").over(Window.partitionBy())
@@ -625,7 +625,7 @@ def format_counts(spark, sf):
 )
 def compose_summary(spark, sf):
     notes = F.when(F.col("role") == "user", F.lit("asked")).when(F.col("role") == "system", F.lit(""))
-    return table(spark, sf, "conversations").select(
+    return spread_table(spark, sf, "conversations").select(
         "conv_id", "turn", X.compose_summary(F.col("role"), F.col("text"), notes).alias("summary")
     )
 
