@@ -18,7 +18,6 @@ from docstrata.operators.flatten import MARKER, VALUE
 from docstrata.options import ProfileOptions
 from docstrata.session import cut_lineage
 
-NUMERIC_TYPES = ("int", "long", "double", "decimal")
 EMPTY_TYPES = ("null", "undefined")
 
 FIELD = ["collection", "path"]
@@ -113,9 +112,8 @@ def primary_type(counts: DataFrame) -> DataFrame:
 
 
 def numeric_values(paths: DataFrame) -> DataFrame:
-    """Numeric occurrences with their value in `num`; NaN is dropped."""
-    rows = field_rows(paths).where(F.col("type").isin(*NUMERIC_TYPES))
-    return rows.withColumn("num", F.expr("try_cast(text as double)")).where("num is not null and not isnan(num)")
+    """Numeric occurrences, their value in `num`; NaN is dropped."""
+    return field_rows(paths).where("num is not null")
 
 
 def numeric_stats(paths: DataFrame) -> DataFrame:
@@ -245,11 +243,9 @@ def profile_collection(
     `types` lists struct<type, n, ratio> in first-seen order; `examples` follow the same order.
     """
     custom = options.pii_patterns
-    num = F.when(F.col("type").isin(*NUMERIC_TYPES), F.expr("try_cast(text as double)"))
-    num = F.when(~F.isnan(num), num)
     value = F.when(F.col("type") == "string", F.col("text"))
     rows = field_rows(paths).select(
-        *FIELD_TYPE, position(paths).alias("at"), num.alias("num"), pii.value_hint_mask(value, custom).alias("mask")
+        *FIELD_TYPE, position(paths).alias("at"), "num", pii.value_hint_mask(value, custom).alias("mask")
     )
     per_type = rows.groupBy(*FIELD_TYPE).agg(
         F.count(F.lit(1)).alias("n"),
@@ -350,8 +346,7 @@ def partial_profile(paths: DataFrame) -> DataFrame:
 
     `docs` adds up too, because every document is in one set only.
     """
-    num = F.when(F.col("type").isin(*NUMERIC_TYPES), F.expr("try_cast(text as double)"))
-    rows = field_rows(paths).withColumn("num", F.when(~F.isnan(num), num))
+    rows = field_rows(paths)
     repeated = F.when(~F.col("solo"), F.col("doc_id"))
     return rows.groupBy(*FIELD_TYPE).agg(
         F.count(F.lit(1)).alias("n"),

@@ -238,6 +238,8 @@ class _Chain:
             f"when rare is not null then rare when names is not null then {shown} "
             f"when n is not null then concat('[Array(', n, ')]') else {_get('w', 'string')} end as text",
             "coalesce(n, if(x is null, size(names), 0), 0) as size",
+            f"case when kind <> {VALUE} then null when x like '$number%' then try_cast(rare as double) "
+            "when d is not null then if(isnan(d), null, d) else cast(b as double) end as num",
         )
 
     def run(self, documents: DataFrame, levels: int) -> DataFrame:
@@ -304,8 +306,9 @@ def flatten_documents(
     """documents(collection, doc_id, v VARIANT) -> one row per path occurrence.
 
     Columns: collection, doc_id, path, pos (orders the occurrences of one path within the
-    document), depth, type, text, size, kind (0 value, 1 array-element-type marker, 2 depth
-    cut), solo (no other row of this document can have this path), keys_refused, depth_cut.
+    document), depth, type, text, size, num (numbers other than NaN), kind (0 value, 1
+    array-element-type marker, 2 depth cut), solo (no other row of this document can have this
+    path), keys_refused, depth_cut.
     Marker rows are returned only with `markers`, but always count towards the key budget.
 
     One aggregate over the documents (see `classify`) fixes how many levels are unrolled, so the
@@ -319,7 +322,7 @@ def flatten_documents(
     def chain(docs: DataFrame, depth: int, ranked: bool) -> DataFrame:
         return _Chain(options, raw_paths, extended_json, ranked, markers or ranked).run(docs, depth)
 
-    kept = ["collection", "doc_id", "path", "pos", "depth", "type", "text", "size", "kind", "solo"]
+    kept = ["collection", "doc_id", "path", "pos", "depth", "type", "text", "size", "num", "kind", "solo"]
     rows = []
     if deepest or not ranked_deepest:
         docs = documents.where(levels > 0) if ranked_deepest else documents
