@@ -25,20 +25,24 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint into the shared folder the session names in `spark.checkpoint.dir`.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the session names in `spark.checkpoint.dir`.
 
-    Only a local session, which has no shared folder, falls back to one of its own.
+    Only a local session, which has no other machines, falls back to a new folder of its own.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    folder = spark.conf.get(CHECKPOINT_DIR, None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"set {CHECKPOINT_DIR} to a folder all executors can reach")
+        folder = tempfile.mkdtemp(prefix="run-")
+    return folder.rstrip("/")
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Checkpoint into the session's shared folder, so that lost executors lose nothing."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get(CHECKPOINT_DIR, None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise ValueError(f"set {CHECKPOINT_DIR} to a folder all executors can reach")
-            folder = tempfile.mkdtemp(prefix="run-")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 

@@ -106,3 +106,35 @@ def _types(fields):
 
 def test_missing_profile_is_empty(spark, tmp_path):
     assert store.load_schema_json(spark, f"{tmp_path}/nowhere").count() == 0
+
+
+def test_readers(spark, tmp_path):
+    from docstrata.operators.flatten import flatten_documents
+    from docstrata.sources import readers
+
+    (tmp_path / "people.json").write_text('{"_id":"a","n":1}\n{"_id":"b","n":{"x":2.5}}\n')
+    docs = readers.read_documents(spark, str(tmp_path / "people.json"), "people")
+    assert sorted((r["doc_id"], r["path"]) for r in flatten_documents(docs, SMALL).where("path like 'n%'").collect()) == [
+        ("a", "n"), ("b", "n"), ("b", "n.x")]
+    spark.sql("select 1 as id, timestamp'2024-01-02 03:04:05' as at, X'00ff' as raw, array(1, 2) as xs").write.parquet(f"{tmp_path}/t")
+    typed = readers.read_documents(spark, f"{tmp_path}/t", "t", "parquet", "id")
+    found = {r["path"]: (r["type"], r["text"]) for r in flatten_documents(typed, SMALL).where("path not like '%*%'").collect()}
+    assert found == {"id": ("int", "1"), "at": ("date", "2024-01-02T03:04:05.000Z"), "raw": ("binData", "00ff"), "xs": ("array", "[Array(2)]")}
+    bad = spark.createDataFrame([("{}",), ("{x",), (None,)], "j string")
+    assert tuple(readers.count_corrupt(bad, "j").first()) == (1, 3)
+    catalog = readers.catalog_scan({"b": docs, "a": typed, "system.x": typed})
+    assert [tuple(r) for r in catalog.collect()] == [("a", 1), ("b", 2)]
+    keys = readers.key_profile(spark.sql("select * from values (1, 'x'), (2, 'x'), (3, null) t(id, s)"), {"id": ["id"], "s": ["s"]})
+    assert {r["name"]: (r["unique"], r["sparse"], r["absent"]) for r in keys.collect()} == {"id": (True, False, 0), "s": (False, True, 1)}
+
+
+def test_string_document_ids_order_first_seen(spark):
+    from docstrata.operators import fields as A
+    from docstrata.operators.flatten import flatten_documents
+    from docstrata.sources.readers import documents_from_json
+
+    rows = spark.createDataFrame([("k2", '{"v":2}'), ("k1", '{"v":"x"}'), ("k3", '{"v":2}')], "id string, j string")
+    docs = documents_from_json(rows, "c", "id", "j")
+    found = A.profile_collection(flatten_documents(docs, SMALL), A.document_counts(docs), SMALL).first()
+    assert [(t["type"], t["n"]) for t in found["types"]] == [("string", 1), ("int", 2)]
+    assert [e["value"] for e in found["examples"]] == ["x", "2"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,10 +20,15 @@ OPTIONS = ProfileOptions(max_depth=9)
 
 def query(oracle: str | None = None):
     def register(fn: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[fn.__name__] = fn
+        @functools.wraps(fn)
+        def in_utc(spark: SparkSession, folder: str) -> DataFrame:
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+            return fn(spark, folder)
+
+        QUERIES[fn.__name__.removesuffix("_query")] = in_utc
         if oracle is not None:
-            ORACLES[fn.__name__] = oracle
-        return fn
+            ORACLES[fn.__name__.removesuffix("_query")] = oracle
+        return in_utc
 
     return register
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
-import tempfile
+import uuid
 from dataclasses import replace
 
 from pyspark.sql import Window
@@ -20,7 +20,7 @@ from docstrata.operators import sampling as S
 from docstrata.operators import tree as N
 from docstrata.operators import variants as V
 from docstrata.operators.flatten import flatten_documents
-from docstrata.session import cut_lineage
+from docstrata.session import cut_lineage, shared_folder
 from docstrata.sources import readers, store
 from docstrata.sources.fixtures import TABLES, fixture, spread_table, table
 from workload import oracle as O
@@ -222,8 +222,19 @@ def schema_drift(spark, sf):
     return R.schema_drift(_types(old), _types(new))
 
 
+def _entries(name: str, *sources: tuple[str, str]) -> str:
+    """CTEs: the set of path:type entries of every collection, as one text per collection."""
+    flats = ", ".join(O.flat(f, name=f"{name}{i}", label=label) for i, (f, label) in enumerate(sources))
+    union = " union all ".join(f"select collection, path, type from {name}{i}" for i in range(len(sources)))
+    return f"""{flats}, {name} as (select collection, string_agg(distinct path || ':' || type, '|' order by path || ':' || type) as entries
+ from ({union}) u where path not like '%.[*]' group by 1)"""
+
+
 @query(
-    "select * from (values ('events', 'changed'), ('contact_docs', 'same'), ('event_props', 'added'), ('deep_docs', 'removed')) t(collection, status)"
+    f"""with {_entries('b', ('events_v1', 'events'), ('contact_docs', 'contact_docs'), ('deep_docs', 'deep_docs'))},
+{_entries('a', ('mixed_docs', 'events'), ('contact_docs', 'contact_docs'), ('event_props', 'event_props'))}
+select collection, case when b.entries is null then 'added' when a.entries is null then 'removed'
+ when a.entries <> b.entries then 'changed' else 'same' end as status from b full join a using (collection)"""
 )
 def changed_collections(spark, sf):
     old, new = _versions(spark, sf)
@@ -320,7 +331,11 @@ def description_work_queue(spark, sf):
     return D.description_work_queue(inputs(new), answers).select("collection", "path", "key")
 
 
-@query("select * from (values ('deep_docs', 'Preserved from previous run'), ('wide_docs', 'Preserved from previous run')) t(collection, warnings)")
+@query(
+    f"""with {O.flat('contact_docs', 'order_docs', name='cur')}, {O.flat('contact_docs', 'deep_docs', 'wide_docs', name='prev')}
+select distinct collection, 'Preserved from previous run' as warnings from prev_docs
+where collection not in (select collection from cur_docs)"""
+)
 def removed_collections(spark, sf):
     current = documents(spark, sf, "contact_docs", "order_docs").select("collection")
     previous = documents(spark, sf, "contact_docs", "deep_docs", "wide_docs").select("collection")
@@ -641,13 +656,8 @@ def extract_json_block(spark, sf):
 
 
 def _scratch(spark) -> str:
-    """A new folder below the session's shared folder; a local one only where none is set."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
-        return tempfile.mkdtemp(prefix="run-")
-    import uuid
-
-    return f"{shared.rstrip('/')}/stored-{uuid.uuid4().hex}"
+    """A new folder below the session's shared folder."""
+    return f"{shared_folder(spark)}/stored-{uuid.uuid4().hex}"
 
 
 @query(
