@@ -556,10 +556,12 @@ select collection, doc_id, path, type, {O.masked('hints')} as masked from hinted
 def mask_value(spark, sf):
     rows = paths_of(spark, sf, "contact_docs", "order_docs")
     value = F.when(F.col("type") == "string", F.col("text"))
-    mask = pii.detect_mask(F.col("path"), value)
-    shown = masks.mask_value(
-        F.col("type"), F.col("text"), F.col("size"), pii.has_hint(mask, "email"), pii.has_hint(mask, "phone")
+    rows = rows.withColumn("value_mask", pii.value_hint_mask(value))
+    # Only two hints matter here, so two patterns replace the whole name list.
+    email, phone = (
+        pii.name_suggests(F.col("path"), hint) | pii.has_hint(F.col("value_mask"), hint) for hint in ("email", "phone")
     )
+    shown = masks.mask_value(F.col("type"), F.col("text"), F.col("size"), email, phone)
     return rows.select("collection", "doc_id", "path", "type", shown.alias("masked"))
 
 
