@@ -94,10 +94,10 @@ def test_examples_are_masked_under_policy(docs_of):
 
 
 def test_custom_patterns_reach_masks_and_hints(docs_of):
-    docs = docs_of({"kakao": {"id": "abcdef"}, "other": "abcdef"})
+    docs = docs_of({"vendor": {"id": "abcdef"}, "other": "abcdef"})
     paths = flatten_documents(docs, SMALL)
-    o = ProfileOptions(max_depth=4, pii_patterns=("kakao.*",))
+    o = ProfileOptions(max_depth=4, pii_patterns=("vendor.*",))
     shown = {r["path"]: r["rendered"] for r in A.examples_per_type(paths, o).collect()}
-    assert shown["kakao.id"] == "a****f" and shown["other"] == "abcdef"
+    assert shown["vendor.id"] == "a****f" and shown["other"] == "abcdef"
     hints = {r["path"]: r["hints"] for r in A.field_hints(paths, o).collect()}
-    assert hints["kakao.id"] == ["kakao"] and hints["kakao"] == []
+    assert hints["vendor.id"] == ["vendor"] and hints["vendor"] == []

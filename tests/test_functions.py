@@ -66,7 +66,7 @@ def test_detection(spark):
     assert detect("address.detail", None) == ["address"]
     assert detect("location.[*].x", None) == ["location"]
     assert detect("hotel", None) == ["phone"] and detect("ci", None) == ["ci"] and detect("city", None) == []
-    assert detect("kakao.id", None, ("kakao.*",)) == ["kakao"] and detect("kakao", None, ("kakao.*",)) == []
+    assert detect("vendor.id", None, ("vendor.*",)) == ["vendor"] and detect("vendor", None, ("vendor.*",)) == []
     assert detect("x", "a@b.com\n") == []
 
 
@@ -77,7 +77,7 @@ def test_warning_texts(spark):
 
 def test_text(spark):
     assert apply(spark, ["mail a@b.io or 010-1234-5678 now"], X.redact_text) == ["mail [REDACTED] or [REDACTED] now"]
-    assert apply(spark, ["mongodb://u:p@h/x", "http://h/x"], X.redact_uri_credentials) == ["mongodb://***:***@h/x", "http://h/x"]
+    assert apply(spark, ["db://u:p@h/x", "http://h/x"], X.redact_uri_credentials) == ["db://***:***@h/x", "http://h/x"]
     assert apply(spark, ["a\r\nb", "x" * 101], X.preview_text) == ["a b", "x" * 97 + "..."]
     diff = lambda x: X.format_diff(x, F.array().cast("array<string>"))
     assert apply(spark, [["a", "b", "c", "d"], []], diff, "x array<string>") == ["+a, b, c... (+1 more)", "-"]
