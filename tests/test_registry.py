@@ -8,6 +8,7 @@ import pytest
 import __spark_entry__ as entry
 from compare import canonical
 from docstrata.sources.fixtures import TABLES
+from workload.registry import ORACLES, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 CHECKED = ["flatten_events", "field_presence", "variant_analysis", "mask_table", "schema_drift", "fk_context"]
@@ -16,7 +17,7 @@ needs_data = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="bundled table
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
 
 
 @needs_data
