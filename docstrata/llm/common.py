@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import docstrata
 from docstrata.session import shared_folder
 
 #: The characters that part words in every operator: space and U+0009 to U+000D.
@@ -19,6 +23,19 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BYTE_VALUES = np.random.default_rng(20).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Let Python workers import this package also where it is not installed."""
+    context = spark.sparkContext
+    package = Path(docstrata.__path__[0])
+    archive = Path(tempfile.gettempdir(), f"{package.name}-{context.applicationId}.zip")
+    if archive.exists():
+        return
+    with zipfile.ZipFile(archive, "w") as out:
+        for source in sorted(package.rglob("*.py")):
+            out.write(source, source.relative_to(package.parent))
+    context.addPyFile(str(archive))
+
+
 def stored(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     """Write a table into the folder that all executors share and read it again: lineage ends there."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
