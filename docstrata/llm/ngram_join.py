@@ -293,3 +293,16 @@ def remaining_pairs(shared: DataFrame, found: DataFrame, vectors: DataFrame, blo
     rows = rows.join(vectors, "node").select(F.xxhash64("key", "m.i", "m.j").alias("block"), "node", "size", "component", "m.side", "vector")
     rows = rows.repartition("block").sortWithinPartitions("block")
     return rows.mapInArrow(_tree_join, "a long, b long").distinct()
+
+
+def one_of_each_group(documents: DataFrame, block_rows: int = 1000) -> DataFrame:
+    """All columns of the rows that stay: of each component the rows of its smallest id.
+
+    Rows without a shingle or without an id stay.
+    """
+    names = documents.columns
+    found = stored(link_documents(documents, block_rows), "shingles-found").select(F.col("doc_id").alias("of"), "component_id")
+    # rows of one id are in one component
+    gone = found.where("component_id <> of").select("of").distinct()
+    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("doc_id").cast("long").alias("id"))
+    return rows.join(gone, rows["id"] == gone["of"], "left_anti").select(*[F.col("row")[c].alias(c) for c in names])

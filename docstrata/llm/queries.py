@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docstrata.llm import ngram_join, packing, quality_rules, sentencepiece_codec, sharding, substring_dedup
+from docstrata.llm import line_dedup, ngram_join, packing, quality_rules, sentencepiece_codec, sharding, substring_dedup
 from docstrata.llm.common import ship_package, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,6 +41,11 @@ def op4_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substring_dedup.passage_digests(table(spark, folder, "documents"))
 
 
+@query
+def op6_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return line_dedup.line_decisions(table(spark, folder, "documents"))
+
+
 @query
 def op7_sharding(spark: SparkSession, folder: str) -> DataFrame:
     sharded = sharding.shard_documents(table(spark, folder, "documents").select("doc_id", "text"))
