@@ -83,7 +83,7 @@ def _powers(n: int) -> np.ndarray:
 class Words:
     """The words of a batch of texts: byte ranges in `data`, a 64-bit hash each, and where each text's words begin."""
 
-    def __init__(self, texts: pa.Array, lower: bool = False):
+    def __init__(self, texts: pa.Array, lower: bool = False, parting: np.ndarray = SPACE_BYTES):
         if texts.null_count:
             texts = texts.fill_null("")
         offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
@@ -93,7 +93,7 @@ class Words:
         if lower:
             self.data = LOWER_BYTES[self.data]
         inside = np.zeros(len(self.data) + 2, bool)
-        inside[1:-1] = ~SPACE_BYTES[self.data]
+        inside[1:-1] = ~parting[self.data]
         here = inside[1:-1]
         first, last = here & ~inside[:-2], here & ~inside[2:]
         cut = self.text_at[(self.text_at > 0) & (self.text_at < len(self.data))]

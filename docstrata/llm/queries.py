@@ -9,7 +9,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docstrata.llm import line_dedup, ngram_join, packing, quality_rules, sentencepiece_codec, sharding, substring_dedup
+from docstrata.llm import (
+    hamming_search,
+    line_dedup,
+    ngram_join,
+    ordinal_classifier,
+    packing,
+    quality_rules,
+    sentencepiece_codec,
+    sharding,
+    substring_dedup,
+    training_order,
+)
 from docstrata.llm.common import ship_package, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,11 +47,26 @@ def op2_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.link_documents(table(spark, folder, "documents"))
 
 
+@query
+def op3_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels").where("quality is not null and toxic is not null")
+    model = ordinal_classifier.train(docs, labels.select("doc_id", ordinal_classifier.grade(F.col("quality"), F.col("toxic")).alias("grade")))
+    scored = ordinal_classifier.score_documents(docs, model)
+    return scored.select(
+        "doc_id", F.round("expected_grade", 6).alias("expected_grade"), F.round("top_probability", 6).alias("top_probability"), (F.col("top_probability") >= 0.5).alias("selected")
+    )
+
+
 @query
 def op4_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substring_dedup.passage_digests(table(spark, folder, "documents"))
 
 
+@query
+def op5_hamming_search(spark: SparkSession, folder: str) -> DataFrame:
+    return hamming_search.search_vectors(table(spark, folder, "embeddings"), F.col("id") % 50 == 0)
+
+
 @query
 def op6_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.line_decisions(table(spark, folder, "documents"))
@@ -61,6 +87,12 @@ def op7_sharding(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def op8_training_order(spark: SparkSession, folder: str) -> DataFrame:
+    target = training_order.new_folder(spark)
+    return training_order.write_training_order(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), target)
+
+
 @query
 def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     judged = quality_rules.judge_documents(table(spark, folder, "documents"))
