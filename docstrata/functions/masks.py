@@ -94,6 +94,7 @@ _VERBATIM = ("null", "undefined", "boolean")
 _NUMBERS = ("int", "long", "double")
 _OPAQUE = {
     "decimal": "[Decimal128]",
+    "regex": "[BSONRegExp]",
     "timestamp": "[Timestamp]",
     "binData": "[Binary]",
     "minKey": "[MinKey]",

@@ -10,8 +10,8 @@ TRUNCATED = "[TRUNCATED]"
 
 # Segments are runs of escaped pairs or of characters other than dot.
 _SEGMENT = r"((?:\\.|[^.])+)"
-# Digit runs are compared as numbers up to this many digits.
-_NUMBER_WIDTH = 32
+# A digit run is preceded by its number of digits, in so many places.
+_COUNT_WIDTH = 8
 
 
 def escape_key(key: Column) -> Column:
@@ -66,9 +66,15 @@ def normalize_path(path: Column) -> Column:
 
 
 def natural_key(text: Column) -> Column:
-    """Sortable text: case-folded, digit runs zero-padded so they order as numbers."""
-    padded = F.regexp_replace(F.lower(text), "([0-9]+)", "0" * _NUMBER_WIDTH + "$1")
-    return F.regexp_replace(padded, "[0-9]*([0-9]{%d})" % _NUMBER_WIDTH, "$1")
+    """Sortable text: case-folded, digit runs preceded by their length so they order as numbers of any size."""
+    runs = F.regexp_extract_all(F.lower(text), F.lit("([0-9]+|[^0-9]+)"), F.lit(1))
+
+    def ordered(run: Column) -> Column:
+        digits = F.ltrim(run, F.lit("0"))
+        counted = F.concat(F.lpad(F.length(digits).cast("string"), _COUNT_WIDTH, "0"), digits)
+        return F.when(run.rlike(r"\A[0-9]"), counted).otherwise(run)
+
+    return F.array_join(F.transform(runs, ordered), "")
 
 
 def path_key(path: Column) -> Column:

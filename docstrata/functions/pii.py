@@ -48,12 +48,15 @@ NAME_PATTERNS = [
 # A segment with this name marks everything below it.
 ANCESTOR_NAMES = ["address", "location"]
 
+# White space, inside of brackets, as patterns of the value lists mean it on any regular expression engine.
+SPACES = r"\t\n\x0B\f\r\x{20}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}"
+
 # Patterns over whole string values, in hint order.
 VALUE_PATTERNS = [
     (r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}", "email"),
-    (r"\+?\d{1,4}[-.\s]?\(?\d{1,3}\)?[-.\s]?\d{1,4}[-.\s]?\d{1,9}", "phone"),
+    (r"\+?\d{1,4}[-." + SPACES + r"]?\(?\d{1,3}\)?[-." + SPACES + r"]?\d{1,4}[-." + SPACES + r"]?\d{1,9}", "phone"),
     (r"\d{3}[-]?\d{2}[-]?\d{4}", "ssn"),
-    (r"\d{4}[-\s]?\d{4}[-\s]?\d{4}[-\s]?\d{4}", "credit_card"),
+    (r"\d{4}[-" + SPACES + r"]?\d{4}[-" + SPACES + r"]?\d{4}[-" + SPACES + r"]?\d{4}", "credit_card"),
     (r"eyJ[a-zA-Z0-9_-]+\.eyJ[a-zA-Z0-9_-]+\.[a-zA-Z0-9_-]+", "jwt"),
     ("(?i:[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12})", "uuid"),
     (r"(?:(?:25[0-5]|2[0-4]\d|[01]?\d\d?)\.){3}(?:25[0-5]|2[0-4]\d|[01]?\d\d?)", "ip_address"),

@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from docstrata.functions.pii import SPACES
+
 # What is cut out of free text, in this order. Word boundaries are spelled out
 # because only ASCII letters, digits and underscores count as word characters here.
 _START, _END = "(?<![0-9A-Za-z_])", "(?![0-9A-Za-z_])"
 TEXT_PATTERNS = [
     r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}",
-    r"\+?\d{1,4}[-.\s]?\(?\d{1,3}\)?[-.\s]?\d{1,4}[-.\s]?\d{1,9}",
+    r"\+?\d{1,4}[-." + SPACES + r"]?\(?\d{1,3}\)?[-." + SPACES + r"]?\d{1,4}[-." + SPACES + r"]?\d{1,9}",
     _START + r"\d{3}[-.]?\d{2}[-.]?\d{4}" + _END,
-    _START + r"\d{4}[-\s]?\d{4}[-\s]?\d{4}[-\s]?\d{4}" + _END,
+    _START + r"\d{4}[-" + SPACES + r"]?\d{4}[-" + SPACES + r"]?\d{4}[-" + SPACES + r"]?\d{4}" + _END,
     r"eyJ[a-zA-Z0-9_-]+\.eyJ[a-zA-Z0-9_-]+\.[a-zA-Z0-9_-]+",
 ]
 REDACTED = "[REDACTED]"

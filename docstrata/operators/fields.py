@@ -40,7 +40,8 @@ def drop_marker_paths(paths: DataFrame) -> DataFrame:
 
 
 def document_counts(documents: DataFrame) -> DataFrame:
-    return documents.groupBy("collection").agg(F.count(F.lit(1)).alias("docs"))
+    """Documents per collection; those that did not parse are counted by `rejected_documents` instead."""
+    return documents.where("v is not null").groupBy("collection").agg(F.count(F.lit(1)).alias("docs"))
 
 
 def position(df: DataFrame) -> Column:
@@ -329,7 +330,9 @@ def array_element_types(paths: DataFrame) -> DataFrame:
 
 def truncation_counters(paths: DataFrame, options: ProfileOptions = ProfileOptions()) -> DataFrame:
     """Truncated depths, keys and arrays per collection; the NULL collection is the total."""
-    capped = (F.col("type") == "array") & (F.col("kind") == VALUE) & (F.col("size") > options.max_array_sample)
+    capped = F.lit(False)
+    if options.max_array_sample is not None:
+        capped = (F.col("type") == "array") & (F.col("kind") == VALUE) & (F.col("size") > options.max_array_sample)
     per_collection = paths.groupBy("collection").agg(
         F.sum(F.col("depth_cut").cast("bigint")).alias("depth_truncated"),
         F.sum("keys_refused").alias("keys_truncated"),

@@ -3,9 +3,9 @@
 Documents are expanded in place by a chain of `variant_explode` steps, one per
 nesting level: each step replaces an open container by itself plus its direct
 children. The chain is narrow (no shuffle), and unused output columns are pruned
-through it. Documents that may exceed the per-document key budget, or nest deeper
-than `PLAIN_LEVELS`, take a second chain where the rows of one document are ranked
-in pre-order; all others skip that ranking.
+through it. Documents that nest deeper than `PLAIN_LEVELS` take a longer chain of
+their own, with the same result. Only a key budget makes the rows of a document
+that may exceed it be ranked in pre-order.
 """
 
 from __future__ import annotations
@@ -18,8 +18,10 @@ from docstrata.options import ProfileOptions
 
 VALUE, MARKER, CUT = 0, 1, 2
 
-# Deepest nesting of documents that are expanded without ranking.
+# Documents that nest deeper are expanded apart, so that the plan of all others stays short.
 PLAIN_LEVELS = 7
+# Bits of `pos`. An array index takes 4, 12, 28 or 60 of them, by its size.
+ORDER_BITS = 60
 # Levels analysed together; more would exceed the analyzer's iteration limit.
 LEVELS_PER_STATEMENT = 4
 
@@ -43,14 +45,28 @@ _ISO = r"yyyy-MM-dd\'T\'HH:mm:ss.SSS\'Z\'"
 
 
 def js_number_text(d: str) -> str:
-    """SQL text of a double as a script language prints it: no `.0`, plain digits."""
-    plain = rf"regexp_replace(cast(cast({d} as decimal(38,17)) as string), '(\\.[0-9]*?)0+$', '$1')"
+    """SQL text of a double as a script language prints it.
+
+    No `.0`, plain digits from 1e-6 to below 1e21, otherwise an exponent with its sign; every digit is kept.
+    """
+    shown, digits, power = (
+        rf"regexp_replace(regexp_extract(t, '([0-9.]+)E', 1), '\\.0$', '')",
+        rf"replace(regexp_replace(regexp_extract(t, '([0-9.]+)E', 1), '\\.0$', ''), '.', '')",
+        "cast(regexp_extract(t, 'E(-?[0-9]+)', 1) as int)",
+    )
+    sign = f"if({d} < 0, '-', '')"
+    plain = (
+        f"if({power} < 0, concat('0.', repeat('0', -{power} - 1), {digits}), "
+        f"if(length({digits}) <= {power} + 1, rpad({digits}, {power} + 1, '0'), "
+        f"concat(left({digits}, {power} + 1), '.', substr({digits}, {power} + 2))))"
+    )
+    powered = f"concat({shown}, 'e', if({power} > 0, '+', ''), {power})"
+    long = f"concat({sign}, if(abs({d}) >= 1e-6 and abs({d}) < 1e21, {plain}, {powered}))"
     return (
         f"case when isnan({d}) then 'NaN' "
         f"when rint({d}) = {d} and abs({d}) < 9e15 then cast(cast({d} as bigint) as string) "
-        f"when abs({d}) >= 1e-3 and abs({d}) < 1e7 then cast({d} as string) "
-        f"when abs({d}) >= 1e-6 and abs({d}) < 1e20 then rtrim('.', {plain}) "
-        f"else cast({d} as string) end"
+        f"when abs({d}) >= 1e-3 and abs({d}) < 1e7 or abs({d}) = double('infinity') then cast({d} as string) "
+        f"else transform(array(cast({d} as string)), t -> {long})[0] end"
     )
 
 
@@ -123,6 +139,22 @@ def value_type(v: str, options: ProfileOptions = ProfileOptions(), extended_json
     return F.expr(type_tag(v, f"schema_of_variant({v})", options, extended_json))
 
 
+def _index_bits(index: str) -> str:
+    return f"case when {index} < 15 then 4 when {index} < 270 then 12 when {index} < 65805 then 28 else 60 end"
+
+
+def _placed(index: str) -> str:
+    """SQL: `pos` with an array index behind those before it, in an order-preserving code of growing width.
+
+    An index that no longer fits leaves `pos` as it is.
+    """
+    code = (
+        f"case when {index} < 15 then bigint({index}) when {index} < 270 then 3840L + ({index} - 15) "
+        f"when {index} < 65805 then 268369920L + ({index} - 270) else 1152921500311879680L + ({index} - 65805) end"
+    )
+    return f"if(room >= {_index_bits(index)}, pos + shiftleft({code}, room - {_index_bits(index)}), pos)"
+
+
 class _Chain:
     """Builds the expansion chain for one set of options, as one SQL statement.
 
@@ -145,7 +177,7 @@ class _Chain:
         """One open root per document, without a row of its own."""
         return (
             "select collection, doc_id, '' as path, 0 as depth, "
-            f"{VALUE} as kind, 0L as pos, not {self.has_empty_key('schema_of_variant(v)')} as solo, "
+            f"{VALUE} as kind, 0L as pos, {ORDER_BITS} as room, not {self.has_empty_key('schema_of_variant(v)')} as solo, "
             "cast(array() as array<int>) as ord, 'OBJECT' as s, '' as tag, v as w, true as open from {documents}"
         )
 
@@ -155,18 +187,21 @@ class _Chain:
         itself, children = "named_struct('step', 0, 'tag', tag)", "named_struct('step', 1, 'tag', '')"
         steps = f"array({children})" if depth == 1 else f"array({itself}, {children})"
         if self.markers and depth > 1:
-            elements = f"slice({_get('w', 'array<variant>')}, 1, {o.max_array_sample})"
+            elements = _get("w", "array<variant>")
+            if o.max_array_sample is not None:
+                elements = f"slice({elements}, 1, {o.max_array_sample})"
             tags = f"transform({elements}, x -> {type_tag('x', 'schema_of_variant(x)', o, self.extended)})"
             marks = f"transform(array_distinct({tags}), (t, i) -> named_struct('step', 2 + i, 'tag', t))"
             steps = f"if(startswith(s, 'ARRAY'), concat({steps}, {marks}), {steps})"
         split = (
             f"select * except (tag), inline(if(open, {steps}, array({itself}))) as (step, tag) from {before}"
         )
+        sampled = "" if o.max_array_sample is None else f" and (e.key is not null or e.pos < {o.max_array_sample})"
         opened = (
             "select p.*, e.pos as at, e.key, e.value, if(p.step = 1, schema_of_variant(e.value), p.s) as es, "
             "try_variant_get(p.w, '$[1]', 'variant') is null as single "
             f"from ({split}) p, lateral variant_explode_outer(if(p.step = 1, p.w, null)) as e "
-            f"where p.step <> 1 or (e.pos is not null and (e.key is not null or e.pos < {o.max_array_sample}))"
+            f"where p.step <> 1 or (e.pos is not null{sampled})"
         )
         index = "concat('[', at, ']')" if self.raw_paths else f"'{WILDCARD}'"
         index_like = "(startswith(key, '[') and key rlike '^\\\\[[0-9]+\\\\]\\\\z')"
@@ -178,7 +213,7 @@ class _Chain:
         if self.extended:
             is_open = f"({is_open} and not {_is_wrapper('es')})"
         kind = str(VALUE)
-        if depth > o.max_depth:
+        if o.max_depth is not None and depth > o.max_depth:
             # Array elements are depth-checked only when they are plain containers.
             cut = f"(key is not null or {is_open})"
             child_path = f"if({cut}, concat({child_path}, '.{TRUNCATED}'), {child_path})"
@@ -196,8 +231,8 @@ class _Chain:
             "path": pick("path", child_path, marker_path),
             "depth": pick("depth", str(depth), str(depth)),
             "kind": pick("kind", kind, str(MARKER)),
-            "pos": pick("pos", "if(key is null and pos < 1125899906842624, pos * 1024 + at, pos)",
-                        "if(pos < 1125899906842624, pos * 1024 + 1000 + step, pos)"),
+            "pos": pick("pos", f"if(key is null, {_placed('at')}, pos)", _placed("step")),
+            "room": pick("room", f"if(key is null, greatest(room - {_index_bits('at')}, 0), room)", "0"),
             "solo": pick("solo", child_solo, "false"),
             "ord": pick("ord", "concat(ord, array(at))", "concat(ord, array(1000000 + step))") if self.ranked else "ord",
             "s": "es",
@@ -267,7 +302,7 @@ def _let(name: str, value: str, body: str) -> str:
 
 
 def _levels_needed(options: ProfileOptions) -> str:
-    """SQL: levels needed to expand document `v`; negative if its rows must be ranked.
+    """SQL: levels needed to expand document `v`; negative if a key budget may cut it.
 
     Never too few: the depth is read off the schema text, or, where that hides something (a
     VARIANT element type, quoted keys), bounded by the number of opening brackets.
@@ -283,15 +318,17 @@ def _levels_needed(options: ProfileOptions) -> str:
     # Every row costs a separator or an opening bracket, and brings at most one marker with it.
     rows = "2 * (length(t) - length(translate(t, ',[{', ''))) + 2"
     cap = options.max_keys_per_doc
-    ranked = f"if(length(t) <= {cap}, false, {rows} > {cap}) or d > {PLAIN_LEVELS}"
-    levels = _let("d", f"cast(greatest(1, least({bound}, {options.max_depth + 1})) as int)", f"if({ranked}, -d, d)")
+    ranked = "false" if cap is None else f"if(length(t) <= {cap}, false, {rows} > {cap})"
+    if options.max_depth is not None:
+        bound = f"least({bound}, {options.max_depth + 1})"
+    levels = _let("d", f"cast(greatest(1, {bound}) as int)", f"if({ranked}, -d, d)")
     return _let("x", "v", _let("s", "schema_of_variant(x)", _let("t", "cast(x as string)", levels)))
 
 
 def classify(documents: DataFrame, options: ProfileOptions = ProfileOptions()) -> DataFrame:
     """Add `levels`: how far each document must be expanded, negative where rows need ranking.
 
-    Stored with the documents, it saves `flatten_documents` its own look at them.
+    Negative levels are those of documents that a key budget may cut. Stored with the documents, it saves `flatten_documents` its own look at them.
     """
     return documents.withColumn("levels", F.expr(_levels_needed(options)))
 
@@ -317,19 +354,20 @@ def flatten_documents(
     if "levels" not in documents.columns:
         documents = classify(documents, options)
     levels = F.col("levels")
-    deepest, ranked_deepest = documents.agg(F.max(F.when(levels > 0, levels)), F.max(F.when(levels < 0, -levels))).first()
+    plain, deep, ranked = levels.between(1, PLAIN_LEVELS), levels > PLAIN_LEVELS, levels < 0
+    depths = documents.agg(*[F.max(F.when(kind, F.abs(levels))) for kind in (plain, deep, ranked)]).first()
 
     def chain(docs: DataFrame, depth: int, ranked: bool) -> DataFrame:
         return _Chain(options, raw_paths, extended_json, ranked, markers or ranked).run(docs, depth)
 
     kept = ["collection", "doc_id", "path", "pos", "depth", "type", "text", "size", "num", "kind", "solo"]
     rows = []
-    if deepest or not ranked_deepest:
-        docs = documents.where(levels > 0) if ranked_deepest else documents
-        plain = chain(docs, deepest or 1, ranked=False)
-        rows.append(plain.selectExpr(*kept, "0L as keys_refused", f"cast(kind = {CUT} as int) as depth_cut"))
-    if ranked_deepest:
-        within = _within_budget(chain(documents.where(levels < 0), ranked_deepest, ranked=True), options.max_keys_per_doc)
+    for kind, depth in zip((plain, deep), depths, strict=False):
+        if depth or (kind is plain and not any(depths)):
+            expanded = chain(documents.where(kind) if sum(d is not None for d in depths) > 1 else documents, depth or 1, ranked=False)
+            rows.append(expanded.selectExpr(*kept, "0L as keys_refused", f"cast(kind = {CUT} as int) as depth_cut"))
+    if depths[2]:
+        within = _within_budget(chain(documents.where(ranked), depths[2], ranked=True), options.max_keys_per_doc)
         if not markers:
             within = within.where(F.col("kind") != MARKER)
         rows.append(within.select(*kept, "keys_refused", "depth_cut"))

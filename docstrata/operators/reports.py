@@ -103,15 +103,19 @@ def overview_report(
     pii: DataFrame,
     collections: DataFrame,
     options: ProfileOptions = ProfileOptions(),
-    strategy: str = "random",
+    strategy: str = "all",
+    sample_size: int | None = None,
 ) -> DataFrame:
-    """Run report as (section, position, line): options, truncation warnings if any, PII warnings."""
+    """Run report as (section, position, line): options, truncation warnings if any, PII warnings.
+
+    `strategy` and `sample_size` are what the run did; without a sample it profiled every document.
+    """
     spark = truncation.sparkSession
     heads = [
         f"Strategy: {strategy}",
-        f"Sample Size: {options.sample_size}",
+        f"Sample Size: {'all' if sample_size is None else sample_size}",
         f"Redaction: {options.redact}",
-        f"Max Depth: {options.max_depth}",
+        f"Max Depth: {'none' if options.max_depth is None else options.max_depth}",
     ]
     head = spark.createDataFrame([(i + 1, line) for i, line in enumerate(heads)], "position int, line string")
     head = head.select(F.lit("options").alias("section"), "position", "line")

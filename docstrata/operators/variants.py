@@ -57,7 +57,7 @@ def shapes(documents: DataFrame) -> DataFrame:
     Documents meet as path lists, pre-aggregated per task, so a shape shared by most of the
     documents costs one row per task; hashing and sorting happen once per distinct list.
     """
-    listed = documents.select(
+    listed = documents.where("v is not null").select(
         "collection", "doc_id", F.coalesce(shape_paths("v"), F.array().cast("array<string>")).alias("paths")
     )
     per_list = listed.groupBy("collection", "paths").agg(
@@ -112,12 +112,13 @@ def similarity_to_primary(variants: DataFrame) -> DataFrame:
 
 
 def variant_analysis(documents: DataFrame, options: ProfileOptions = ProfileOptions()) -> DataFrame:
-    """variants(collection, rank, signature, count, ratio, paths, added, missing)."""
+    """variants(collection, rank, signature, short_signature, count, ratio, paths, added, missing)."""
     ranked = variant_diff(top_variants(shapes(documents), options.variant_top))
     return ranked.select(
         "collection",
         "rank",
-        F.left("signature", F.lit(SHOWN_SIGNATURE)).alias("signature"),
+        "signature",
+        F.left("signature", F.lit(SHOWN_SIGNATURE)).alias("short_signature"),
         "count",
         "ratio",
         "paths",

@@ -11,9 +11,10 @@ REDACT_MODES = ("strict", "balanced")
 @dataclass(frozen=True)
 class ProfileOptions:
     sample_size: int = 100
-    max_depth: int = 20
-    max_keys_per_doc: int = 2000
-    max_array_sample: int = 50
+    # Caps are off unless they are asked for.
+    max_depth: int | None = None
+    max_keys_per_doc: int | None = None
+    max_array_sample: int | None = None
     optional_threshold: float = 0.95
     examples_per_type: int = 3
     variant_top: int = 10
@@ -24,9 +25,10 @@ class ProfileOptions:
     typed_decimals: bool = False
 
     def __post_init__(self) -> None:
-        _within("max_depth", self.max_depth, 1, 100)
-        _within("max_keys_per_doc", self.max_keys_per_doc, 1, 10000)
-        _within("max_array_sample", self.max_array_sample, 1, 1000)
+        for name in ("max_depth", "max_keys_per_doc", "max_array_sample"):
+            cap = getattr(self, name)
+            if cap is not None and cap < 1:
+                raise ValueError(f"{name} must be positive or None, got {cap}")
         _within("optional_threshold", self.optional_threshold, 0, 1)
         for name in ("sample_size", "examples_per_type", "variant_top"):
             if getattr(self, name) < 1:

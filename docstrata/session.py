@@ -16,6 +16,7 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
         .appName("docstrata")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.variant.allowDuplicateKeys", "true")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
@@ -44,13 +45,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
-
-
-def spread_small(df: DataFrame) -> DataFrame:
-    """Give a table scan at least one partition per core.
-
-    Expanding documents costs far more than moving them, and a small file is one partition. Scans
-    that already have enough partitions, as any large table does, are left alone.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docstrata.session import spread_small
 from docstrata.sources.readers import documents_from_json
 
 MIXED = """
@@ -101,8 +100,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def spread_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A table whose rows are documents or texts, i.e. expensive per row."""
-    return spread_small(table(spark, folder, name))
+    """A table whose rows are documents or texts, i.e. expensive per row.
+
+    A bundled table is one file of one row group, which no split size divides; larger tables are read as they lie.
+    """
+    rows = table(spark, folder, name)
+    return rows.repartition(spark.sparkContext.defaultParallelism) if len(rows.inputFiles()) == 1 else rows
 
 
 def fixture(spark: SparkSession, folder: str, name: str) -> DataFrame:

@@ -10,7 +10,11 @@ from pyspark.sql import functions as F
 
 
 def documents_from_json(df: DataFrame, collection: str, doc_id: str, json: str) -> DataFrame:
-    """Parse a JSON text column. Text that does not parse becomes a NULL document."""
+    """Parse a JSON text column. Text that does not parse becomes a NULL document (see `rejected_documents`).
+
+    Of a member that is named twice the last one counts, in sessions that set spark.sql.variant.allowDuplicateKeys as
+    `local_session` does; otherwise such text does not parse.
+    """
     return df.select(
         F.lit(collection).alias("collection"),
         F.col(doc_id).alias("doc_id"),
@@ -31,15 +35,27 @@ def read_documents(spark: SparkSession, path: str, collection: str, file_format:
                    **options: str) -> DataFrame:
     """Documents of one collection from files: JSON lines keep their own shape, tables become objects.
 
-    JSON documents are keyed by the text of their `doc_id` member.
+    JSON documents are keyed by the text of their `doc_id` member, those without one by their file and place in it.
     """
     if file_format == "json":
         raw = spark.read.options(singleVariantColumn="v", **options).json(path)
-        key = F.expr(f"try_variant_get(v, '$.{doc_id}', 'string')")
+        place = F.concat_ws(":", F.lit("row"), F.col("_metadata.file_name"), F.monotonically_increasing_id())
+        key = F.coalesce(F.expr(f"try_variant_get(v, '$.{doc_id}', 'string')"), place)
         return raw.select(F.lit(collection).alias("collection"), key.alias("doc_id"), "v")
     return documents_from_table(spark.read.format(file_format).options(**options).load(path), collection, doc_id)
 
 
+def rejected_documents(documents: DataFrame) -> DataFrame:
+    """Documents that did not parse, per collection with any; they are left out of totals and shapes."""
+    counts = documents.groupBy("collection").agg(F.count_if(F.col("v").isNull()).alias("rejected"), F.count(F.lit(1)).alias("documents"))
+    return counts.where("rejected > 0")
+
+
+def duplicate_ids(documents: DataFrame) -> DataFrame:
+    """Ids that several documents of a collection share; a profile would take these for one document."""
+    return documents.groupBy("collection", "doc_id").agg(F.count(F.lit(1)).alias("documents")).where("documents > 1")
+
+
 def count_corrupt(df: DataFrame, json: str) -> DataFrame:
     """How many rows of a JSON text column do not parse (and are therefore not profiled)."""
     bad = F.col(json).isNotNull() & F.try_parse_json(F.col(json)).isNull()

@@ -53,10 +53,12 @@ def write_schema_json(
 
 
 def load_schema_json(spark: SparkSession, path: str) -> DataFrame:
-    """An earlier profile; a missing folder or unreadable lines give no rows."""
+    """An earlier profile; a missing folder gives no rows, an unreadable line an error when it is read."""
     try:
-        loaded = spark.read.schema(PROFILE_SCHEMA).option("mode", "DROPMALFORMED").json(path)
-    except AnalysisException:
+        loaded = spark.read.schema(PROFILE_SCHEMA).option("mode", "FAILFAST").json(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], PROFILE_SCHEMA)
     return loaded.where(F.col("collection").isNotNull())
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import replace
 
 from pyspark.sql import functions as F
@@ -9,9 +10,10 @@ from pyspark.sql import functions as F
 from docstrata.functions import masks, paths as P, pii, text as X
 from docstrata.operators import fields as A
 from docstrata.operators import variants as V
-from docstrata.operators.flatten import normalize_wildcards, value_type
+from docstrata.operators.flatten import flatten_documents, normalize_wildcards, value_type
+from docstrata.session import shared_folder
 from docstrata.sources.fixtures import spread_table, table
-from docstrata.sources.readers import documents_from_table
+from docstrata.sources.readers import documents_from_json, documents_from_table, duplicate_ids, read_documents, rejected_documents
 from workload import oracle as O
 from workload.registry import OPTIONS, documents, paths_of, query
 
@@ -144,9 +146,7 @@ def array_element_types(spark, sf):
 )
 def merge_paths(spark, sf):
     docs = documents(spark, sf, "order_docs")
-    late = F.expr("try_variant_get(v, '$.placed_at', 'string') >= '1997-01-01'")
-    from docstrata.operators.flatten import flatten_documents
-
+    late = F.expr("coalesce(try_variant_get(v, '$.placed_at', 'string') >= '1997-01-01', false)")
     parts = [A.partial_profile(flatten_documents(docs.where(side), OPTIONS)) for side in (late, ~late)]
     merged = A.merge_profiles(*parts)
     return merged.select("path", "type", "n", "docs", F.round("num_sum", 3).alias("num_sum"))
@@ -306,13 +306,13 @@ def shape_signature(spark, sf):
 
 @query(
     f"""with {O.flat('contact_docs', 'order_docs')}, {O.shapes('')}
-select collection, rank, left(signature, 8) as signature, n as count, round(ratio, 6) as ratio, array_to_string(paths, '|') as paths,
+select collection, rank, signature, left(signature, 8) as short_signature, n as count, round(ratio, 6) as ratio, array_to_string(paths, '|') as paths,
  array_to_string(added, '|') as added, array_to_string(missing, '|') as missing from diffed"""
 )
 def variant_analysis(spark, sf):
     found = V.variant_analysis(documents(spark, sf, "contact_docs", "order_docs"), OPTIONS)
     return found.select(
-        "collection", F.col("rank").cast("bigint").alias("rank"), "signature", "count", R6("ratio").alias("ratio"),
+        "collection", F.col("rank").cast("bigint").alias("rank"), "signature", "short_signature", "count", R6("ratio").alias("ratio"),
         F.array_join(P.sort_paths(F.col("paths")), "|").alias("paths"), F.array_join("added", "|").alias("added"),
         F.array_join("missing", "|").alias("missing"),
     )
@@ -470,8 +470,6 @@ def pii_scan(spark, sf):
 )
 def pii_scan_documents(spark, sf):
     docs = documents_from_table(spread_table(spark, sf, "documents"), "documents", "doc_id")
-    from docstrata.operators.flatten import flatten_documents
-
     found = A.pii_scan(flatten_documents(docs, OPTIONS), A.document_counts(docs), OPTIONS)
     return found.select("collection", "path", "hint", "docs_hit", R6("hit_ratio").alias("hit_ratio"))
 
@@ -622,3 +620,116 @@ def redact_uri_credentials(spark, sf):
     return pages.select(
         "page_id", X.redact_uri_credentials(uri).alias("uri"), X.redact_uri_credentials(F.col("url")).alias("url")
     )
+
+
+# --- nothing is cut off --------------------------------------------------------------------------
+
+
+_SUPPLIED = """select l_suppkey as doc_id, to_json(struct(collect_list(struct(l_linenumber as line, l_orderkey as number,
+ concat('part', l_partkey, '@parts.example.com') as contact)) as lines)) as j from {lineitem} group by l_suppkey"""
+
+
+def _supplied(spark, sf):
+    """A document per supplier, with an element for each of its thousands of order lines."""
+    return documents_from_json(spark.sql(_SUPPLIED, lineitem=table(spark, sf, "lineitem")), "supplied", "doc_id", "j")
+
+
+@query(
+    """select 'lines' as path, 'array' as type, count(distinct l_suppkey) as n from lineitem
+ union all select 'lines.[*]', 'object', count(*) from lineitem
+ union all select 'lines.[*].line', 'int', count(*) from lineitem union all select 'lines.[*].number', 'int', count(*) from lineitem
+ union all select 'lines.[*].contact', 'string', count(*) from lineitem"""
+)
+def long_arrays(spark, sf):
+    rows = flatten_documents(_supplied(spark, sf), OPTIONS)
+    return rows.groupBy("path", "type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    """select 'lines.[*].contact' as path, 'email' as hint, count(distinct l_suppkey) as docs_hit from lineitem"""
+)
+def pii_in_long_arrays(spark, sf):
+    docs = _supplied(spark, sf)
+    found = A.pii_scan(flatten_documents(docs, OPTIONS), A.document_counts(docs), OPTIONS)
+    return found.where("path = 'lines.[*].contact' and hint = 'email'").select("path", "hint", "docs_hit")
+
+
+@query(
+    """select o_orderkey as doc_id, array_to_string(list_transform(range(1, n + 1), lambda i: 'a'), '.') as path,
+ case when n = 12 then 'int' else 'object' end as type from orders, range(1, 13) r(n)"""
+)
+def deep_documents(spark, sf):
+    rows = table(spark, sf, "orders").select("o_orderkey", F.concat(F.lit('{"a":' * 12), "o_orderkey", F.lit("}" * 12)).alias("j"))
+    return flatten_documents(documents_from_json(rows, "deep", "o_orderkey", "j"), OPTIONS).select("doc_id", "path", "type")
+
+
+@query(
+    """select o_orderkey as doc_id, 'a' as path, 'int' as type, cast(o_custkey as varchar) as text from orders
+ union all select o_orderkey, 'b', 'string', 'last' from orders"""
+)
+def duplicate_members(spark, sf):
+    text = F.concat(F.lit('{"a":"first","b":1,"a":'), "o_custkey", F.lit(',"b":"last"}'))
+    rows = table(spark, sf, "orders").select("o_orderkey", text.alias("j"))
+    return flatten_documents(documents_from_json(rows, "doubled", "o_orderkey", "j"), OPTIONS).select("doc_id", "path", "type", "text")
+
+
+def _broken(spark, sf):
+    """Every fifth document is cut short, every seventh has no member `a`."""
+    whole = F.when(F.col("o_orderkey") % 7 == 0, F.lit("{}")).otherwise(F.concat(F.lit('{"a":'), "o_custkey", F.lit("}")))
+    text = F.when(F.col("o_orderkey") % 5 == 0, F.lit('{"a":')).otherwise(whole)
+    return documents_from_json(table(spark, sf, "orders").select("o_orderkey", text.alias("j")), "broken", "o_orderkey", "j")
+
+
+@query(
+    """select 'broken' as collection, count(*) filter (where o_orderkey % 5 = 0) as rejected, count(*) as documents,
+ count(*) filter (where o_orderkey % 5 <> 0) as profiled,
+ count(*) filter (where o_orderkey % 5 <> 0 and o_orderkey % 7 <> 0) as present from orders"""
+)
+def rejected_documents_query(spark, sf):
+    docs = _broken(spark, sf)
+    present = A.field_presence(flatten_documents(docs, OPTIONS), A.document_counts(docs), OPTIONS)
+    counted = rejected_documents(docs).join(A.document_counts(docs).withColumnRenamed("docs", "profiled"), "collection")
+    return counted.join(present.select("collection", F.col("present_count").alias("present")), "collection")
+
+
+@query(
+    """select case when o_orderkey % 7 = 0 then '' else 'a' end as paths, count(*) as count,
+ row_number() over (order by count(*) desc) as rank from orders where o_orderkey % 5 <> 0 group by 1"""
+)
+def variants_without_rejected(spark, sf):
+    found = V.variant_analysis(_broken(spark, sf), OPTIONS)
+    return found.select(F.array_join("paths", "|").alias("paths"), "count", F.col("rank").cast("bigint").alias("rank"))
+
+
+@query(
+    """select 'conversations' as collection, conv_id as doc_id, count(*) as documents from conversations
+ group by conv_id having count(*) > 1"""
+)
+def duplicate_ids_query(spark, sf):
+    return duplicate_ids(documents_from_table(spread_table(spark, sf, "conversations"), "conversations", "conv_id"))
+
+
+@query(
+    """select 'number' as path, count(*) as present_count, cast(0 as bigint) as absent_count from orders
+ union all select 'lines', count(*), cast(0 as bigint) from orders
+ union all select 'lines.[*].quantity', count(distinct l_orderkey), (select count(*) from orders) - count(distinct l_orderkey) from lineitem"""
+)
+def read_json_documents(spark, sf):
+    lines = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct(F.col("l_quantity").alias("quantity"))).alias("lines"))
+    orders = table(spark, sf, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    stored = f"{shared_folder(spark)}/read-json-{uuid.uuid4().hex}"
+    none = F.array().cast("array<struct<quantity:double>>")
+    orders.select(F.col("o_orderkey").alias("number"), F.coalesce("lines", none).alias("lines")).write.json(stored)
+    docs = read_documents(spark, stored, "orders")
+    rows = A.field_presence(flatten_documents(docs, OPTIONS), A.document_counts(docs), OPTIONS)
+    return rows.select("path", "present_count", "absent_count")
+
+
+@query(
+    """select path, type, n from (select 'doc_id' as path, 'int' as type, count(doc_id) as n from documents
+ union all select 'text', 'string', count(text) from documents union all select 'lang', 'string', count(lang) from documents
+ union all select 'source', 'string', count(source) from documents union all select 'n_chars', 'int', count(n_chars) from documents) s"""
+)
+def read_typed_table(spark, sf):
+    docs = documents_from_table(spread_table(spark, sf, "documents"), "documents", "doc_id")
+    return A.type_distribution(flatten_documents(docs, OPTIONS)).select("path", "type", "n")

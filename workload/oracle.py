@@ -44,8 +44,9 @@ FIELD_ROWS = "select * from flat where path not like '%.[*]'"
 
 
 def natural_key(x: str) -> str:
-    padded = f"regexp_replace(lower({x}), '([0-9]+)', '{'0' * 32}\\1', 'g')"
-    return f"regexp_replace({padded}, '[0-9]*([0-9]{{32}})', '\\1', 'g')"
+    digits = "ltrim(t, '0')"
+    run = f"case when regexp_matches(t, '^[0-9]') then lpad(cast(length({digits}) as varchar), 8, '0') || {digits} else t end"
+    return f"array_to_string(list_transform(regexp_extract_all(lower({x}), '[0-9]+|[^0-9]+'), lambda t: {run}), '')"
 
 
 def path_key(x: str) -> str:

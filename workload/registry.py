@@ -14,8 +14,7 @@ from docstrata.sources.fixtures import fixture
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-# The fixture documents are at most this deep.
-OPTIONS = ProfileOptions(max_depth=9)
+OPTIONS = ProfileOptions()
 
 
 def query(oracle: str | None = None):
@@ -23,6 +22,7 @@ def query(oracle: str | None = None):
         @functools.wraps(fn)
         def in_utc(spark: SparkSession, folder: str) -> DataFrame:
             spark.conf.set("spark.sql.session.timeZone", "UTC")
+            spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
             return fn(spark, folder)
 
         QUERIES[fn.__name__.removesuffix("_query")] = in_utc

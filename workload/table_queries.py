@@ -524,7 +524,7 @@ def variant_report(spark, sf):
     f"""with {O.flat('contact_docs', 'deep_docs', 'order_docs')}, {O.fields()}, {O.field_hints()},
 p as (select collection, string_agg(path, ', ' order by {O.path_key('path')}, path) as paths from fh_text group by 1),
 capped as (select count(*) as n from flat where type = 'array' and size > 2)
-select 'options' as section, 1 as position, 'Strategy: random' as line union all select 'options', 2, 'Sample Size: 100'
+select 'options' as section, 1 as position, 'Strategy: all' as line union all select 'options', 2, 'Sample Size: all'
 union all select 'options', 3, 'Redaction: pii' union all select 'options', 4, 'Max Depth: 9'
 union all select 'collections', 1, 'Collections: ' || count(distinct collection) from flat_docs
 union all select 'truncation', 3, 'Arrays truncated: ' || n || ' arrays exceeded sample limit' from capped where n > 0
@@ -532,10 +532,10 @@ union all select 'warnings', row_number() over (order by {O.natural_key('collect
 )
 def overview_report(spark, sf):
     docs = documents(spark, sf, "contact_docs", "deep_docs", "order_docs")
-    capped = replace(OPTIONS, max_array_sample=2)
+    capped = replace(OPTIONS, max_array_sample=2, max_depth=9)
     truncation = A.truncation_counters(flatten_documents(docs, capped), capped)
     found = A.pii_fields(A.field_hints(flatten_documents(docs, OPTIONS), OPTIONS))
-    report = T.overview_report(truncation, found, A.document_counts(docs), OPTIONS)
+    report = T.overview_report(truncation, found, A.document_counts(docs), capped)
     return report.withColumn("position", F.col("position").cast("bigint"))
 
 
