@@ -73,18 +73,18 @@ def shapes(documents: DataFrame) -> DataFrame:
 
 def top_variants(shapes_: DataFrame, n: int) -> DataFrame:
     """The n most frequent shapes of each collection, first seen on ties, with rank and ratio."""
-    order = Window.partitionBy("collection").orderBy(F.desc("count"), "first_doc", "signature")
-    # The total needs every shape, the ranking only the best few of each task.
-    totals = shapes_.groupBy("collection").agg(F.sum("count").alias("docs"))
-    ranked = shapes_.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
-    return ranked.join(totals, "collection").withColumn("ratio", F.col("count") / F.col("docs")).drop("docs")
+    whole = Window.partitionBy("collection")
+    order = whole.orderBy(F.desc("count"), "first_doc", "signature")
+    # Total and rank come from the same pass over the shapes, so they are derived once.
+    counted = shapes_.withColumns({"docs": F.sum("count").over(whole), "rank": F.row_number().over(order)})
+    return counted.where(F.col("rank") <= n).withColumn("ratio", F.col("count") / F.col("docs")).drop("docs")
 
 
 def variant_diff(variants: DataFrame) -> DataFrame:
     """Paths added and missing against the primary (rank 1) shape of the same collection."""
-    primary = variants.where(F.col("rank") == 1).select("collection", F.col("paths").alias("primary_paths"))
+    primary = F.max(F.when(F.col("rank") == 1, F.col("paths"))).over(Window.partitionBy("collection"))
     return (
-        variants.join(primary, "collection")
+        variants.withColumn("primary_paths", primary)
         .withColumn("added", path_diff(F.col("primary_paths"), F.col("paths")))
         .withColumn("missing", path_diff(F.col("paths"), F.col("primary_paths")))
         .drop("primary_paths")
@@ -103,9 +103,9 @@ def shape_similarity(left: Column, right: Column) -> Column:
 
 
 def similarity_to_primary(variants: DataFrame) -> DataFrame:
-    primary = variants.where(F.col("rank") == 1).select("collection", F.col("paths").alias("primary_paths"))
+    primary = F.max(F.when(F.col("rank") == 1, F.col("paths"))).over(Window.partitionBy("collection"))
     return (
-        variants.join(primary, "collection")
+        variants.withColumn("primary_paths", primary)
         .withColumn("similarity", shape_similarity(F.col("primary_paths"), F.col("paths")))
         .drop("primary_paths")
     )

@@ -7,11 +7,11 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docstrata.operators import describe, drift, fields, relate, reports, variants
+from docstrata.operators import describe, drift, fields, relate, reports, sampling, variants
 from docstrata.operators.flatten import classify, flatten_documents
 from docstrata.options import ProfileOptions
 from docstrata.session import cut_lineage
-from docstrata.sources import store
+from docstrata.sources import readers, store
 
 
 @dataclass(frozen=True)
@@ -23,6 +23,11 @@ class Profile:
     warnings: DataFrame
     fingerprints: DataFrame
     summaries: DataFrame
+    rejected: DataFrame
+    drift: DataFrame | None
+    preserved: DataFrame | None
+    strategy: str
+    sample_size: int | None
     options: ProfileOptions
 
 
@@ -31,14 +36,21 @@ def profile_documents(
     options: ProfileOptions = ProfileOptions(),
     previous: DataFrame | None = None,
     answers: DataFrame | None = None,
+    summary_answers: DataFrame | None = None,
     force: bool = False,
+    sampled: bool = False,
 ) -> Profile:
     """Profile documents(collection, doc_id, v) of all collections in one job per table.
 
-    `previous` is an earlier profile (see `load_schema_json`) whose descriptions are reused;
-    `answers(collection, path, description, seq)` are new ones. Results are stored once, since
-    they are small next to the documents and read by every report.
+    `previous` is an earlier profile (see `load_schema_json`) whose descriptions and summaries are
+    reused, whose collections that are gone are kept, and against which drift is reported;
+    `answers(collection, path, description, seq)` and `summary_answers(collection, text)` are new
+    ones. With `sampled`, `options.sample_size` documents of each collection are profiled instead of
+    all. Results are stored once, since they are small next to the documents and read by every report.
     """
+    if sampled:
+        documents = sampling.per_collection_sample(documents, options.sample_size)
+    rejected = cut_lineage(readers.rejected_documents(documents))
     if "levels" not in documents.columns:
         documents = classify(documents, options)
     paths = flatten_documents(documents, options)
@@ -56,10 +68,20 @@ def profile_documents(
     run = totals.select("collection", F.col("docs").alias("sampled"), F.lit(False).alias("fallback"))
     warnings = fields.collection_warnings(run.join(hits, "collection", "left"))
     types = profiled.select("collection", "path", F.explode("types").alias("t")).select("collection", "path", "t.type")
+    changes = preserved = None
+    if previous is not None:
+        # Stored now: the earlier profile's folder may be written over before this is read.
+        old = cut_lineage(store.stored_fields(previous))
+        before = old.select("collection", "path", F.explode("types").alias("t")).select("collection", "path", "t.type")
+        preserved = cut_lineage(drift.removed_collections(totals, previous))
+        stayed = before.join(preserved.select("collection"), "collection", "left_anti")
+        changes = cut_lineage(drift.schema_drift(stayed, types))
+    summaries = documents.sparkSession.createDataFrame([], "collection string, summary string")
     if previous is not None and not force:
-        summaries = store.stored_summaries(previous)
-    else:
-        summaries = documents.sparkSession.createDataFrame([], "collection string, summary string")
+        summaries = cut_lineage(store.stored_summaries(previous))
+    if summary_answers is not None:
+        new = describe.parse_summary_answers(summary_answers).where("summary is not null")
+        summaries = cut_lineage(summaries.join(new.select("collection"), "collection", "left_anti").unionByName(new))
     return Profile(
         catalog=totals.withColumnRenamed("docs", "est_count"),
         fields=profiled,
@@ -68,6 +90,11 @@ def profile_documents(
         warnings=warnings,
         fingerprints=drift.schema_fingerprint(types),
         summaries=summaries,
+        rejected=rejected,
+        drift=changes,
+        preserved=preserved,
+        strategy="random" if sampled else "all",
+        sample_size=options.sample_size if sampled else None,
         options=options,
     )
 
@@ -86,13 +113,18 @@ def write_profile(profile: Profile, folder: str, keys: DataFrame | None = None)
     store.write_schema_json(f"{folder}/schema", profile.fields, profile.variants, profile.summaries)
     totals = profile.catalog.withColumnRenamed("est_count", "docs")
     overview = reports.collection_overview(totals, profile.fields, profile.variants, profile.warnings, profile.catalog)
-    run = reports.overview_report(profile.truncation, fields.pii_fields(profile.fields), profile.catalog, profile.options)
+    run = reports.overview_report(
+        profile.truncation, fields.pii_fields(profile.fields), profile.catalog, profile.options, profile.strategy, profile.sample_size
+    )
     tables = {
         "overview": overview,
         "run": run,
         "fields": reports.field_report(profile.fields),
         "variants": reports.variant_report(profile.variants),
     }
+    tables["rejected"] = profile.rejected
+    if profile.drift is not None:
+        tables |= {"drift": profile.drift, "preserved": profile.preserved}
     if keys is not None:
         tables["keys"] = reports.key_report(keys)
     store.write_reports(folder, tables)

@@ -137,30 +137,26 @@ def glob_to_regex(glob: str) -> str:
 def key_profile(df: DataFrame, keys: Mapping[str, Sequence[str]]) -> DataFrame:
     """For each candidate key: is it unique, and is it absent (any part NULL) in some rows?
 
-    All candidates are measured in one job. Equal keys meet as one pre-aggregated row, so a
+    Each key groups its own columns, as they are typed. Equal keys meet as one pre-aggregated row, so a
     key value holding most of the table costs one row per task.
     """
-    candidates = F.array(
-        *[
-            F.struct(
-                F.lit(name).alias("name"),
-                F.lit(", ".join(f"{c}: 1" for c in columns)).alias("keys"),
-                F.when(_all_present(columns), F.to_json(F.struct(*[F.col(c) for c in columns]))).alias("value"),
-            )
-            for name, columns in keys.items()
-        ]
-    )
-    used = list(dict.fromkeys(c for columns in keys.values() for c in columns))
-    rows = df.select(*used).select(F.inline(candidates))
-    per_value = rows.groupBy("name", "keys", "value").agg(F.count(F.lit(1)).alias("n"))
-    present = F.col("value").isNotNull()
-    return per_value.groupBy("name", "keys").agg(
-        F.sum("n").alias("rows"),
-        F.coalesce(F.sum(F.when(~present, F.col("n"))), F.lit(0)).alias("absent"),
-        F.count_if(present).alias("distinct_values"),
-        (F.coalesce(F.max(F.when(present, F.col("n"))), F.lit(0)) <= 1).alias("unique"),
-        F.max((~present).cast("int")).cast("boolean").alias("sparse"),
-    )
+    profiles = []
+    for name, columns in keys.items():
+        present = _all_present(columns)
+        per_value = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("_rows"))
+        profiles.append(
+            per_value.agg(
+                F.sum("_rows").alias("rows"),
+                F.coalesce(F.sum(F.when(~present, F.col("_rows"))), F.lit(0)).alias("absent"),
+                F.count_if(present).alias("distinct_values"),
+                (F.coalesce(F.max(F.when(present, F.col("_rows"))), F.lit(0)) <= 1).alias("unique"),
+                F.coalesce(F.bool_or(~present), F.lit(False)).alias("sparse"),
+            ).select(F.lit(name).alias("name"), F.lit(", ".join(f"{c}: 1" for c in columns)).alias("keys"), "*")
+        )
+    union = profiles[0]
+    for more in profiles[1:]:
+        union = union.unionByName(more)
+    return union.where("rows is not null")
 
 
 def _all_present(columns: Sequence[str]) -> Column:

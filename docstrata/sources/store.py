@@ -6,22 +6,22 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docstrata.functions.paths import path_key
 
+#: One line per field, variant or summary, so that no line grows with its collection.
 PROFILE_SCHEMA = (
     "collection string, "
-    "fields array<struct<absent_count bigint, description string, "
+    "field struct<absent_count bigint, description string, "
     "examples array<struct<hints array<string>, type string, value string>>, hints array<string>, "
     "mixed_type boolean, optional boolean, path string, present_count bigint, present_ratio double, "
-    "stats struct<avg double, max double, min double>, types array<struct<n bigint, ratio double, type string>>>>, "
+    "stats struct<avg double, max double, min double>, types array<struct<n bigint, ratio double, type string>>>, "
     "summary string, "
-    "variants array<struct<added array<string>, count bigint, missing array<string>, paths array<string>, "
-    "rank int, ratio double, signature string>>"
+    "variant struct<added array<string>, count bigint, missing array<string>, paths array<string>, "
+    "rank int, ratio double, signature string>"
 )
 
 
-def nested_profile(fields: DataFrame, variants: DataFrame, summaries: DataFrame | None = None) -> DataFrame:
-    """One row per collection with its fields in path order; members are in name order throughout."""
+def profile_rows(fields: DataFrame, variants: DataFrame, summaries: DataFrame | None = None) -> DataFrame:
+    """The rows of a stored profile; members are in name order throughout."""
     if "description" not in fields.columns:
         fields = fields.withColumn("description", F.lit(None).cast("string"))
     stats = F.when(F.col("stats").isNotNull(), F.struct("stats.avg", "stats.max", "stats.min"))
@@ -29,27 +29,23 @@ def nested_profile(fields: DataFrame, variants: DataFrame, summaries: DataFrame
     examples = F.transform(
         "examples", lambda e: F.struct(e["hints"].alias("hints"), e["type"].alias("type"), e["value"].alias("value"))
     )
-    entry = F.struct(
+    field = F.struct(
         "absent_count", "description", examples.alias("examples"), "hints", "mixed_type", "optional", "path",
         "present_count", "present_ratio", stats.alias("stats"), types.alias("types"),
     )
-    ordered = F.array_sort(F.collect_list(F.struct(path_key(F.col("path")).alias("k"), F.col("path").alias("p"), entry.alias("e"))))
-    per_collection = fields.groupBy("collection").agg(F.transform(ordered, lambda x: x["e"]).alias("fields"))
     shape = F.struct("added", "count", "missing", "paths", "rank", "ratio", "signature")
-    listed = F.array_sort(F.collect_list(F.struct(F.col("rank").alias("r"), shape.alias("e"))))
-    shapes = variants.groupBy("collection").agg(F.transform(listed, lambda x: x["e"]).alias("variants"))
-    out = per_collection.join(shapes, "collection", "left")
-    if summaries is None:
-        out = out.withColumn("summary", F.lit(None).cast("string"))
-    else:
-        out = out.join(summaries.select("collection", "summary"), "collection", "left")
-    return out.select("collection", "fields", "summary", "variants")
+    rows = fields.select("collection", field.alias("field")).unionByName(
+        variants.select("collection", shape.alias("variant")), allowMissingColumns=True
+    )
+    if summaries is not None:
+        rows = rows.unionByName(summaries.select("collection", "summary"), allowMissingColumns=True)
+    return rows
 
 
 def write_schema_json(
     path: str, fields: DataFrame, variants: DataFrame, summaries: DataFrame | None = None, mode: str = "overwrite"
 ) -> None:
-    nested_profile(fields, variants, summaries).write.mode(mode).json(path)
+    profile_rows(fields, variants, summaries).write.mode(mode).json(path)
 
 
 def load_schema_json(spark: SparkSession, path: str) -> DataFrame:
@@ -64,7 +60,7 @@ def load_schema_json(spark: SparkSession, path: str) -> DataFrame:
 
 
 def stored_fields(profile: DataFrame) -> DataFrame:
-    return profile.select("collection", F.inline("fields"))
+    return profile.where("field is not null").select("collection", "field.*")
 
 
 def stored_descriptions(profile: DataFrame) -> DataFrame:

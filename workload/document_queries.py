@@ -464,14 +464,26 @@ def pii_scan(spark, sf):
 
 
 @query(
-    "with long as (select 'documents' as collection, doc_id, unnest(['text', 'lang', 'source']) as path, 'string' as type,"
-    " unnest([text, lang, source]) as text from documents), " + _SCAN.replace("SOURCE", "select * from long").replace("DOCS", "documents")
-    .replace("select collection, count(*) as docs", "select 'documents' as collection, count(*) as docs")
+    r"""with long as (select 'conversations' as collection, conv_id * 1000 + turn as doc_id, unnest(['who', 'says', 'reply']) as path,
+ unnest([case when turn % 3 = 0 then role || conv_id || '@mail.example.org' else role end, '192.168.' || (conv_id % 256) || '.' || (turn % 256),
+ 'm' || turn]) as text from conversations),
+each as (select collection, doc_id, path, 'email' as hint from long where path = 'who' and contains(text, '@')
+ union all select collection, doc_id, path, 'ip_address' from long where path = 'says'),
+total as (select count(distinct doc_id) as docs from long)
+select collection, path, hint, count(distinct doc_id) as docs_hit, round(count(distinct doc_id) / any_value(docs), 6) as hit_ratio
+from each, total group by 1, 2, 3"""
 )
 def pii_scan_documents(spark, sf):
-    docs = documents_from_table(spread_table(spark, sf, "documents"), "documents", "doc_id")
+    """Turns of conversations as a typed table, with addresses in some of them."""
+    turns = spread_table(spark, sf, "conversations").select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("number"),
+        F.when(F.col("turn") % 3 == 0, F.concat("role", "conv_id", F.lit("@mail.example.org"))).otherwise(F.col("role")).alias("who"),
+        F.concat(F.lit("192.168."), F.col("conv_id") % 256, F.lit("."), F.col("turn") % 256).alias("says"),
+        F.concat(F.lit("m"), "turn").alias("reply"),
+    )
+    docs = documents_from_table(turns, "conversations", "number")
     found = A.pii_scan(flatten_documents(docs, OPTIONS), A.document_counts(docs), OPTIONS)
-    return found.select("collection", "path", "hint", "docs_hit", R6("hit_ratio").alias("hit_ratio"))
+    return found.where("hint <> 'phone'").select("collection", "path", "hint", "docs_hit", R6("hit_ratio").alias("hit_ratio"))
 
 
 @query(f"with {O.flat('contact_docs')}, {O.fields()}, {O.field_hints()} select path, hints from fh_text")

@@ -20,6 +20,7 @@ from docstrata.operators import sampling as S
 from docstrata.operators import tree as N
 from docstrata.operators import variants as V
 from docstrata.operators.flatten import flatten_documents
+from docstrata.plans.run import profile_documents, write_profile
 from docstrata.session import cut_lineage, shared_folder
 from docstrata.sources import readers, store
 from docstrata.sources.fixtures import TABLES, fixture, spread_table, table
@@ -332,13 +333,16 @@ def description_work_queue(spark, sf):
 
 
 @query(
-    f"""with {O.flat('contact_docs', 'order_docs', name='cur')}, {O.flat('contact_docs', 'deep_docs', 'wide_docs', name='prev')}
-select distinct collection, 'Preserved from previous run' as warnings from prev_docs
-where collection not in (select collection from cur_docs)"""
+    """select distinct event_type || '-' || user_id || '-' || event_id % 97 as collection, 'Preserved from previous run' as warnings from events
+where event_id < (select max(event_id) from events) / 2 and event_type || '-' || user_id || '-' || event_id % 97 not in
+ (select event_type || '-' || user_id || '-' || event_id % 97 from events where event_id >= (select max(event_id) from events) / 2)"""
 )
 def removed_collections(spark, sf):
-    current = documents(spark, sf, "contact_docs", "order_docs").select("collection")
-    previous = documents(spark, sf, "contact_docs", "deep_docs", "wide_docs").select("collection")
+    """A collection per event type, user and remainder; the earlier run saw the first half of the events, this one the second."""
+    events = table(spark, sf, "events").select("event_id", F.concat_ws("-", "event_type", "user_id", F.col("event_id") % 97).alias("collection"))
+    late = F.col("event_id") >= F.col("last") / 2
+    events = events.join(F.broadcast(events.agg(F.max("event_id").alias("last"))))
+    current, previous = events.where(late).select("collection"), events.where(~late).select("collection")
     return R.removed_collections(current, previous).select("collection", F.array_join("warnings", ", ").alias("warnings"))
 
 
@@ -502,12 +506,15 @@ def field_report(spark, sf):
 @query(
     """select 'id' as name, 'c_custkey: 1' as keys, case when count(*) = count(distinct c_custkey) then 'Yes' else 'No' end as "unique",
  'No' as sparse, '-' as ttl from customer
+union all select 'rich', 'rich: 1', case when count(rich) = count(distinct rich) then 'Yes' else 'No' end,
+ case when count(rich) < count(*) then 'Yes' else 'No' end, '-' from (select case when c_acctbal > 0 then c_custkey end as rich from customer) s
 union all select 'segment', 'c_nationkey: 1, c_mktsegment: 1', case when count(*) = count(distinct (c_nationkey, c_mktsegment)) then 'Yes' else 'No' end,
  'No', '-' from customer"""
 )
 def key_report(spark, sf):
-    keys = {"id": ["c_custkey"], "segment": ["c_nationkey", "c_mktsegment"]}
-    return T.key_report(readers.key_profile(table(spark, sf, "customer"), keys))
+    keys = {"id": ["c_custkey"], "rich": ["rich"], "segment": ["c_nationkey", "c_mktsegment"]}
+    rows = table(spark, sf, "customer").withColumn("rich", F.when(F.col("c_acctbal") > 0, F.col("c_custkey")))
+    return T.key_report(readers.key_profile(rows, keys))
 
 
 @query(
@@ -586,12 +593,18 @@ def join_path(spark, sf):
 
 
 @query(
-    """select l_orderkey, l_linenumber, '[' || l_linenumber || ']' as formatted, true as is_index, cast(l_linenumber as bigint) as parsed,
- '[*]' as normalized from lineitem"""
+    """select l_orderkey, l_linenumber, case when l_returnflag = 'R' then l_returnflag
+ when l_quantity > 40 then '[' || l_returnflag || ']' else '[' || l_linenumber || ']' end as formatted,
+ not (l_returnflag = 'R' or l_quantity > 40) as is_index,
+ case when not (l_returnflag = 'R' or l_quantity > 40) then cast(l_linenumber as bigint) end as parsed,
+ case when l_returnflag = 'R' then l_returnflag when l_quantity > 40 then '[' || l_returnflag || ']' else '[*]' end as normalized
+from lineitem"""
 )
 def array_index_ops(spark, sf):
+    """Index segments, plain names and names in brackets."""
     lines = table(spark, sf, "lineitem")
-    index = P.format_array_index(F.col("l_linenumber"))
+    index = F.when(F.col("l_quantity") > 40, F.concat(F.lit("["), "l_returnflag", F.lit("]"))).otherwise(P.format_array_index(F.col("l_linenumber")))
+    index = F.when(F.col("l_returnflag") == "R", F.col("l_returnflag")).otherwise(index)
     return lines.select(
         "l_orderkey", "l_linenumber", index.alias("formatted"), P.is_array_index(index).alias("is_index"),
         P.parse_array_index(index).alias("parsed"), P.normalize_array_index(index).alias("normalized"),
@@ -686,3 +699,58 @@ def write_reports(spark, sf):
     store.write_reports(folder, {"variants": report})
     back = spark.read.parquet(f"{folder}/variants")
     return back.select("collection", F.col("rank").cast("bigint").alias("rank"), "variant", "ratio")
+
+
+# --- a whole run -------------------------------------------------------------------------------
+
+
+@query(
+    f"""with {O.flat('order_docs', 'contact_docs')}, {O.fields()}, {O.field_hints()}
+select f.collection, f.path, f.present_count, round(f.present_ratio, 6) as present_ratio, f.mixed_type, f.lo as min, f.hi as max,
+ coalesce(h.hints, '') as hints from fields f left join fh_text h using (collection, path)"""
+)
+def run_fields(spark, sf):
+    found = profile_documents(documents(spark, sf, "order_docs", "contact_docs"), OPTIONS).fields
+    return found.select(
+        "collection", "path", "present_count", F.round("present_ratio", 6).alias("present_ratio"), "mixed_type",
+        F.col("stats.min").alias("min"), F.col("stats.max").alias("max"), F.array_join("hints", ", ").alias("hints"),
+    )
+
+
+@query(
+    f"""with {O.flat('order_docs', 'contact_docs')}, {O.fields()}, {O.field_hints()},
+found as (select collection, count(*) as n from fh_text group by 1), total as (select collection, count(*) as docs from flat_docs group by 1)
+select collection, docs as sampled, n as pii_field_count, 'PII detected' as warnings from total join found using (collection)"""
+)
+def run_warnings(spark, sf):
+    found = profile_documents(documents(spark, sf, "order_docs", "contact_docs"), OPTIONS).warnings
+    return found.select("collection", "sampled", "pii_field_count", F.array_join("warnings", ", ").alias("warnings"))
+
+
+@query(
+    f"""{_BEFORE_AFTER},
+old_rows as (select * from old where path not like '%.[*]'), new_rows as (select * from flat where path not like '%.[*]'),
+b as (select path, string_agg(distinct type, ', ' order by type) as before from old_rows group by 1),
+a as (select path, string_agg(distinct type, ', ' order by type) as after from new_rows group by 1)
+select path, case when a.after is not null and b.before is not null and contains(path, 'v') then 'about ' || path else '' end as description,
+ case when b.before is null then 'added' when a.after is null then 'removed' when b.before <> a.after then 'type-changed' else 'same' end as status,
+ 'gone' as preserved from a full join b using (path)"""
+)
+def run_second_round(spark, sf):
+    """The later documents against the stored profile of the earlier ones, whose descriptions are carried on."""
+    earlier = fixture(spark, sf, "events_v1").withColumn("collection", F.lit("events"))
+    gone = fixture(spark, sf, "contact_docs").withColumn("collection", F.lit("gone"))
+    first = profile_documents(earlier.unionByName(gone), OPTIONS)
+    answers = first.fields.where(F.contains("path", F.lit("v"))).select(
+        "collection", "path", F.concat(F.lit("about "), "path").alias("description"), F.lit(1).alias("seq")
+    )
+    folder = _scratch(spark)
+    write_profile(replace(first, fields=D.apply_descriptions(first.fields, answers)), folder)
+    later = fixture(spark, sf, "mixed_docs").withColumn("collection", F.lit("events"))
+    second = profile_documents(later, OPTIONS, previous=store.load_schema_json(spark, f"{folder}/schema"))
+    described = second.fields.select("path", F.coalesce("description", F.lit("")).alias("description"))
+    changed = second.drift.select("path", F.col("status").alias("change"))
+    rows = described.join(changed, "path", "full_outer").select(
+        "path", F.coalesce("description", F.lit("")).alias("description"), F.coalesce("change", F.lit("same")).alias("status")
+    )
+    return rows.join(F.broadcast(second.preserved.select(F.col("collection").alias("preserved"))))
