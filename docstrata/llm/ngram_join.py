@@ -11,7 +11,7 @@ A document is the set of its distinct shingle hashes. Two documents link when in
    R-tree over the points bounds the overlap of two boxes by the summed minima of their upper corners, and boxes (or
    points) that cannot reach the overlap needed, or lie in one component, are dropped. Groups of more than `block_rows`
    documents are cut into chunks, and each pair of chunks is a block of its own.
-5. Surviving pairs are verified on the whole sets, and components are taken again.
+5. Surviving pairs are bounded once more with finer counts, verified on the whole sets, and components are taken again.
 
 Each (distinct) pair that may link is verified or already connected, so the components are exact.
 
@@ -31,7 +31,10 @@ from pyspark.sql import functions as F
 from docstrata.llm.common import Words, components, mix, slices, stored, text_of, window_hashes
 
 WIDTH = 5
-TOKEN_GROUPS = 64
+TOKEN_GROUPS = 128
+#: Shingles per group of the fine counts that surviving pairs are bounded with before their sets are fetched.
+FINE_SHARE = 4
+BROADCAST_NODES = 100_000
 FANOUT = 16
 
 # ---------------------------------------------------------------- sets
@@ -57,8 +60,22 @@ def prefix_size(n: int) -> int:
     return n - (4 * n + 4) // 5 + 1 if n else 0
 
 
-def count_vector(shingles: np.ndarray) -> np.ndarray:
-    return np.bincount((mix(shingles) % np.uint64(TOKEN_GROUPS)).astype(np.int64), minlength=TOKEN_GROUPS).astype(np.int32)
+def count_vector(shingles: np.ndarray, groups: int = TOKEN_GROUPS) -> np.ndarray:
+    """How many shingles each token group has; `groups` is a power of two, so that finer counts fold into coarser ones."""
+    return np.bincount((mix(shingles) & np.uint64(groups - 1)).astype(np.int64), minlength=groups).astype(np.int32)
+
+
+def fine_counts(shingles: np.ndarray) -> bytes:
+    groups = max(TOKEN_GROUPS, 1 << (len(shingles) // FINE_SHARE).bit_length())
+    return count_vector(shingles, groups).astype("<u2").tobytes()
+
+
+def fine_bound(a: bytes, b: bytes) -> int:
+    """The summed minima of two fine counts, the finer one folded."""
+    x, y = np.frombuffer(a, "<u2"), np.frombuffer(b, "<u2")
+    groups = min(len(x), len(y))
+    x, y = (v.reshape(-1, groups).sum(axis=0, dtype=np.int64) for v in (x, y))
+    return int(np.minimum(x, y).sum())
 
 
 def _lists(arrays: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
@@ -74,8 +91,15 @@ def _digests(batches):
             # two sums over differently mixed members: equal sets, and in practice only those, have equal digests
             sums = [(int(s.sum(dtype=np.uint64).view(np.int64)), int(mix(s + np.uint64(1)).sum(dtype=np.uint64).view(np.int64))) for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([a for a, _ in sums], pa.int64()), pa.array([b for _, b in sums], pa.int64())],
-                ["doc_id", "n_shingles", "digest_a", "digest_b"],
+                [
+                    part.column("doc_id"),
+                    pa.array([len(s) for s in sets], pa.int64()),
+                    pa.array([a for a, _ in sums], pa.int64()),
+                    pa.array([b for _, b in sums], pa.int64()),
+                    _lists([count_vector(s) for s in sets], pa.int32()),
+                    pa.array([fine_counts(s) for s in sets], pa.binary()),
+                ],
+                ["doc_id", "n_shingles", "digest_a", "digest_b", "vector", "fine"],
             )
 
 
@@ -103,13 +127,6 @@ def _whole_sets(batches):
             yield pa.RecordBatch.from_arrays([part.column("node"), _lists([s.view(np.int64) for s in sets], pa.int64())], ["node", "shingles"])
 
 
-def _vectors(batches):
-    for batch in batches:
-        for part in slices([batch], "t"):
-            sets = shingle_sets(part.column("t"))
-            yield pa.RecordBatch.from_arrays([part.column("node"), _lists([count_vector(s) for s in sets], pa.int32())], ["node", "vector"])
-
-
 # ---------------------------------------------------------------- tree
 
 
@@ -215,32 +232,40 @@ def _verified(batches):
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    return docs.join(nodes, docs["doc_id"] == nodes["node"]).select("node", "t")
+def _possible(batches):
+    for batch in batches:
+        keep = []
+        for size_a, size_b, a, b in zip(*(batch.column(c).to_pylist() for c in ("size_a", "size_b", "fine_a", "fine_b")), strict=True):
+            keep.append(9 * fine_bound(a, b) >= 4 * (size_a + size_b))
+        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
+def possible_pairs(pairs: DataFrame, digests: DataFrame, name: str) -> DataFrame:
+    """Those (a, b) pairs that sizes and fine counts allow."""
+    for side in ("a", "b"):
+        counts = digests.select(F.col("doc_id").alias(side), F.col("n_shingles").alias(f"size_{side}"), F.col("fine").alias(f"fine_{side}"))
+        pairs = pairs.join(counts, side)
+    pairs = pairs.where("5 * least(size_a, size_b) >= 4 * greatest(size_a, size_b)")
+    return stored(pairs.select("a", "b", "size_a", "size_b", "fine_a", "fine_b").mapInArrow(_possible, "a long, b long").distinct(), f"{name}-pairs")
 
 
 def verified_links(docs: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
     """Those (a, b) pairs whose whole sets reach the similarity."""
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    sets = stored(_texts_of(docs, nodes).mapInArrow(_whole_sets, "node long, shingles array<long>"), f"{name}-sets")
+    nodes = stored(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), f"{name}-nodes")
+    if nodes.count() <= BROADCAST_NODES:
+        nodes = F.broadcast(nodes)
+    texts = docs.join(nodes, docs["doc_id"] == nodes["node"]).select("node", "t")
+    sets = stored(texts.mapInArrow(_whole_sets, "node long, shingles array<long>"), f"{name}-sets")
     sided = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("set_b")), "b")
     sided = sided.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a")), "a")
     return stored(sided.select("a", "b", "set_a", "set_b").mapInArrow(_verified, "a long, b long"), f"{name}-links")
 
 
-def bounded_pairs(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Pairs (a, b, size_a, size_b) whose summed minima of counts reach the overlap needed."""
-    for side in ("a", "b"):
-        pairs = pairs.join(vectors.select(F.col("node").alias(side), F.col("vector").alias(f"vector_{side}")), side)
-    bound = F.aggregate(F.zip_with("vector_a", "vector_b", lambda x, y: F.least(x, y)), F.lit(0), lambda t, x: t + x)
-    return pairs.where(9 * bound >= 4 * (F.col("size_a") + F.col("size_b"))).select("a", "b").distinct()
-
-
 def link_documents(documents: DataFrame, block_rows: int = 1000) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(documents).alias("t"))
     with_id = docs.where("doc_id is not null")
-    digests = stored(docs.mapInArrow(_digests, "doc_id long, n_shingles long, digest_a long, digest_b long"), "shingles-digests")
+    digests = stored(docs.mapInArrow(_digests, "doc_id long, n_shingles long, digest_a long, digest_b long, vector array<int>, fine binary"), "shingles-digests")
     classes = digests.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "digest_a", "digest_b").agg(F.min("doc_id").alias("class"))
     copies = stored(
         digests.join(classes, ["n_shingles", "digest_a", "digest_b"]).where("doc_id <> class").select(F.col("doc_id").alias("doc"), "class"), "shingles-copies"
@@ -257,24 +282,19 @@ def link_documents(documents: DataFrame, block_rows: int = 1000) -> DataFrame:
     shared = shared.select("key", "node", "size", F.coalesce("of", "center").alias("center")).distinct()
     shared = stored(shared, "shingles-groups")
 
-    nodes = shared.select("node").distinct()
-    vectors = stored(_texts_of(with_id, nodes).mapInArrow(_vectors, "node long, vector array<int>"), "shingles-vectors")
-    sizes = shared.select(F.col("node").alias("center"), F.col("size").alias("size_a")).distinct()
-    stars = shared.where("node <> center").select("center", F.col("node").alias("b"), F.col("size").alias("size_b")).distinct()
-    stars = stars.join(sizes, "center").where("5 * least(size_a, size_b) >= 4 * greatest(size_a, size_b)")
-    stars = bounded_pairs(stars.withColumnRenamed("center", "a"), vectors)
-    links = verified_links(with_id, stored(stars, "shingles-stars"), "shingles-star")
+    stars = shared.where("node <> center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()
+    links = verified_links(with_id, possible_pairs(stars, digests, "shingles-star"), "shingles-star")
     found = stored(components(links, "shingles-star"), "shingles-component")
 
-    pairs = stored(remaining_pairs(shared, found, vectors, block_rows), "shingles-pairs")
-    more = verified_links(with_id, pairs, "shingles-rest")
+    pairs = remaining_pairs(shared, found, digests, block_rows)
+    more = verified_links(with_id, possible_pairs(pairs, digests, "shingles-rest"), "shingles-rest")
     everything = links.union(more).union(copies.select("doc", "class"))
     found = components(everything, "shingles-all")
     joined = digests.join(found, digests["doc_id"] == found["node"], "left")
     return joined.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def remaining_pairs(shared: DataFrame, found: DataFrame, vectors: DataFrame, block_rows: int) -> DataFrame:
+def remaining_pairs(shared: DataFrame, found: DataFrame, digests: DataFrame, block_rows: int) -> DataFrame:
     """Distinct pairs of different components within groups that the tree cannot rule out."""
     members = shared.join(found, "node", "left").select("key", "node", "size", F.coalesce("component", "node").alias("component"))
     # copies of a whole group of members (every hash of a shared passage has much the same one) are joined once
@@ -290,7 +310,7 @@ def remaining_pairs(shared: DataFrame, found: DataFrame, vectors: DataFrame, blo
         lambda other: F.struct(F.least("chunk", other).alias("i"), F.greatest("chunk", other).alias("j"), (other < F.col("chunk")).cast("int").alias("side")),
     )
     rows = rows.select("key", "node", "size", "component", F.explode(met).alias("m"))
-    rows = rows.join(vectors, "node").select(F.xxhash64("key", "m.i", "m.j").alias("block"), "node", "size", "component", "m.side", "vector")
+    rows = rows.join(digests.select(F.col("doc_id").alias("node"), "vector"), "node").select(F.xxhash64("key", "m.i", "m.j").alias("block"), "node", "size", "component", "m.side", "vector")
     rows = rows.repartition("block").sortWithinPartitions("block")
     return rows.mapInArrow(_tree_join, "a long, b long").distinct()
 
