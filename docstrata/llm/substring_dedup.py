@@ -9,8 +9,10 @@ window has started earlier. Suffixes are split by variable-length prefixes:
 2. Suffixes whose anchor repeats are dealt by it, each with the words it spans. A group builds its subtree: suffixes
    sorted by five-word runs, neighbours' common prefixes, and the internal nodes at full depth, whose leaves are one
    repeated window. Every leaf but the earliest is repeated text.
-3. An anchor with more than `group_rows` occurrences is too large a group. Its suffixes are split by their prefix at full
-   depth, where a group is one leaf set and its earliest leaf a pre-aggregated minimum.
+3. An anchor with more than `group_rows` occurrences is too large a group. Occurrences that span the same words are first
+   reduced to their earliest, a pre-aggregated minimum: all windows of the others are repeated. If there are still more
+   than `group_rows` different spans, their suffixes are split by the prefix at full depth, where a group is one leaf set
+   and its earliest leaf again a minimum.
 
 Defined cases: null and empty texts, and those under `WINDOW` words, keep all they have. A null id comes after all others.
 Rows with an equal id and text are one document and get the same result; rows with an equal id and other texts count by
@@ -68,16 +70,15 @@ def _anchor_rows(batches):
             )
 
 
-SUFFIXES = "prefix long, id long, tag long, start int, windows int, words string"
+SUFFIXES = "prefix long, id long, tag long, start int, windows int, large boolean, words string"
 
 
 def _suffix_rows(batches):
-    """One row per repeated anchor with the words of its windows, or, where `large`, one per window without words."""
+    """One row per repeated anchor, with the words that its windows span."""
     for batch in batches:
         for part in slices([batch], "t", 1 << 20):
             words = Words(part.column("t"))
             first, anchor, runs = _anchored(words)
-            whole = window_hashes(words.hashes, WINDOW)
             cut = np.flatnonzero(np.diff(anchor, prepend=-1))
             begin, anchor, windows = first[cut], anchor[cut], np.diff(cut, append=len(first))
             text = np.searchsorted(words.word_at, anchor, "right") - 1
@@ -87,28 +88,44 @@ def _suffix_rows(batches):
             items = places.flatten()
             wanted = np.repeat(words.word_at[:-1], counts) + items.field("place").to_numpy()
             owner = np.repeat(np.arange(len(places)), counts)
-            large = items.field("large").to_numpy(zero_copy_only=False)
+            if not len(wanted) or not len(anchor):
+                continue
             order = np.argsort(wanted, kind="stable")
-            hit = np.searchsorted(wanted[order], anchor)
-            hit = order[np.minimum(hit, max(len(order) - 1, 0))] if len(order) else np.zeros(len(anchor), np.int64)
-            found = (wanted[hit] == anchor) & (owner[hit] == text) if len(order) else np.zeros(len(anchor), bool)
-            begin, anchor, windows, text, large = (x[found] for x in (begin, anchor, windows, text, large[hit] if len(order) else found))
-            ids, tags = part.column("id").to_numpy(), part.column("tag").to_numpy()
-            small = ~large
+            hit = order[np.minimum(np.searchsorted(wanted[order], anchor), len(order) - 1)]
+            found = (wanted[hit] == anchor) & (owner[hit] == text)
+            begin, anchor, windows, text = begin[found], anchor[found], windows[found], text[found]
+            large = items.field("large").to_numpy(zero_copy_only=False)[hit[found]]
             data = words.data.tobytes()
-            spans = [data[a:b].decode() for a, b in zip(words.starts[begin[small]].tolist(), words.ends[begin[small] + windows[small] + WINDOW - 2].tolist(), strict=True)]
-            each = flat_ranges(begin[large], windows[large])
-            every = np.repeat(text[large], windows[large])
+            spans = [data[a:b].decode() for a, b in zip(words.starts[begin].tolist(), words.ends[begin + windows + WINDOW - 2].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.concatenate([runs[anchor[small]], whole[each]]).view(np.int64)),
-                    pa.array(np.concatenate([ids[text[small]], ids[every]])),
-                    pa.array(np.concatenate([tags[text[small]], tags[every]])),
-                    pa.array(np.concatenate([(begin - words.word_at[text])[small], each - words.word_at[every]]).astype(np.int32)),
-                    pa.array(np.concatenate([windows[small], np.ones(len(each), np.int64)]).astype(np.int32)),
-                    pa.array(spans + [None] * len(each), pa.string()),
+                    pa.array(runs[anchor].view(np.int64)),
+                    pa.array(part.column("id").to_numpy()[text]),
+                    pa.array(part.column("tag").to_numpy()[text]),
+                    pa.array((begin - words.word_at[text]).astype(np.int32)),
+                    pa.array(windows.astype(np.int32)),
+                    pa.array(large.astype(bool)),
+                    pa.array(spans, pa.string()),
+                ],
+                ["prefix", "id", "tag", "start", "windows", "large", "words"],
+            )
+
+
+def _window_rows(batches):
+    """A row per window, by its prefix at full depth."""
+    for batch in batches:
+        for part in slices([batch], "words"):
+            words = Words(part.column("words"))
+            windows = part.column("windows").to_numpy().astype(np.int64)
+            row = np.repeat(np.arange(len(windows)), windows)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(window_hashes(words.hashes, WINDOW)[flat_ranges(words.word_at[:-1], windows)].view(np.int64)),
+                    pa.array(part.column("id").to_numpy()[row]),
+                    pa.array(part.column("tag").to_numpy()[row]),
+                    pa.array(flat_ranges(part.column("start").to_numpy().astype(np.int64), windows).astype(np.int32)),
                 ],
-                ["prefix", "id", "tag", "start", "windows", "words"],
+                ["prefix", "id", "tag", "start"],
             )
 
 
@@ -195,12 +212,20 @@ def repeated_windows(documents: DataFrame, group_rows: int = 2000) -> DataFrame:
     suffixes = docs.join(places, "id").select("id", "t", F.xxhash64("t").alias("tag"), "places").mapInArrow(_suffix_rows, SUFFIXES)
     suffixes = stored(suffixes, "passages-suffixes")
 
-    small = suffixes.where("words is not null").repartition("prefix").sortWithinPartitions("prefix")
-    later = small.mapInArrow(_subtrees, "id long, tag long, start int, windows int")
-    large = suffixes.where("words is null").select("prefix", "id", "tag", "start")
-    earliest = large.groupBy("prefix").agg(F.min(F.struct("id", "start")).alias("earliest"), F.count("*").alias("n")).where("n > 1")
-    hot = large.join(earliest, "prefix").where("id <> earliest.id or start <> earliest.start").select("id", "tag", "start", F.lit(1).alias("windows"))
-    return stored(later.union(hot), "passages-repeats")
+    rows = ["prefix", "id", "tag", "start", "windows", "words"]
+    large = suffixes.where("large").withColumn("span", F.xxhash64("words"))
+    spans = stored(large.groupBy("prefix", "span").agg(F.min(F.struct("id", "start")).alias("earliest")), "passages-spans")
+    copies = large.join(spans, ["prefix", "span"]).where("id <> earliest.id or start <> earliest.start").select("id", "tag", "start", "windows")
+    first = spans.select("prefix", "span", "earliest.id", "earliest.start")
+    many = spans.groupBy("prefix").agg((F.count("*") > group_rows).alias("many"))
+    first = large.join(first, ["prefix", "span", "id", "start"]).join(many, "prefix").select(*rows, "many")
+
+    small = suffixes.where("not large").select(*rows).union(first.where("not many").select(*rows))
+    later = small.repartition("prefix").sortWithinPartitions("prefix").mapInArrow(_subtrees, "id long, tag long, start int, windows int")
+    windows = first.where("many").select(*rows).mapInArrow(_window_rows, "prefix long, id long, tag long, start int")
+    earliest = windows.groupBy("prefix").agg(F.min(F.struct("id", "start")).alias("earliest"), F.count("*").alias("n")).where("n > 1")
+    hot = windows.join(earliest, "prefix").where("id <> earliest.id or start <> earliest.start").select("id", "tag", "start", F.lit(1).alias("windows"))
+    return stored(later.union(copies).union(hot), "passages-repeats")
 
 
 def _covered(words: Words, runs: pa.ListArray) -> np.ndarray:

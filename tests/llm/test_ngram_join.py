@@ -46,7 +46,7 @@ def expected(docs):
 def near_copies(seed=3):
     random.seed(seed)
     vocabulary = [f"w{i}" for i in range(300)]
-    bases = [[random.choice(vocabulary) for _ in range(random.choice([6, 30, 90, 200]))] for _ in range(8)]
+    bases = [[random.choice(vocabulary) for _ in range(random.choice([6, 30, 90, 200, 330]))] for _ in range(8)]
     docs = []
     for i in range(120):
         words = list(random.choice(bases))
@@ -83,12 +83,14 @@ def test_tree_loses_no_pair_that_may_link():
     vectors[100:] = np.maximum(vectors[:100] + random.integers(-1, 2, (100, 64)) * (random.random((100, 64)) < 0.05), 0)
     sizes = vectors.sum(axis=1)
     parts = random.integers(0, 150, 200)
-    a, b = ngram_join.CountTree(vectors, sizes, parts).pairs()
+    rests = sizes - random.integers(0, np.maximum(sizes // 5, 1))
+    a, b = ngram_join.CountTree(vectors, sizes, parts, rests).pairs()
     got = {tuple(sorted(p)) for p in zip(a.tolist(), b.tolist(), strict=True)}
     for i in range(200):
         for j in range(i):
             bound = np.minimum(vectors[i], vectors[j]).sum()
             fits = 9 * bound >= 4 * (sizes[i] + sizes[j]) and 5 * min(sizes[i], sizes[j]) >= 4 * max(sizes[i], sizes[j])
+            fits &= 9 * min(rests[i], rests[j]) >= 4 * (sizes[i] + sizes[j])
             assert ((j, i) in got) == (fits and parts[i] != parts[j])
 
 
