@@ -33,7 +33,7 @@ def round_trip(spark, docs, folder, tokenizer_files, length, shard):
 
 def test_shards_hold_every_id_in_order(spark, tmp_path, tokenizer_files):
     tokenizer = Tokenizer.from_file(tokenizer_files("byte_bpe_50k.json"))
-    docs = edges.frame(spark).coalesce(1)
+    docs = spark.createDataFrame(edges.rows(), edges.SCHEMA).coalesce(1)
     stream = round_trip(spark, docs, f"file://{tmp_path}/a", tokenizer_files, 32, 50)
     want = [i for r in docs.collect() for i in [*tokenizer.encode(r.text or "", add_special_tokens=False).ids, 50256]]
     assert stream[: len(want)] == want and set(stream[len(want) :]) <= {50256} and len(stream) - len(want) < 32
