@@ -99,7 +99,7 @@ def _slotted_rows(n: int, key: int, length: int, shard_sequences: int):
                 order = np.argsort(shard, kind="stable")
                 cuts = np.flatnonzero(np.diff(shard[order], prepend=-1))
                 groups = np.split(order, cuts[1:])
-                press = zstandard.ZstdCompressor(level=1)
+                press = zstandard.ZstdCompressor(level=3)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(shard[order[cuts]].astype(np.int32)),
