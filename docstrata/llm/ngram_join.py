@@ -9,7 +9,8 @@ A document is the set of its distinct shingle hashes. Two documents link when in
    components, so the many copies of one text cost one comparison each and never all pairs.
 4. What is left are groups with several components. Hashes dealt into token groups make a document a point of counts. An
    R-tree over the points bounds the overlap of two boxes by the summed minima of their upper corners, and boxes (or
-   points) that cannot reach the overlap needed, or lie in one component, are dropped. Groups of more than `block_rows`
+   points) that cannot reach the overlap needed, or lie in one component, are dropped. So are those that cannot reach it
+   with what their sets hold from the group's hash on: a pair is looked at where its first common hash is. Groups of more than `block_rows`
    documents are cut into chunks, and each pair of chunks is a block of its own.
 5. Surviving pairs are bounded once more with finer counts, verified on the whole sets, and components are taken again.
 
@@ -36,6 +37,7 @@ TOKEN_GROUPS = 128
 FINE_SHARE = 4
 BROADCAST_NODES = 100_000
 FANOUT = 16
+BUNDLE_ROWS = 30_000
 
 # ---------------------------------------------------------------- sets
 
@@ -110,13 +112,17 @@ def _postings(batches):
             sizes = np.array([len(s) for s in sets])
             prefixes = [s[: prefix_size(len(s))] for s in sets]
             counts = np.array([len(p) for p in prefixes])
+            # signed keys in the order of the hashes
+            keys = (np.concatenate(prefixes) ^ np.uint64(1 << 63)).view(np.int64)
+            ranks = np.concatenate([np.arange(n) for n in counts])
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.concatenate(prefixes).view(np.int64)),
+                    pa.array(keys),
                     pa.array(np.repeat(part.column("doc_id").to_numpy(), counts)),
                     pa.array(np.repeat(sizes, counts).astype(np.int32)),
+                    pa.array(ranks.astype(np.int32)),
                 ],
-                ["key", "doc", "size"],
+                ["key", "doc", "size", "rank"],
             )
 
 
@@ -131,16 +137,21 @@ def _whole_sets(batches):
 
 
 class CountTree:
-    """Bulk-loaded R-tree over count vectors; a node keeps its upper corner, its range of sizes and its component if one."""
+    """Bulk-loaded R-tree over count vectors.
 
-    def __init__(self, vectors: np.ndarray, sizes: np.ndarray, parts: np.ndarray):
+    A node keeps its upper corner, its range of sizes, its component if it has one, and the most hashes that one of its sets
+    has from the group's on (`rests`).
+    """
+
+    def __init__(self, vectors: np.ndarray, sizes: np.ndarray, parts: np.ndarray, rests: np.ndarray):
         self.order = np.lexsort((vectors[:, 1], vectors[:, 0], sizes // 8, parts))
-        self.levels = [(vectors[self.order], sizes[self.order], sizes[self.order], parts[self.order])]
+        self.levels = [(vectors[self.order], sizes[self.order], sizes[self.order], parts[self.order], rests[self.order])]
         while len(self.levels[-1][1]) > 1:
-            corner, low, high, part = self.levels[-1]
+            corner, low, high, part, rest = self.levels[-1]
             at = np.arange(0, len(low), FANOUT)
             first, last = np.minimum.reduceat(part, at), np.maximum.reduceat(part, at)
-            self.levels.append((np.maximum.reduceat(corner, at), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), np.where(first == last, first, -1)))
+            upper = [np.maximum.reduceat(x, at) for x in (corner, high, rest)]
+            self.levels.append((upper[0], np.minimum.reduceat(low, at), upper[1], np.where(first == last, first, -1), upper[2]))
 
     def pairs(self, split: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Pairs of points, by their place, that may link and are not in one component; with `split`, across it only."""
@@ -163,12 +174,13 @@ class CountTree:
         return a[keep], b[keep]
 
     def _possible(self, depth, left, right):
-        corner, low, high, part = self.levels[depth]
+        corner, low, high, part, rest = self.levels[depth]
         if not depth:
             apart = left < right
             left, right = left[apart], right[apart]
         fits = (part[left] != part[right]) | (part[left] < 0)
         fits &= (5 * high[right] >= 4 * low[left]) & (5 * high[left] >= 4 * low[right])
+        fits &= 9 * np.minimum(rest[left], rest[right]) >= 4 * (low[left] + low[right])
         left, right = left[fits], right[fits]
         kept = [np.zeros(0, bool)]
         for at in range(0, len(left), 50_000):
@@ -180,14 +192,18 @@ class CountTree:
 
 
 def _tree_join(batches):
-    """Rows sorted by block; a block may run over several batches, and holds at most two chunks of documents."""
+    """Rows sorted by bundle and block; a block may run over several batches, and holds at most two chunks of documents.
+
+    The blocks of a bundle have much the same pairs, which are given once, as far as `BUNDLE_ROWS` go.
+    """
     waiting: list[pa.RecordBatch] = []
 
     def joined(rows: pa.Table):
         if not rows.num_rows:
             return
         block = rows.column("block").to_numpy()
-        node, size, part, side = (rows.column(c).to_numpy() for c in ("node", "size", "component", "side"))
+        node, size, rank, part, side = (rows.column(c).to_numpy() for c in ("node", "size", "rank", "component", "side"))
+        size = size.astype(np.int64)
         vectors = rows.column("vector").combine_chunks().flatten().to_numpy().reshape(-1, TOKEN_GROUPS)
         cuts = np.flatnonzero(np.diff(block)) + 1
         out: list[np.ndarray] = []
@@ -196,7 +212,7 @@ def _tree_join(batches):
                 of = slice(start, stop)
                 _, parts = np.unique(part[of], return_inverse=True)
                 sides = side[of]
-                a, b = CountTree(vectors[of], size[of].astype(np.int64), parts).pairs(sides if sides.any() else None)
+                a, b = CountTree(vectors[of], size[of], parts, (size - rank)[of]).pairs(sides if sides.any() else None)
                 x, y = node[of][a], node[of][b]
                 out.append(np.stack([np.minimum(x, y), np.maximum(x, y)]))
         if out:
@@ -204,16 +220,20 @@ def _tree_join(batches):
             both = pa.table({"a": a, "b": b}).group_by(["a", "b"]).aggregate([])
             yield from both.to_batches()
 
+    held = 0
     for batch in batches:
         if not batch.num_rows:
             continue
         waiting.append(batch)
-        if batch.column("block")[0].as_py() != batch.column("block")[batch.num_rows - 1].as_py():
+        held += batch.num_rows
+        name = "bundle" if batch.column("bundle")[0].as_py() != batch.column("bundle")[batch.num_rows - 1].as_py() else "block"
+        if name == "bundle" or held > BUNDLE_ROWS:
             rows = pa.Table.from_batches(waiting)
-            block = rows.column("block").to_numpy()
-            last = int(np.searchsorted(block, block[-1]))
+            names = rows.column(name).to_numpy()
+            last = int(np.flatnonzero(names != names[-1])[-1]) + 1 if names[0] != names[-1] else 0
             yield from joined(rows.slice(0, last))
             waiting = rows.slice(last).to_batches()
+            held = rows.num_rows - last
     if waiting:
         yield from joined(pa.Table.from_batches(waiting))
 
@@ -273,13 +293,13 @@ def link_documents(documents: DataFrame, block_rows: int = 1000) -> DataFrame:
 
     # Documents that share one of their smallest hashes, with the smallest document that does.
     group = Window.partitionBy("key")
-    postings = with_id.mapInArrow(_postings, "key long, doc long, size int")
+    postings = with_id.mapInArrow(_postings, "key long, doc long, size int, rank int")
     shared = postings.withColumns({"center": F.min("doc").over(group), "last": F.max("doc").over(group)}).where("center <> last").drop("last")
     shared = stored(shared, "shingles-shared")
     # A copy's place is its class's.
-    shared = shared.join(copies, "doc", "left").select("key", F.coalesce("class", "doc").alias("node"), "size", "center")
+    shared = shared.join(copies, "doc", "left").select("key", F.coalesce("class", "doc").alias("node"), "size", "rank", "center")
     shared = shared.join(copies.select(F.col("doc").alias("center"), F.col("class").alias("of")), "center", "left")
-    shared = shared.select("key", "node", "size", F.coalesce("of", "center").alias("center")).distinct()
+    shared = shared.select("key", "node", "size", "rank", F.coalesce("of", "center").alias("center")).distinct()
     shared = stored(shared, "shingles-groups")
 
     stars = shared.where("node <> center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()
@@ -296,12 +316,12 @@ def link_documents(documents: DataFrame, block_rows: int = 1000) -> DataFrame:
 
 def remaining_pairs(shared: DataFrame, found: DataFrame, digests: DataFrame, block_rows: int) -> DataFrame:
     """Distinct pairs of different components within groups that the tree cannot rule out."""
-    members = shared.join(found, "node", "left").select("key", "node", "size", F.coalesce("component", "node").alias("component"))
-    # copies of a whole group of members (every hash of a shared passage has much the same one) are joined once
+    members = shared.join(found, "node", "left").select("key", "node", "size", "rank", F.coalesce("component", "node").alias("component"))
+    # of groups with the same members, as the hashes of a shared passage have, the least hash is every pair's first
     groups = members.groupBy("key").agg(
-        F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("rows"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("members")
+        F.min("node").alias("lead"), F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("rows"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("members")
     )
-    groups = groups.where("low <> high").groupBy("rows", "members").agg(F.min("key").alias("key"))
+    groups = groups.where("low <> high").groupBy("rows", "members").agg(F.min("key").alias("key"), F.min("lead").alias("lead"))
     chunks = F.ceil(F.col("rows") / block_rows).cast("int")
     rows = members.join(groups, "key").withColumns({"chunks": chunks, "chunk": F.pmod(F.xxhash64("node"), chunks).cast("int")})
     # a chunk meets itself and every other chunk of its group, each pair once: side tells the two chunks of a block apart
@@ -309,9 +329,9 @@ def remaining_pairs(shared: DataFrame, found: DataFrame, digests: DataFrame, blo
         F.sequence(F.lit(0), F.col("chunks") - 1),
         lambda other: F.struct(F.least("chunk", other).alias("i"), F.greatest("chunk", other).alias("j"), (other < F.col("chunk")).cast("int").alias("side")),
     )
-    rows = rows.select("key", "node", "size", "component", F.explode(met).alias("m"))
-    rows = rows.join(digests.select(F.col("doc_id").alias("node"), "vector"), "node").select(F.xxhash64("key", "m.i", "m.j").alias("block"), "node", "size", "component", "m.side", "vector")
-    rows = rows.repartition("block").sortWithinPartitions("block")
+    rows = rows.select("key", "lead", "node", "size", "rank", "component", F.explode(met).alias("m"))
+    rows = rows.join(digests.select(F.col("doc_id").alias("node"), "vector"), "node").select(F.xxhash64("lead", "m.i", "m.j").alias("bundle"), F.xxhash64("key", "m.i", "m.j").alias("block"), "node", "size", "rank", "component", "m.side", "vector")
+    rows = rows.repartition("bundle").sortWithinPartitions("bundle", "block")
     return rows.mapInArrow(_tree_join, "a long, b long").distinct()
 
 
