@@ -19,6 +19,8 @@ line at an equal number is not later. An empty table gives an empty result. Colu
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,6 +31,7 @@ from docstrata.llm.common import components, mix, slices, stored, text_of
 EDITS = 2
 MIN_LENGTH = 20
 BUCKETS = 16
+PAIRS, POINTS = 512, 1 << 20
 LAST_ID = 2**63 - 1
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 2**64)
@@ -264,15 +267,25 @@ def within_edits(lefts: list[str], rights: list[str], edits: int = EDITS) -> np.
     return found
 
 
+def alike(sizes: np.ndarray) -> Iterator[np.ndarray]:
+    """The indices of all sizes in runs of like ones: at most `PAIRS`, and padded to the longest at most `POINTS`, or one alone."""
+    order = np.argsort(sizes, kind="stable")
+    ordered, start = sizes[order], 0
+    while start < len(order):
+        padded = ordered[start : start + PAIRS] * np.arange(1, len(ordered[start : start + PAIRS]) + 1)
+        stop = start + max(1, int(np.searchsorted(padded, POINTS, "right")))
+        yield order[start:stop]
+        start = stop
+
+
 def _verified(batches):
     for batch in batches:
         for part in slices([batch], "text_a", 1 << 20):
             lefts, rights = part.column("text_a").to_pylist(), part.column("text_b").to_pylist()
-            # pairs of like lengths advance together
-            order = sorted(range(len(lefts)), key=lambda i: len(rights[i]))
+            # pairs of like lengths advance together, a very long one alone
+            sizes = np.array([max(len(x), len(y)) for x, y in zip(lefts, rights, strict=True)], np.int64)
             keep = np.zeros(len(lefts), bool)
-            for at in range(0, len(order), 512):
-                rows = order[at : at + 512]
+            for rows in alike(sizes):
                 keep[rows] = within_edits([lefts[i] for i in rows], [rights[i] for i in rows])
             yield part.select(["a", "b"]).filter(pa.array(keep))
 

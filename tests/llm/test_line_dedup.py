@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 import pytest
 
 from docstrata.llm import line_dedup
@@ -70,6 +71,16 @@ def test_edits_against_the_table_method():
     assert line_dedup.within_edits(lefts, rights).tolist() == [distance(a, b) <= 2 for a, b in zip(lefts, rights, strict=True)]
 
 
+def test_a_long_pair_is_verified_alone(monkeypatch):
+    random.seed(4)
+    texts = ["".join(random.choices("abc ", k=n)) for n in [30] * 600 + [30_000]]
+    seen, edits = [], line_dedup.within_edits
+    monkeypatch.setattr(line_dedup, "within_edits", lambda a, b: seen.append(len(a) * max(map(len, a + b))) or edits(a, b))
+    batch = pa.RecordBatch.from_pydict({"a": range(601), "b": range(601), "text_a": texts, "text_b": [t[1:] + "d" for t in texts]})
+    assert sum(part.num_rows for part in line_dedup._verified([batch])) == 601
+    assert max(seen) <= line_dedup.POINTS
+
+
 @pytest.mark.parametrize("group_rows", [2000, 3])
 def test_lines_against_brute_force(spark, group_rows):
     random.seed(2)
