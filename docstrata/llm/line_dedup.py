@@ -8,8 +8,9 @@ A line is cut into `EDITS + 1` even segments. After that many edits one segment
 places off. So each line is dealt out by its own segments and by those of its substrings that may equal a segment of a
 line of the same or a slightly smaller length; lines that meet are candidates. Each row carries a line's letter counts in
 sixteen buckets, since every edit moves them by two at most; that ends most chance meetings. Where more than `group_rows`
-lines share a segment they are dealt out again, by segment and by five parts of their counts, one of which has to be equal.
-Candidates are verified on the whole lines with a banded, bit-parallel automaton.
+different lines share a segment they are dealt out again, by segment and by five parts of their counts, one of which has to
+be equal; groups still larger are cut into chunks of that size, and each two chunks meet in a task's cell of their own, where
+lines already joined are not compared again. Candidates are verified on the whole lines with a banded, bit-parallel automaton.
 
 Defined cases: a null or empty text has no lines with a word. Null ids come after all others. Rows with an equal id and
 text are one document and get the same result; rows with an equal id and other texts count by line numbers alone, and a
@@ -157,7 +158,7 @@ def _met(line: np.ndarray, letters: np.ndarray, own: np.ndarray) -> list[np.ndar
     return out
 
 
-def _meetings(group_rows: int | None):
+def _meetings(group_rows: int):
     """Rows sorted by key: candidate pairs (a, b), or the rows of a group that is too large, as they came."""
 
     def emit(pairs: list[np.ndarray]):
@@ -213,7 +214,7 @@ def _meetings(group_rows: int | None):
                 last = int(np.searchsorted(key, key[-1]))
                 yield from whole(table.slice(0, last))
                 table = table.slice(last)
-                if group_rows and table.num_rows > group_rows:
+                if table.num_rows > group_rows:
                     large = int(key[-1])
                     yield from rows_of(table)
                     table = table.slice(table.num_rows)
@@ -232,15 +233,19 @@ def within_edits(lefts: list[str], rights: list[str], edits: int = EDITS) -> np.
     """
     n = len(lefts)
     sizes_a, sizes_b = np.array([len(s) for s in lefts], np.int64), np.array([len(s) for s in rights], np.int64)
-    found = np.zeros(n, bool)
-    band = 2 * edits + 1
-    width_a, width_b = int(sizes_a.max(initial=0)), int(sizes_b.max(initial=0))
-    a = np.zeros((n, width_a + width_b + band), np.uint32)
+    width_b = int(sizes_b.max(initial=0))
+    a = np.zeros((n, int(sizes_a.max(initial=0)) + width_b + 2 * edits + 1), np.uint32)
     b = np.zeros((n, width_b + 1), np.uint32)
     for row, (x, y) in enumerate(zip(lefts, rights, strict=True)):
         a[row, edits : edits + len(x)] = np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32) + 1
         b[row, : len(y)] = np.frombuffer(y.encode("utf-32-le", "surrogatepass"), np.uint32) + 1
-    a, b = np.ascontiguousarray(a.T), np.ascontiguousarray(b.T)
+    return _advanced(np.ascontiguousarray(a.T), np.ascontiguousarray(b.T), sizes_a, sizes_b, edits)
+
+
+def _advanced(a: np.ndarray, b: np.ndarray, sizes_a: np.ndarray, sizes_b: np.ndarray, edits: int) -> np.ndarray:
+    """`within_edits` of the columns of `a` (code points from row `edits` on) and `b`, zeros around them."""
+    n, band, width_b = len(sizes_a), 2 * edits + 1, int(sizes_b.max(initial=0))
+    found = np.zeros(n, bool)
     mask = np.uint32((1 << band) - 1)
     states = [np.full(n, (((1 << (d + 1)) - 1) << edits) & int(mask), np.uint32) for d in range(edits + 1)]
     ending = sizes_a - sizes_b + edits
@@ -300,27 +305,95 @@ def _wanted_lines(batches):
 
 
 PARTS = ((0, 3), (3, 3), (6, 3), (9, 3), (12, 4))
+CHUNK_POINTS = 4 << 20
+
+
+def cells(large: DataFrame, texts: DataFrame, group_rows: int) -> DataFrame:
+    """The rows of groups that were too large, with their texts, in cells (key, i, j) that hold two chunks of a group at most.
+
+    A group is dealt by its segment and each part of the letter counts (at most 2 * EDITS buckets differ, so one part is
+    equal); what is still over `group_rows` is cut into chunks, and each two chunks meet in a cell of their own.
+    """
+    sizes = large.groupBy("whole").agg(F.count("*").alias("n"), F.max("own").alias("any")).where("n > 1 and any").drop("any")
+    equal = [F.struct(F.xxhash64("whole", F.lit(i), F.shiftrightunsigned("letters", 4 * at).bitwiseAND(16**n - 1)).alias("key"), F.lit(i).alias("part")) for i, (at, n) in enumerate(PARTS)]
+    one = F.array(F.struct(F.col("whole").alias("key"), F.lit(0).alias("part")))
+    dealt = large.join(sizes, "whole").select(F.explode(F.when(F.col("n") > group_rows, F.array(*equal)).otherwise(one)).alias("to"), "line", "letters", "own")
+    dealt = dealt.join(texts, "line").select("to.key", "to.part", "line", "letters", "own", "text")
+    groups = dealt.groupBy("key").agg(F.count("*").alias("n"), F.max("own").alias("any"), F.sum(F.length("text")).alias("points")).where("n > 1 and any")
+    chunks = F.greatest(F.ceil(F.col("n") / group_rows), F.ceil(F.col("points") / CHUNK_POINTS)).cast("int")
+    dealt = dealt.join(groups.select("key", chunks.alias("chunks")), "key")
+    dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64("line", "key"), "chunks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    return dealt.select("key", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "part", "chunk", "line", "letters", "own", "text")
+
+
+def _cell_links(cell: pa.Table) -> pa.Table:
+    """Links of the two chunks of a cell, or of one chunk with itself, that join what no earlier one has joined."""
+    chunk, own = cell.column("chunk").to_numpy(), cell.column("own").to_numpy()
+    line, letters = cell.column("line").to_numpy(), cell.column("letters").to_numpy().view(np.uint64)
+    i, j, part = (cell.column(c)[0].as_py() for c in ("i", "j", "part"))
+    left, right = np.flatnonzero(chunk == i), np.flatnonzero(chunk == j)
+    links: list[tuple[int, int]] = []
+    if len(left) and len(right) and len(line) > 1:
+        texts = cell.column("text").to_pylist()
+        sizes = np.array([len(t) for t in texts], np.int64)
+        width = int(sizes.max())
+        points = np.zeros((len(texts), 2 * width + 2 * EDITS + 1), np.uint32)
+        for row, text in enumerate(texts):
+            points[row, EDITS : EDITS + len(text)] = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32) + 1
+        points = np.ascontiguousarray(points.T)
+        counts = np.stack([(letters >> np.uint64(4 * b) & np.uint64(15)).astype(np.uint8) for b in range(BUCKETS)])
+        counts = counts[(counts != counts[:, :1]).any(axis=1)]
+        names = np.arange(len(line))
+        most = max(1, POINTS // width)
+        for at in range(0, len(left), 256):
+            rows = left[at : at + 256]
+            meet = (names[rows][:, None] != names[right]) & (own[rows][:, None] | own[right])
+            if i == j:
+                meet &= rows[:, None] < right
+            if not meet.any():
+                continue
+            apart = np.zeros(meet.shape, np.uint8)
+            for count in counts:
+                one = (count[rows][:, None] - count[right]) & np.uint8(15)
+                apart += np.minimum(one, np.uint8(16) - one)
+            a, b = np.nonzero(meet & (apart <= 2 * EDITS))
+            a, b = rows[a], right[b]
+            # a pair with an earlier part equal meets in that part's cells
+            for place, n in PARTS[:part]:
+                differ = ((letters[a] ^ letters[b]) >> np.uint64(4 * place)) & np.uint64(16**n - 1) != 0
+                a, b = a[differ], b[differ]
+            while len(a):
+                x, y = a[:most], b[:most]
+                near = _advanced(points[:, x], points[EDITS:, y], sizes[x], sizes[y], EDITS)
+                for p, q in zip(x[near].tolist(), y[near].tolist(), strict=True):
+                    if names[p] != names[q]:
+                        links.append((min(line[p], line[q]), max(line[p], line[q])))
+                        names[names == names[q]] = names[p]
+                a, b = a[most:], b[most:]
+                apart_still = names[a] != names[b]
+                a, b = a[apart_still], b[apart_still]
+    return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
 
 def line_links(docs: DataFrame, first: DataFrame, group_rows: int) -> DataFrame:
-    """(a, b) links of different lines; `first` has a place (id, tag, number) of each line."""
+    """(a, b) links of different lines, of groups that were too large as many as join them; `first` has a place (id, tag, number) of each line."""
     met = "a long, b long, key long, letters long, own boolean"
     dealt = docs.mapInArrow(_segment_rows, "key long, line long, letters long, own boolean")
     found = stored(dealt.repartition("key").sortWithinPartitions("key", "line").mapInArrow(_meetings(group_rows), met), "lines-meetings")
-    # groups that were too large, by their segment and each part of the letter counts: at most 2 * EDITS buckets differ
-    again = found.where("key is not null").select("a", "letters", "own", F.col("key").alias("whole"))
-    part = F.array(*[F.xxhash64("whole", F.lit(i), F.shiftrightunsigned("letters", 4 * at).bitwiseAND(16**n - 1)) for i, (at, n) in enumerate(PARTS)])
-    again = again.select(F.explode(part).alias("key"), F.col("a").alias("line"), "letters", "own")
-    again = again.repartition("key").sortWithinPartitions("key", "line").mapInArrow(_meetings(None), met)
-    pairs = stored(found.where("key is null").union(again).select("a", "b").distinct(), "lines-pairs")
-
-    lines = pairs.select(F.col("a").alias("line")).union(pairs.select("b")).distinct()
+    large = found.where("key is not null").groupBy(F.col("key").alias("whole"), F.col("a").alias("line"), "letters").agg(F.max("own").alias("own"))
+    large = stored(large, "lines-large")
+    pairs = stored(found.where("key is null").select("a", "b").distinct(), "lines-pairs")
+
+    lines = pairs.select(F.col("a").alias("line")).union(pairs.select("b")).union(large.select("line")).distinct()
     wanted = first.join(lines, "line").groupBy("id", "tag").agg(F.collect_set(F.struct("line", "number")).alias("wanted"))
     texts = docs.join(wanted, ["id", "tag"]).select("wanted", "t").mapInArrow(_wanted_lines, "line long, text string").distinct()
     texts = stored(texts, "lines-texts")
     sided = pairs.join(texts.select(F.col("line").alias("a"), F.col("text").alias("text_a")), "a")
     sided = sided.join(texts.select(F.col("line").alias("b"), F.col("text").alias("text_b")), "b")
-    return stored(sided.select("a", "b", "text_a", "text_b").mapInArrow(_verified, "a long, b long"), "lines-links")
+    links = sided.select("a", "b", "text_a", "text_b").mapInArrow(_verified, "a long, b long")
+    tasks = 4 * docs.sparkSession.sparkContext.defaultParallelism
+    met = cells(large, texts, group_rows).repartition(tasks, "key", "i", "j").groupBy("key", "i", "j").applyInArrow(_cell_links, "a long, b long")
+    return stored(links.union(met), "lines-links")
 
 
 def _identified(documents: DataFrame, *more) -> DataFrame:

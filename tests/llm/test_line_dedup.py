@@ -2,6 +2,7 @@ import random
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from docstrata.llm import line_dedup
 from docstrata.llm.queries import QUERIES
@@ -93,6 +94,28 @@ def test_lines_against_brute_force(spark, group_rows):
     assert edges.same([tuple(r) for r in line_dedup.line_decisions(df, group_rows).collect()], expected(docs))
 
 
+def template_lines(n):
+    return [f"Order {random.randrange(10**8):08d} has been shipped to the customer" for _ in range(n)]
+
+
+def test_large_template_groups_against_brute_force(spark):
+    random.seed(5)
+    docs = [(i, x) for i, x in enumerate(template_lines(150) + [changed(x, 2) for x in template_lines(50) * 2])]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    assert edges.same([tuple(r) for r in line_dedup.line_decisions(df, 10).collect()], expected(docs))
+
+
+def test_no_cell_of_a_template_group_is_large(spark):
+    random.seed(6)
+    docs = spark.createDataFrame(list(enumerate(template_lines(2000))), "id long, t string").withColumn("tag", F.xxhash64("t"))
+    dealt = docs.mapInArrow(line_dedup._segment_rows, "key long, line long, letters long, own boolean")
+    texts = docs.mapInArrow(line_dedup._line_rows, "line long, id long, tag long, number int").join(docs, ["id", "tag"]).select("line", F.col("t").alias("text"))
+    cells = line_dedup.cells(dealt.withColumnRenamed("key", "whole"), texts, 100)
+    assert cells.groupBy("key", "i", "j").count().agg(F.max("count")).first()[0] <= 300
+    # whole groups are met: each pair of a group once
+    assert cells.where("i = j").groupBy("key").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] > 300
+
+
 def test_odd_documents(spark):
     docs = edges.frame(spark)
     want = expected([(i, t) for i, t, _, _ in edges.EDGES])
