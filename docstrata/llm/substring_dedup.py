@@ -64,9 +64,10 @@ def _anchor_rows(batches):
                 [
                     pa.array(runs[anchor].view(np.int64)),
                     pa.array(part.column("id").to_numpy()[text]),
+                    pa.array(part.column("tag").to_numpy()[text]),
                     pa.array((anchor - words.word_at[text]).astype(np.int32)),
                 ],
-                ["prefix", "id", "place"],
+                ["prefix", "id", "tag", "place"],
             )
 
 
@@ -203,13 +204,13 @@ def _identified(documents: DataFrame, *more) -> DataFrame:
 
 def repeated_windows(documents: DataFrame, group_rows: int = 2000) -> DataFrame:
     """(id, tag, start, windows): runs of windows of a document that have started earlier. tag: a hash of its text."""
-    docs = _identified(documents)
-    anchors = docs.mapInArrow(_anchor_rows, "prefix long, id long, place int")
+    docs = _identified(documents).withColumn("tag", F.xxhash64("t"))
+    anchors = docs.mapInArrow(_anchor_rows, "prefix long, id long, tag long, place int")
     counts = anchors.groupBy("prefix").agg(F.count("*").alias("n")).where("n > 1")
     # a text's own places: as many as its anchors at most
-    places = anchors.join(counts, "prefix").groupBy("id").agg(F.collect_set(F.struct("place", (F.col("n") > group_rows).alias("large"))).alias("places"))
+    places = anchors.join(counts, "prefix").groupBy("id", "tag").agg(F.collect_set(F.struct("place", (F.col("n") > group_rows).alias("large"))).alias("places"))
     places = stored(places, "passages-anchors")
-    suffixes = docs.join(places, "id").select("id", "t", F.xxhash64("t").alias("tag"), "places").mapInArrow(_suffix_rows, SUFFIXES)
+    suffixes = docs.join(places, ["id", "tag"]).select("id", "t", "tag", "places").mapInArrow(_suffix_rows, SUFFIXES)
     suffixes = stored(suffixes, "passages-suffixes")
 
     rows = ["prefix", "id", "tag", "start", "windows", "words"]

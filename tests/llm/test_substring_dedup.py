@@ -49,6 +49,13 @@ def test_passages_against_brute_force(spark, group_rows):
     assert edges.same([tuple(r) for r in substring_dedup.passage_digests(df, group_rows).collect()], expected(docs))
 
 
+@pytest.mark.parametrize("seed", [8, 9])
+def test_texts_that_share_an_id(spark, seed):
+    docs = [((None, 7, i)[i % 3], text) for i, text in repeating(seed)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    assert edges.same([tuple(r) for r in substring_dedup.passage_digests(df, 2).collect()], expected(docs))
+
+
 def test_odd_documents(spark):
     docs = edges.frame(spark)
     want = expected([(i, t) for i, t, _, _ in edges.EDGES])
