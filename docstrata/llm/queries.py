@@ -11,13 +11,16 @@ from pyspark.sql import functions as F
 
 from docstrata.llm import (
     hamming_search,
+    large_item_packing,
     line_dedup,
     ngram_join,
     ordinal_classifier,
     packing,
+    periodic_runs,
     quality_rules,
     sentencepiece_codec,
     sharding,
+    spelling_variants,
     substring_dedup,
     training_order,
 )
@@ -104,3 +107,33 @@ def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+@query
+def op11_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return large_item_packing.pack_documents(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """The texts of the contract: one id in ten repeats a stretch of its words up to the end."""
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    docs = docs.select("doc_id", "text", F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")).alias("h"))
+    docs = docs.withColumn("words", F.when(F.col("h") % 10 == 0, words))
+    n, g = F.size("words"), F.expr("h div 10")
+    kept = F.when(n > 0, g % n).cast("int")
+    period = (1 + F.floor((n - kept) / (3 + g % 8))).cast("int")
+    times = F.ceil((n - kept) / period).cast("int")
+    repeated = F.flatten(F.array_repeat(F.slice("words", kept + 1, period), times))
+    text = F.array_join(F.slice(F.concat(F.slice("words", F.lit(1), kept), repeated), F.lit(1), n), " ")
+    return docs.select("doc_id", F.when((F.col("h") % 10 == 0) & (n > 0), text).otherwise(F.col("text")).alias("text"))
+
+
+@query
+def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return periodic_runs.run_digests(with_planted_runs(table(spark, folder, "documents")))
+
+
+@query
+def op13_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    words = spelling_variants.count_words(table(spark, folder, "documents"), slip_every=199)
+    return spelling_variants.group_variants(words)
