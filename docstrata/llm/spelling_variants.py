@@ -148,9 +148,9 @@ class Letters:
 
 def _deal(batches):
     """Each word in its block, and as a visitor of the neighbouring ones."""
-    steps = [(HOST, np.uint64(0))]
-    steps += [(VISITOR, GROUP_NUMBERS[a] - GROUP_NUMBERS[b]) for a in range(GROUPS) for b in range(a)]
-    steps += [(VISITOR, GROUP_NUMBERS[a]) for a in range(GROUPS)]
+    steps = [(HOST, np.zeros(1, np.uint64))]
+    steps += [(VISITOR, GROUP_NUMBERS[[a]] - GROUP_NUMBERS[[b]]) for a in range(GROUPS) for b in range(a)]
+    steps += [(VISITOR, GROUP_NUMBERS[[a]]) for a in range(GROUPS)]
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -163,13 +163,14 @@ def _deal(batches):
 
 
 def _near(letters: Letters, hosts: np.ndarray, guests: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows that are one edit apart; hosts have `length` letters, guests as many or one more."""
+    """Pairs of rows that are one edit apart; hosts have `length` letters, guests as many or one less."""
     same = letters.sizes[guests] == length
-    x, y = letters.padded(hosts, length + 1), letters.padded(guests, length + 1)
+    x, y = letters.padded(hosts, length), letters.padded(guests, length)
     differs = x != y
-    first = np.where(differs.any(1), differs.argmax(1), length + 1)
-    shifted = x[:, :length] != y[:, 1:]
-    last = np.where(shifted.any(1), length - 1 - shifted[:, ::-1].argmax(1), -1)
+    # a letter less: they agree before some place, and from there on moved by one
+    first = np.where(differs.any(1), differs.argmax(1), length)
+    shifted = x[:, 1:] != y[:, :-1]
+    last = np.where(shifted.any(1), length - 2 - shifted[:, ::-1].argmax(1), -1)
     good = np.where(same, differs.sum(1) == 1, first > last)
     return hosts[good], guests[good]
 
@@ -189,7 +190,7 @@ def _meet(letters: Letters, roles: np.ndarray, a: int, b: int, split: bool):
     guests = counts[guest_from:]
     norms = (counts * counts).sum(1)
     for top in range(0, hosts, 256):
-        tile = counts[top : top + 256]
+        tile = counts[top : min(top + 256, hosts)]
         distance = norms[top : top + len(tile), None] + norms[None, guest_from:] - 2 * (tile @ guests.T)
         i, j = np.nonzero(distance <= 2)
         i, j = i + top + a, j + guest_from + a
