@@ -8,9 +8,11 @@ shares (distinct words, capitals, marks, symbols), each present or not.
 The model is fitted in one task on a bounded sample, the `sample_rows` labelled documents of least hash; the fit reads
 nothing else. Every document is scored by the same 2^`bits` weights, a table of fixed size.
 
-Defined cases: labels with a null id or null ratings are not used; several labels of one id all count. Null and empty
-texts have the bucket features alone. Without labels all weights are zero and nothing is selected. Repeated rows are scored
-alike. An empty table gives an empty result. Other columns pass through `select_documents`.
+Defined cases: labels with a null id or null ratings are not used; different grades of one id all count, and of texts that share
+an id the one of least hash is learned. Null and empty texts have the bucket features alone. Without labels all weights are
+zero and nothing is selected. A document is selected if its chance of the top grade is above one half; at one half exactly it
+is not. Repeated rows are scored alike. A text of any length is read whole. An empty table gives an empty result. Other columns
+pass through `select_documents`.
 """
 
 from __future__ import annotations
@@ -26,9 +28,10 @@ from docstrata.llm.common import Words, mix, slices, text_of
 
 BITS = 20
 SAMPLE_ROWS = 20_000
-EPOCHS, BATCH, RATE, DECAY = 12, 64, 0.1, 1e-4
-#: A feature counts if it goes with some grade beyond this many standard deviations of chance.
-LEAST_DEVIATION = 6.0
+EPOCHS, BATCH, RATE, DECAY = 30, 64, 0.1, 1e-4
+#: A feature counts if it goes with some grade beyond so many standard deviations of chance: by the logarithm of the rows
+#: divided by the second number, since few rows cannot deviate far, and no more than the first.
+MOST_DEVIATION, DEVIATION_SCALE = 6.0, 1.5
 #: Letters are ASCII letters and every byte of a code point beyond ASCII.
 NO_LETTER = ~np.isin(np.arange(256), [*range(65, 91), *range(97, 123), *range(128, 256)])
 CAPITAL = np.isin(np.arange(256), range(65, 91))
@@ -94,55 +97,69 @@ def _feature_rows(bits: int):
             for part in slices([batch], "t"):
                 found, places = features(part.column("t"), bits)
                 lists = pa.ListArray.from_arrays(pa.array(places.astype(np.int32)), pa.array(found))
-                yield pa.RecordBatch.from_arrays([part.column("order"), part.column("grade"), lists], ["order", "grade", "features"])
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in ("order", "grade", "tag")], lists], ["order", "grade", "tag", "features"])
 
     return run
 
 
+def least_deviation(rows: int) -> float:
+    return min(MOST_DEVIATION, np.log(max(rows, 2)) / DEVIATION_SCALE)
+
+
+def likelihood_steps(score: np.ndarray, thresholds: np.ndarray, grades: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Slopes of each row's log-likelihood: by its score, and by every threshold."""
+    bounds = np.concatenate([[-np.inf], thresholds, [np.inf]])
+    above, beyond = (1 / (1 + np.exp(-np.clip(score - bounds[grades + k], -60, 60))) for k in (0, 1))
+    chance = np.maximum(above - beyond, 1e-9)
+    by_bound = np.zeros((len(score), len(bounds)))
+    rows = np.arange(len(score))
+    by_bound[rows, grades] = -above * (1 - above) / chance
+    by_bound[rows, grades + 1] += beyond * (1 - beyond) / chance
+    return 1 - above - beyond, by_bound[:, 1:-1]
+
+
 def fit(grades: np.ndarray, found: np.ndarray, places: np.ndarray, top: int, bits: int, seed: int = 3) -> Model:
     """Adaptive gradient steps on the log-likelihood of the grades 0 to `top`, rare grades weighing more.
 
-    Features that do not go with a grade keep the weight zero.
+    Every row takes part: one whose features go with no grade has the score 0, and thresholds start at the grades' shares,
+    so that without informative features a document gets the shares as its chances. Other features keep the weight zero.
     """
-    owner = np.repeat(np.arange(len(grades)), np.diff(places))
-    share = np.bincount(grades, minlength=top + 1) / len(grades)
+    n = len(grades)
+    owner = np.repeat(np.arange(n), np.diff(places))
+    counts = np.bincount(grades, minlength=top + 1)
+    share = counts / n
     weight = np.maximum(share, 1e-3) ** -0.25
     seen, useful = np.bincount(found, minlength=2**bits), np.zeros(2**bits, bool)
     for k in range(top + 1):
         expected = seen * share[k]
-        useful |= np.abs(np.bincount(found, grades[owner] == k, 2**bits) - expected) > LEAST_DEVIATION * np.sqrt(expected * (1 - share[k]) + 1e-9)
-    kept = useful[found]
+        useful |= np.abs(np.bincount(found, grades[owner] == k, 2**bits) - expected) > least_deviation(n) * np.sqrt(expected * (1 - share[k]) + 1e-9)
+    # what occurs once says nothing
+    kept = (useful & (seen > 1))[found]
     found, places = found[kept], np.concatenate([[0], np.cumsum(kept)])[places]
-    some = np.flatnonzero(np.diff(places))
     weights, squares = np.zeros(2**bits, np.float32), np.full(2**bits, 1e-3, np.float32)
-    # thresholds are a first one and positive gaps, so that they stay in order
-    place, place_squares = np.concatenate([[-1.0], np.zeros(top - 1)]), np.full(top, 1e-3)
+    # thresholds are a first one and positive gaps, so that they stay in order; half a row is added to each grade
+    low = np.cumsum(counts + 0.5)[:-1]
+    start = np.log(low / (n + 0.5 * (top + 1) - low))
+    place, place_squares = np.concatenate([start[:1], np.log(np.maximum(np.diff(start), 1e-3))]), np.full(top, 1e-3)
     random = np.random.default_rng(seed)
 
     def thresholds() -> np.ndarray:
         return place[0] + np.concatenate([[0.0], np.cumsum(np.exp(place[1:]))])
 
-    for _ in range(EPOCHS):
-        order = some[random.permutation(len(some))]
-        for at in range(0, len(order), BATCH):
+    for _ in range(EPOCHS if kept.any() else 0):
+        order = random.permutation(n)
+        for at in range(0, n, BATCH):
             rows = order[at : at + BATCH]
             sizes = places[rows + 1] - places[rows]
             each = found[np.repeat(places[rows] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())]
-            score = np.add.reduceat(weights[each], np.cumsum(sizes) - sizes).astype(np.float64)
-            bounds = np.concatenate([[-np.inf], thresholds(), [np.inf]])
-            y = grades[rows]
-            above, beyond = (1 / (1 + np.exp(-np.clip(score - bounds[y + k], -60, 60))) for k in (0, 1))
-            chance = np.maximum(above - beyond, 1e-9)
-            rows_weight = weight[y] / len(rows)
-            slope = (1 - above - beyond) * rows_weight
+            row = np.repeat(np.arange(len(rows)), sizes)
+            slope, of_bounds = likelihood_steps(np.bincount(row, weights[each], len(rows)), thresholds(), grades[rows])
+            rows_weight = weight[grades[rows]] / len(rows)
             which, back = np.unique(each, return_inverse=True)
-            gradient = np.bincount(back, np.repeat(slope, sizes), len(which)).astype(np.float32) - DECAY * weights[which]
+            gradient = np.bincount(back, (slope * rows_weight)[row], len(which)).astype(np.float32) - DECAY * weights[which]
             squares[which] += gradient**2
             weights[which] += RATE * gradient / np.sqrt(squares[which])
-            of_bounds = np.zeros(top + 2)
-            np.add.at(of_bounds, y, -above * (1 - above) / chance * rows_weight)
-            np.add.at(of_bounds, y + 1, beyond * (1 - beyond) / chance * rows_weight)
-            of_bounds = of_bounds[1:-1]
+            of_bounds = rows_weight @ of_bounds
             step = np.concatenate([[of_bounds.sum()], [of_bounds[k:].sum() * np.exp(place[k]) for k in range(1, top)]])
             place_squares += step**2
             place += RATE * step / np.sqrt(place_squares)
@@ -155,7 +172,7 @@ def _fit_rows(top: int, bits: int):
         if not rows.num_rows:
             model = Model(np.zeros(2**bits, np.float32), np.arange(top) + 10.0)
         else:
-            rows = rows.sort_by("order").combine_chunks()
+            rows = rows.sort_by([("order", "ascending"), ("grade", "ascending")]).combine_chunks()
             lists = rows.column("features").chunk(0)
             model = fit(rows.column("grade").to_numpy(), lists.values.to_numpy(), lists.offsets.to_numpy().astype(np.int64), top, bits)
         yield pa.RecordBatch.from_arrays([pa.array([model.weights.tobytes()]), pa.array([model.thresholds.tolist()])], ["weights", "thresholds"])
@@ -169,7 +186,9 @@ def train(docs: DataFrame, rated: DataFrame, top: int = 2, sample_rows: int = SA
     sample = sample.orderBy("order", "doc_id", "grade").limit(sample_rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("t"))
     # at most sample_rows rows of three numbers
-    rows = texts.join(F.broadcast(sample), "doc_id").select("order", "grade", "t").mapInArrow(_feature_rows(bits), "order long, grade int, features array<int>")
+    rows = texts.join(F.broadcast(sample), "doc_id").select("order", "grade", F.xxhash64("t").alias("tag"), "t")
+    rows = rows.mapInArrow(_feature_rows(bits), "order long, grade int, tag long, features array<int>")
+    rows = rows.groupBy("order", "grade").agg(F.min_by("features", "tag").alias("features"))
     row = rows.repartition(1).mapInArrow(_fit_rows(top, bits), "weights binary, thresholds array<double>").first()
     return Model(np.frombuffer(bytes(row["weights"]), np.float32), np.array(row["thresholds"]))
 
@@ -198,4 +217,4 @@ def score_documents(docs: DataFrame, model: Model, carry: Column | None = None,
 def select_documents(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     """All columns of the rows whose probability of the top grade reaches `least`."""
     scored = score_documents(docs, model, F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
-    return scored.where(F.col("top_probability") >= least).select(*[F.col("row")[c].alias(c) for c in docs.columns])
+    return scored.where(F.col("top_probability") > least).select(*[F.col("row")[c].alias(c) for c in docs.columns])

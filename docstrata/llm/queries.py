@@ -56,7 +56,7 @@ def op3_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     model = ordinal_classifier.train(docs, labels.select("doc_id", ordinal_classifier.grade(F.col("quality"), F.col("toxic")).alias("grade")))
     scored = ordinal_classifier.score_documents(docs, model)
     return scored.select(
-        "doc_id", F.round("expected_grade", 6).alias("expected_grade"), F.round("top_probability", 6).alias("top_probability"), (F.col("top_probability") >= 0.5).alias("kept")
+        "doc_id", F.round("expected_grade", 6).alias("expected_grade"), F.round("top_probability", 6).alias("top_probability"), (F.col("top_probability") > 0.5).alias("kept")
     )
 
 
