@@ -288,8 +288,13 @@ def link_documents(documents: DataFrame, block_rows: int = 1000) -> DataFrame:
     digests = stored(docs.mapInArrow(_digests, "doc_id long, n_shingles long, digest_a long, digest_b long, vector array<int>, fine binary"), "shingles-digests")
     classes = digests.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "digest_a", "digest_b").agg(F.min("doc_id").alias("class"))
     copies = stored(
-        digests.join(classes, ["n_shingles", "digest_a", "digest_b"]).where("doc_id <> class").select(F.col("doc_id").alias("doc"), "class"), "shingles-copies"
+        digests.join(classes, ["n_shingles", "digest_a", "digest_b"]).where("doc_id <> class").select(F.col("doc_id").alias("doc"), "class").distinct(), "shingles-copies"
     )
+    # a document is compared in the name of its class only if it has no other text
+    per_id = digests.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id")
+    several = per_id.agg(*[(F.min(c) != F.max(c)).alias(c) for c in ("digest_a", "digest_b")]).where("digest_a or digest_b").select(F.col("doc_id").alias("doc"))
+    several = stored(several, "shingles-several").withColumn("several", F.lit(True))
+    renamed = stored(copies.join(several, "doc", "left_anti"), "shingles-renamed")
 
     # Documents that share one of their smallest hashes, with the smallest document that does.
     group = Window.partitionBy("key")
@@ -297,9 +302,9 @@ def link_documents(documents: DataFrame, block_rows: int = 1000) -> DataFrame:
     shared = postings.withColumns({"center": F.min("doc").over(group), "last": F.max("doc").over(group)}).where("center <> last").drop("last")
     shared = stored(shared, "shingles-shared")
     # A copy's place is its class's.
-    shared = shared.join(copies, "doc", "left").select("key", F.coalesce("class", "doc").alias("node"), "size", "rank", "center")
-    shared = shared.join(copies.select(F.col("doc").alias("center"), F.col("class").alias("of")), "center", "left")
-    shared = shared.select("key", "node", "size", "rank", F.coalesce("of", "center").alias("center")).distinct()
+    shared = shared.join(renamed, "doc", "left").join(several, "doc", "left").select("key", F.coalesce("class", "doc").alias("node"), "size", "rank", "center", "several")
+    shared = shared.join(renamed.select(F.col("doc").alias("center"), F.col("class").alias("of")), "center", "left")
+    shared = shared.select("key", "node", "size", "rank", F.coalesce("of", "center").alias("center"), "several").distinct()
     shared = stored(shared, "shingles-groups")
 
     stars = shared.where("node <> center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()
@@ -316,12 +321,14 @@ def link_documents(documents: DataFrame, block_rows: int = 1000) -> DataFrame:
 
 def remaining_pairs(shared: DataFrame, found: DataFrame, digests: DataFrame, block_rows: int) -> DataFrame:
     """Distinct pairs of different components within groups that the tree cannot rule out."""
-    members = shared.join(found, "node", "left").select("key", "node", "size", "rank", F.coalesce("component", "node").alias("component"))
-    # of groups with the same members, as the hashes of a shared passage have, the least hash is every pair's first
+    members = shared.join(found, "node", "left").select("key", "node", "size", "rank", "several", F.coalesce("component", "node").alias("component"))
+    # of groups with the same members, as the hashes of a shared passage have, the least hash is every pair's first;
+    # a document with several texts may be there for another one each time
     groups = members.groupBy("key").agg(
-        F.min("node").alias("lead"), F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("rows"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("members")
+        F.min("node").alias("lead"), F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("rows"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("members"),
+        F.max(F.when(F.col("several"), F.col("key"))).alias("own"),
     )
-    groups = groups.where("low <> high").groupBy("rows", "members").agg(F.min("key").alias("key"), F.min("lead").alias("lead"))
+    groups = groups.where("low <> high").groupBy("rows", "members", "own").agg(F.min("key").alias("key"), F.min("lead").alias("lead"))
     chunks = F.ceil(F.col("rows") / block_rows).cast("int")
     rows = members.join(groups, "key").withColumns({"chunks": chunks, "chunk": F.pmod(F.xxhash64("node"), chunks).cast("int")})
     # a chunk meets itself and every other chunk of its group, each pair once: side tells the two chunks of a block apart

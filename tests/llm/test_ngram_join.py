@@ -76,6 +76,18 @@ def test_odd_documents(spark):
     assert edges.same([tuple(r) for r in kept.collect()], [r for r in edges.rows() if r[0] is None or r[0] not in gone])
 
 
+@pytest.mark.parametrize("block_rows", [1000, 3])
+def test_texts_that_share_an_id(spark, block_rows):
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    docs = [(3, a), (7, a), (7, b), (9, b.replace("b30", "other")), (11, "one two three four five six")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert edges.same([tuple(r) for r in ngram_join.link_documents(df, block_rows).collect()], expected(docs))
+    for seed in (5, 6):
+        docs = [(i % 40, t) for i, t in near_copies(seed)]
+        df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+        assert edges.same([tuple(r) for r in ngram_join.link_documents(df, block_rows).collect()], expected(docs))
+
+
 def test_tree_loses_no_pair_that_may_link():
     random = np.random.default_rng(4)
     sizes = random.integers(5, 60, 200)
