@@ -1,13 +1,14 @@
 """Packing by best-fit decreasing.
 
 Texts are tokenized where they lie. A document longer than a window is first cut into full windows, each a sequence of its
-own; at most one shorter piece is left. Those pieces are dealt by hash into groups of about `group_pieces`, and within a
+own; at most one shorter piece is left. Pieces are stored with a number each, and dealt by its hash into groups of about
+`group_pieces`, equal rows like others; within a
 group every piece, longest first, goes into the tightest open window, which a segment tree indexed by remaining capacity
 finds. Groups hold tens of thousands of pieces of all lengths, so that padding stays near nothing while a task's memory
 stays bounded; the number of groups follows the table.
 
-Defined cases: a null or empty text is the end id alone. Rows with equal or null ids are packed each on its own. An empty
-table gives an empty result. Other columns are not read.
+Defined cases: a null or empty text is the end id alone. Rows with equal or null ids are packed each on its own. A text
+of any length is tokenized whole. Of pieces of equal length the smaller id comes first. An empty table gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +27,7 @@ from docstrata.llm.token_ids import byte_tokenizer
 
 WINDOW = 1024
 END_ID = 0
-PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64())])
+PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("place", pa.int64())])
 
 
 class CapacityTree:
@@ -78,15 +80,16 @@ def best_fit_decreasing(lengths: np.ndarray, window: int) -> tuple[np.ndarray, n
 
 def _cut(ranks: str, window: int):
     def run(batches):
-        tokenizer = byte_tokenizer(ranks)
+        tokenizer, place = byte_tokenizer(ranks), TaskContext.get().partitionId() << 36
         for batch in batches:
-            out: list[list[int]] = [[], [], [], [], []]
+            out: list[list[int]] = [[], [], [], [], [], []]
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("t"), strict=True):
                 ids = np.append(np.frombuffer(tokenizer.ids(text.as_py()), "<u2").astype("<u4"), np.uint32(END_ID)).astype("<u4")
                 for start in range(0, len(ids), window):
                     piece = ids[start : start + window]
-                    for column, value in zip(out, (doc_id, start, len(piece), zlib.crc32(piece.tobytes()), len(ids)), strict=True):
+                    for column, value in zip(out, (doc_id, start, len(piece), zlib.crc32(piece.tobytes()), len(ids), place), strict=True):
                         column.append(value)
+                    place += 1
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], schema=PIECES)
 
     return run
@@ -104,7 +107,7 @@ def _pack_group(window: int):
         rows = rows.take(pa.array(order))
         group = rows.column("group").to_numpy().astype(np.int64)
         yield from (
-            rows.drop_columns(["group"])
+            rows.drop_columns(["group", "place"])
             .append_column("sequence_id", pa.array((group << 32) + numbers))
             .append_column("offset", pa.array(offsets))
             .to_batches(max_chunksize=50_000)
@@ -114,16 +117,16 @@ def _pack_group(window: int):
 
 
 def cut_documents(docs: DataFrame, ranks: str, window: int = WINDOW) -> DataFrame:
-    """One row per piece of at most `window` ids: doc_id, start, length, ids_crc32, doc_tokens."""
+    """One row per piece of at most `window` ids: doc_id, start, length, ids_crc32, doc_tokens, and a number of its own."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("t"))
-    return texts.mapInArrow(_cut(ranks, window), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+    return texts.mapInArrow(_cut(ranks, window), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, place long")
 
 
 def pack_documents(docs: DataFrame, ranks: str, window: int = WINDOW, group_pieces: int = 50_000) -> DataFrame:
     """Every piece with its sequence and its offset there. Sequence ids are unique, the group in their high 32 bits."""
     pieces = stored(cut_documents(docs, ranks, window), "pieces")
     groups = max(1, math.ceil(pieces.count() / group_pieces))
-    dealt = pieces.withColumn("group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)).cast("int"))
+    dealt = pieces.withColumn("group", F.pmod(F.xxhash64("place"), F.lit(groups)).cast("int"))
     return dealt.repartitionById(groups, "group").mapInArrow(
         _pack_group(window), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     )

@@ -3,11 +3,13 @@
 Pass one scatters records uniformly into memory-sized buckets by a seeded hash of id and text. Pass two Fisher-Yates
 shuffles each bucket in memory and writes it. Buckets in order are one uniform permutation of all records; it is cut into
 shards whose row counts are at most one apart (law `rows`). The number of buckets follows the bytes of the table, so a task
-always holds about `bucket_bytes`, and a bucket's order depends on its content and the seed only, so a task that is
-repeated after a lost executor writes the same rows. Hot sources or copied texts do not matter: the id is hashed too.
+always holds about `bucket_bytes` (or one longer text), and a bucket's order depends on its content and the seed only, so a task
+that is repeated after a lost executor writes the same rows. Hot sources or copied texts do not matter: the id is hashed too.
+A row that is repeated so often that its copies would crowd a bucket is scattered by its place in the table as well; `docs` must
+then keep its order when it is read again, as tables do.
 
 Defined cases: a null text has no bytes (size 16, crc 0). Null ids and repeated rows are records of their own; equal rows
-share a bucket, in no particular order among themselves. An empty table gives an empty result. Other columns pass through.
+are in no particular order among themselves. An empty table gives an empty result. Other columns pass through.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ from pyspark.sql import functions as F
 from docstrata.llm.common import stored
 
 RECORD_OVERHEAD = 16
+#: Equal rows crowd a bucket if they fill this part of it.
+CROWD_SHARE = 4
 
 
 def _shuffle_bucket(seed: int):
@@ -52,13 +56,21 @@ def shuffle_records(docs: DataFrame, seed: int = 7, bucket_bytes: int = 32 << 20
     """(bucket, place, record) of all rows, stored in the shared folder, and the number of buckets."""
     total = docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + RECORD_OVERHEAD)).first()[0] or 0
     buckets = max(1, math.ceil(total / bucket_bytes))
-    scattered = docs.select(
-        F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(buckets)).cast("int").alias("bucket"),
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + RECORD_OVERHEAD
+    hashed = F.xxhash64(F.lit(seed), "doc_id", "text")
+    crowds = docs.groupBy(hashed.alias("hash")).agg(F.sum(size).alias("bytes")).where(F.col("bytes") > bucket_bytes // CROWD_SHARE)
+    rows = docs.select(
+        hashed.alias("hash"),
+        F.monotonically_increasing_id().alias("at"),
         F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"),
         F.col("doc_id").isNull().cast("int").alias("null_id"),
         F.xxhash64(F.lit(~seed), "text").alias("tie"),
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("record"),
-    ).repartitionById(buckets, "bucket")
+    )
+    rows = rows.join(stored(crowds, "crowds"), "hash", "left")
+    spread = F.when(F.col("bytes").isNotNull(), F.xxhash64("hash", "at")).otherwise(F.col("hash"))
+    bucket = F.pmod(spread, F.lit(buckets)).cast("int").alias("bucket")
+    scattered = rows.select(bucket, "id", "null_id", "tie", "record").repartitionById(buckets, "bucket")
     record = scattered.schema["record"].dataType
     shuffled = scattered.mapInArrow(_shuffle_bucket(seed), f"bucket int, place long, record {record.simpleString()}")
     return stored(shuffled, "shuffled"), buckets

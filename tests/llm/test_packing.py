@@ -1,6 +1,6 @@
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 from tokenizers import Tokenizer
@@ -62,6 +62,14 @@ def test_odd_documents(spark, tokenizer_files):
     assert packing.pack_documents(docs.limit(0), ranks).count() == 0
 
 
+def test_equal_rows_fill_all_groups(spark, tokenizer_files):
+    docs = edges.frame(spark, [(1, "the same row", "en", "s")] * 5000)
+    pieces = packing.pack_documents(docs, tokenizer_files("byte_bpe_50k.tiktoken"), 1024, 250).collect()
+    groups = Counter(p.sequence_id >> 32 for p in pieces)
+    assert len(groups) == 20 and max(groups.values()) < 400
+    check(pieces, [(1, "the same row")] * 5000, Tokenizer.from_file(tokenizer_files("byte_bpe_50k.json")), 1024)
+
+
 def test_query(spark, bundled, tokenizer_files):
     docs = spark.read.parquet(f"{bundled}/documents.parquet").select("doc_id", "text").collect()
     pieces = QUERIES["op10_packing"](spark, bundled).collect()

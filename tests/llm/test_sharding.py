@@ -31,6 +31,15 @@ def test_order_depends_on_the_seed_and_not_on_the_partitions(spark):
     assert sum(abs(a - b) == 1 for a, b in zip(first, first[1:], strict=False)) < 20
 
 
+def test_equal_rows_fill_all_buckets(spark):
+    docs = spark.createDataFrame([(1, "the same row")] * 5000, "doc_id long, text string").repartition(3)
+    shuffled, buckets = sharding.shuffle_records(docs, bucket_bytes=5000 * 28 // 20)
+    counts = Counter(r.bucket for r in shuffled.collect())
+    assert buckets == 20 and len(counts) == 20 and max(counts.values()) < 400
+    placed = sharding.shard_documents(docs, 7, bucket_bytes=5000 * 28 // 20)
+    assert {r["count"] for r in placed.groupBy("shard").count().collect()} <= {714, 715}
+
+
 def test_empty_table_and_files(spark, tmp_path):
     docs = edges.frame(spark)
     assert sharding.shard_documents(docs.limit(0)).count() == 0
