@@ -25,8 +25,8 @@ FIELD_TYPE = ["collection", "path", "type"]
 
 # Rendered values are spread over this many slots to bound the search for first examples.
 EXAMPLE_SLOTS = 16
-# Rows up to which a per-field table may be broadcast.
-BROADCAST_ROWS = 200_000
+# One document in so many is looked at for the bounds of that search, and so many bounds are kept at most.
+BOUND_SHARE, BOUND_ROWS = 64, 100_000
 
 
 def field_rows(paths: DataFrame) -> DataFrame:
@@ -179,40 +179,42 @@ def rendered_rows(paths: DataFrame, options: ProfileOptions = ProfileOptions())
     return rows.withColumn("rendered", shown)
 
 
-def checked_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Store a per-field table and mark it for broadcast only if its row count allows."""
-    stored = cut_lineage(df)
-    return F.broadcast(stored) if stored.count() <= limit else stored
+def example_bounds(paths: DataFrame, k: int, options: ProfileOptions = ProfileOptions()) -> DataFrame:
+    """bounds(collection, path, type, bound): a position by which k distinct rendered values have been seen.
+
+    Looks at one document in `BOUND_SHARE` only. Values are hashed into slots: k different slots prove k different values,
+    so the k-th earliest slot of any documents is behind the k-th value of all. Types that show too few values there have
+    no bound, nor have those beyond the `BOUND_ROWS` most frequent, so the table is small enough to be broadcast.
+    """
+    some = rendered_rows(paths.where(F.pmod(F.xxhash64("doc_id"), F.lit(BOUND_SHARE)) == 0), options)
+    slot = F.pmod(F.xxhash64("rendered"), F.lit(max(EXAMPLE_SLOTS, 4 * k))).alias("slot")
+    slots = some.groupBy(*FIELD_TYPE, slot).agg(F.min(position(paths)).alias("at"), F.count(F.lit(1)).alias("n"))
+    earliest = F.sort_array(F.collect_list("at"))
+    bounds = slots.groupBy(*FIELD_TYPE).agg(F.sum("n").alias("n"), F.try_element_at(earliest, F.lit(k)).alias("bound"))
+    return bounds.where("bound is not null").orderBy(F.desc("n"), *FIELD_TYPE).limit(BOUND_ROWS).drop("n")
+
+
+def near_rows(paths: DataFrame, k: int, options: ProfileOptions = ProfileOptions()) -> DataFrame:
+    """Field rows with `at`, and `near`: may this be one of the first k distinct values of its type?"""
+    rows = field_rows(paths).withColumn("at", position(paths))
+    rows = rows.join(F.broadcast(example_bounds(paths, k, options)), FIELD_TYPE, "left")
+    return rows.withColumn("near", F.col("bound").isNull() | (F.col("at") <= F.col("bound"))).drop("bound")
 
 
 def examples_per_type(paths: DataFrame, options: ProfileOptions = ProfileOptions()) -> DataFrame:
     """The first k distinct rendered values of every (path, type), in (doc_id, pos) order.
 
-    Shuffling every distinct value would move most of the data for unique fields. Instead the
-    values are hashed into slots: k different slots prove k different values, so the k-th
-    earliest slot bounds how far the search must look, and only rows up to it are de-duplicated.
+    Shuffling every distinct value would move most of the data for unique fields. Only rows up to a bound that some of the
+    documents give are compared (see `example_bounds`); the result is exact.
     """
     k = options.examples_per_type
-    rows = rendered_rows(paths, options).select(
-        *FIELD_TYPE, "rendered", "value_mask", position(paths).alias("at"), F.xxhash64("rendered").alias("h")
-    )
-    return first_distinct(rows, FIELD_TYPE, k)
+    near = rendered_rows(near_rows(paths, k, options).where("near"), options)
+    return first_distinct(near.select(*FIELD_TYPE, "rendered", "value_mask", "at"), FIELD_TYPE, k)
 
 
 def first_distinct(rows: DataFrame, keys: list[str], k: int) -> DataFrame:
-    """rows(keys, rendered, value_mask, at, h) -> rank, rendered, value_mask of the first k distinct."""
-    slots = rows.groupBy(*keys, F.pmod("h", F.lit(max(EXAMPLE_SLOTS, 4 * k))).alias("slot")).agg(
-        F.min("at").alias("at"), (F.min("h") == F.max("h")).alias("pure")
-    )
-    earliest = F.sort_array(F.collect_list("at"))
-    bounds = slots.groupBy(*keys).agg(
-        # Fewer slots than k: if each holds one value, these are all; else every row must be looked at.
-        F.when(F.count(F.lit(1)) >= k, F.try_element_at(earliest, F.lit(k)))
-        .when(F.bool_and("pure"), F.max("at"))
-        .alias("bound")
-    )
-    near = rows.join(checked_broadcast(bounds), keys).where("bound is null or at <= bound")
-    distinct = near.groupBy(*keys, "rendered").agg(
+    """rows(keys, rendered, value_mask, at) -> rank, rendered, value_mask of the first k distinct."""
+    distinct = rows.groupBy(*keys, "rendered").agg(
         F.min("at").alias("at"), F.min_by("value_mask", "at").alias("value_mask")
     )
     order = Window.partitionBy(*keys).orderBy("at", "rendered")
@@ -236,74 +238,111 @@ def field_hints(paths: DataFrame, options: ProfileOptions = ProfileOptions()) ->
 # --- whole profiles ----------------------------------------------------------------------------
 
 
+# What a row of `_profile_rows` stands for.
+_OCCURRENCE, _IN_DOCUMENT, _EXAMPLE = 0, 1, 2
+
+
+def _profile_rows(paths: DataFrame, options: ProfileOptions, examples: bool) -> DataFrame:
+    """Every field row once for its type, once for its document if others may share it, once more if it may be an example."""
+    k, custom = options.examples_per_type, options.pii_patterns
+    rows = near_rows(paths, k, options) if examples else field_rows(paths).withColumn("at", position(paths))
+    mask = pii.value_hint_mask(F.when(F.col("type") == "string", F.col("text")), custom)
+    rows = rows.withColumn("mask", mask)
+    no_doc, no_value = F.lit(None).cast(paths.schema["doc_id"].dataType), F.lit(None).cast("string")
+
+    def entry(kind: int, doc: Column, value: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), doc.alias("doc"), value.alias("value"))
+
+    kinds = [entry(_OCCURRENCE, no_doc, no_value), F.when(~F.col("solo"), entry(_IN_DOCUMENT, F.col("doc_id"), no_value))]
+    if examples:
+        # only the rows that may be shown are rendered
+        shown = masks.render_example(
+            F.col("path"), F.col("type"), F.col("text"), F.col("size"), F.col("mask"),
+            options.redact, options.redact_mode, custom, options.mask_short,
+        )
+        kinds.append(F.when(F.col("near"), entry(_EXAMPLE, no_doc, shown)))
+    return rows.select(*FIELD_TYPE, "at", "num", "mask", "solo", F.inline(F.array_compact(F.array(*kinds))))
+
+
 def profile_collection(
     paths: DataFrame, totals: DataFrame, options: ProfileOptions = ProfileOptions(), examples: bool = True
 ) -> DataFrame:
     """fields: one row per (collection, path), markers dropped.
 
-    `types` lists struct<type, n, ratio> in first-seen order; `examples` follow the same order.
+    `types` lists struct<type, n, ratio> in first-seen order; `examples` follow the same order. Path rows are expanded once:
+    the first aggregate counts occurrences per type, documents per path and examples per value side by side, each combined on
+    the map side, and the further ones merge its rows. No job runs while the plan is built.
     """
-    custom = options.pii_patterns
-    value = F.when(F.col("type") == "string", F.col("text"))
-    rows = field_rows(paths).select(
-        *FIELD_TYPE, position(paths).alias("at"), "num", pii.value_hint_mask(value, custom).alias("mask")
-    )
-    per_type = rows.groupBy(*FIELD_TYPE).agg(
+    k, custom = options.examples_per_type, options.pii_patterns
+    type_ = F.when(F.col("kind") != _IN_DOCUMENT, F.col("type"))
+    numbers = [F.min("num").alias("low"), F.max("num").alias("high"), F.sum("num").alias("total"), F.count("num").alias("numbers")]
+    first = _profile_rows(paths, options, examples).groupBy("collection", "path", "kind", type_.alias("type"), "doc", "value").agg(
         F.count(F.lit(1)).alias("n"),
-        F.min("at").alias("first"),
-        F.min("num").alias("low"),
-        F.max("num").alias("high"),
-        F.sum("num").alias("total"),
-        F.count("num").alias("numbers"),
-        F.bit_or("mask").alias("value_mask"),
+        F.count_if("solo").alias("alone"),
+        F.min("at").alias("at"),
+        F.min_by("mask", "at").alias("mask_at"),
+        F.bit_or("mask").alias("mask"),
+        *numbers,
+    )
+    is_ = {kind: F.col("kind") == kind for kind in (_OCCURRENCE, _IN_DOCUMENT, _EXAMPLE)}
+    shown = F.struct("at", "value", F.col("mask_at").alias("mask"))
+    merged_numbers = [F.min("low").alias("low"), F.max("high").alias("high"), F.sum("total").alias("total"), F.sum("numbers").alias("numbers")]
+    sums = [F.sum("n").alias("n"), F.sum("alone").alias("alone"), F.min("at").alias("at"), F.bit_or("mask").alias("mask"), *merged_numbers]
+    # examples meet in slots first, so that no list holds all values of a type
+    slot = F.when(is_[_EXAMPLE], F.pmod(F.xxhash64("value"), F.lit(EXAMPLE_SLOTS)))
+    by_slot = first.groupBy("collection", "path", "kind", "type", slot.alias("slot")).agg(
+        *sums, F.count(F.lit(1)).alias("rows"), F.slice(F.array_sort(F.collect_list(F.when(is_[_EXAMPLE], shown))), 1, k).alias("shown")
+    )
+    per_type = by_slot.groupBy("collection", "path", "kind", "type").agg(
+        *sums, F.sum("rows").alias("rows"), F.slice(F.array_sort(F.flatten(F.collect_list("shown"))), 1, k).alias("shown")
     )
-    listed = F.array_sort(F.collect_list(F.struct("first", "type", "n")))
+    only = lambda c: F.when(is_[_OCCURRENCE], F.col(c))
     per_field = per_type.groupBy(*FIELD).agg(
-        listed.alias("listed"),
-        F.sum("n").alias("occurrences"),
-        (F.count_if(~F.col("type").isin(*EMPTY_TYPES)) > 1).alias("mixed_type"),
+        (F.sum(only("alone")) + F.coalesce(F.sum(F.when(is_[_IN_DOCUMENT], F.col("rows"))), F.lit(0))).alias("present_count"),
+        F.array_sort(F.collect_list(F.when(is_[_OCCURRENCE], F.struct("at", "type", "n")))).alias("listed"),
+        F.sum(only("n")).alias("occurrences"),
+        (F.count_if(is_[_OCCURRENCE] & ~F.col("type").isin(*EMPTY_TYPES)) > 1).alias("mixed_type"),
         F.when(
-            F.sum("numbers") > 0,
+            F.sum(only("numbers")) > 0,
             F.struct(
                 F.min("low").alias("min"),
                 F.max("high").alias("max"),
-                (F.sum("total") / F.sum("numbers")).alias("avg"),
+                (F.sum(only("total")) / F.sum(only("numbers"))).alias("avg"),
             ),
         ).alias("stats"),
-        F.bit_or("value_mask").alias("value_mask"),
+        F.bit_or("mask").alias("value_mask"),
+        F.array_sort(F.collect_list(F.when(is_[_EXAMPLE], F.struct("at", "type", "shown")))).alias("shown"),
     )
-    presence = field_presence(paths, totals, options)
-    mask = F.col("value_mask").bitwiseOR(pii.path_hint_mask(F.col("path"), custom))
-    fields = presence.join(per_field, FIELD).select(
+    path_mask = pii.path_hint_mask(F.col("path"), custom)
+    ratio = F.col("present_count") / F.col("docs")
+    fields = per_field.join(totals, "collection").withColumn("path_mask", path_mask).select(
         *FIELD,
-        "present_ratio",
+        ratio.alias("present_ratio"),
         "present_count",
-        "absent_count",
-        "optional",
+        (F.col("docs") - F.col("present_count")).alias("absent_count"),
+        (ratio < options.optional_threshold).alias("optional"),
         F.transform(
             "listed",
             lambda t: F.struct(t["type"].alias("type"), t["n"].alias("n"), (t["n"] / F.col("occurrences")).alias("ratio")),
         ).alias("types"),
         "mixed_type",
         "stats",
-        pii.hints_of(mask, custom).alias("hints"),
+        pii.hints_of(F.col("value_mask").bitwiseOR(F.col("path_mask")), custom).alias("hints"),
+        "shown",
+        "path_mask",
     )
     if not examples:
-        return fields
-    return fields.join(example_lists(paths, options), FIELD, "left")
+        return fields.drop("shown", "path_mask")
 
+    def entries(t: Column) -> Column:
+        return F.transform(
+            t["shown"],
+            lambda e: F.struct(
+                e["value"].alias("value"), t["type"].alias("type"), pii.hints_of(e["mask"].bitwiseOR(F.col("path_mask")), custom).alias("hints")
+            ),
+        )
 
-def example_lists(paths: DataFrame, options: ProfileOptions = ProfileOptions()) -> DataFrame:
-    """examples array<struct<value, type, hints>> per field; at most k per type."""
-    custom = options.pii_patterns
-    found = examples_per_type(paths, options)
-    mask = F.col("value_mask").bitwiseOR(pii.path_hint_mask(F.col("path"), custom))
-    first_of_type = F.min("at").over(Window.partitionBy(*FIELD_TYPE))
-    found = found.withColumn("hints", pii.hints_of(mask, custom)).withColumn("type_at", first_of_type)
-    entry = F.struct("type_at", "rank", F.struct(F.col("rendered").alias("value"), "type", "hints").alias("example"))
-    return found.groupBy(*FIELD).agg(
-        F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["example"]).alias("examples")
-    )
+    return fields.withColumn("examples", F.flatten(F.transform("shown", entries))).drop("shown", "path_mask")
 
 
 def profile_field(paths: DataFrame, totals: DataFrame, path: str, options: ProfileOptions = ProfileOptions()) -> DataFrame:
@@ -390,27 +429,32 @@ def merge_paths(*paths: DataFrame) -> DataFrame:
 def pii_scan(paths: DataFrame, totals: DataFrame, options: ProfileOptions = ProfileOptions()) -> DataFrame:
     """Per (collection, path, hint): documents hit and their share.
 
-    A hint that follows from the path hits every document having it. Only string values with a
-    hit have their document ids compared, and only inside arrays of two or more elements.
+    A hint that follows from the path hits every document having it. Path rows are expanded once: rows that are alone in
+    their document are counted by hint, those in arrays of two or more elements are first merged by document.
     """
     custom = options.pii_patterns
     names = pii.hint_order(custom)
+    by_value = list(dict.fromkeys(hint for _, hint in pii.VALUE_PATTERNS))
     value = F.when(F.col("type") == "string", F.col("text"))
-    hits = pii.hints_of(pii.value_hint_mask(value, custom), custom)
-    hit = field_rows(paths).select("collection", "doc_id", "path", "solo", F.explode(hits).alias("hint"))
-    repeated = F.when(~F.col("solo"), F.col("doc_id"))
-    by_value = hit.groupBy(*FIELD, "hint").agg(
-        (F.count_if("solo") + F.count_distinct(repeated)).alias("docs_hit")
+    rows = field_rows(paths).withColumn("mask", pii.value_hint_mask(value, custom))
+    doc = F.when(~F.col("solo"), F.col("doc_id")).alias("doc")
+    hit = {h: pii.has_hint(F.col("mask"), h, custom) for h in by_value}
+    per_doc = rows.groupBy(*FIELD, doc).agg(
+        F.count_if("solo").alias("alone"),
+        F.bit_or(F.when(~F.col("solo"), F.col("mask"))).alias("mask"),
+        *[F.count_if(F.col("solo") & hit[h]).alias(f"hit_{i}") for i, h in enumerate(by_value)],
     )
-    by_path = presence_counts(field_rows(paths)).select(
-        *FIELD,
-        F.explode(pii.hints_of(pii.path_hint_mask(F.col("path"), custom), custom)).alias("hint"),
-        F.col("present_count").alias("docs_hit"),
+    in_arrays = F.coalesce(F.col("mask"), F.lit(0).cast("bigint"))
+    per_field = per_doc.withColumn("mask", in_arrays).groupBy(*FIELD).agg(
+        (F.sum("alone") + F.count("doc")).alias("present"),
+        *[(F.sum(f"hit_{i}") + F.count_if(hit[h])).alias(f"hit_{i}") for i, h in enumerate(by_value)],
     )
-    hits = by_value.unionByName(by_path).groupBy(*FIELD, "hint").agg(F.max("docs_hit").alias("docs_hit"))
-    order = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("hint"))
+    path_mask = pii.path_hint_mask(F.col("path"), custom)
+    counts = [F.when(pii.has_hint(F.col("path_mask"), h, custom), F.col("present")).otherwise(F.col(f"hit_{by_value.index(h)}") if h in by_value else F.lit(0)) for h in names]
+    listed = F.array(*[F.struct(F.lit(h).alias("hint"), F.lit(i + 1).cast("bigint").alias("hint_rank"), n.alias("docs_hit")) for i, (h, n) in enumerate(zip(names, counts, strict=True))])
+    hits = per_field.withColumn("path_mask", path_mask).select(*FIELD, F.inline(listed)).where("docs_hit > 0")
     return hits.join(totals, "collection").select(
-        *FIELD, "hint", order.alias("hint_rank"), "docs_hit", (F.col("docs_hit") / F.col("docs")).alias("hit_ratio")
+        *FIELD, "hint", "hint_rank", "docs_hit", (F.col("docs_hit") / F.col("docs")).alias("hit_ratio")
     )
 
 

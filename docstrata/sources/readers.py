@@ -7,6 +7,24 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+# Ids given to rows without one, where ids are whole numbers: upward from the least.
+_LEAST_ID = -(2**63)
+
+
+def document_id(df: DataFrame, doc_id: str) -> Column:
+    """The id of each row; a row without one gets an id of its own from its place in the table.
+
+    Statistics count documents by id, so rows must not share a null. Places are those of a scan, the same each time it is read.
+    """
+    column, kind = F.col(f"`{doc_id}`"), df.schema[doc_id].dataType
+    place = F.monotonically_increasing_id()
+    if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        return F.coalesce(column.cast("bigint"), F.lit(_LEAST_ID).cast("bigint") + place)
+    if isinstance(kind, T.StringType):
+        return F.coalesce(column, F.concat(F.lit("row:"), place.cast("string")))
+    return column
 
 
 def documents_from_json(df: DataFrame, collection: str, doc_id: str, json: str) -> DataFrame:
@@ -17,17 +35,20 @@ def documents_from_json(df: DataFrame, collection: str, doc_id: str, json: str)
     """
     return df.select(
         F.lit(collection).alias("collection"),
-        F.col(doc_id).alias("doc_id"),
+        document_id(df, doc_id).alias("doc_id"),
         F.try_parse_json(F.col(json)).alias("v"),
     )
 
 
-def documents_from_table(df: DataFrame, collection: str, doc_id: str) -> DataFrame:
-    """Turn the rows of a typed table into documents; column types survive in the VARIANT."""
+def documents_from_table(df: DataFrame, collection: str, doc_id: str, columns: Sequence[str] | None = None) -> DataFrame:
+    """Turn the rows of a typed table into documents of all or some columns; their types survive in the VARIANT.
+
+    `flatten_table` gives the path rows of such documents without them.
+    """
     return df.select(
         F.lit(collection).alias("collection"),
-        F.col(doc_id).alias("doc_id"),
-        F.to_variant_object(F.struct(*[F.col(c) for c in df.columns])).alias("v"),
+        document_id(df, doc_id).alias("doc_id"),
+        F.to_variant_object(F.struct(*[F.col(f"`{c}`") for c in columns or df.columns])).alias("v"),
     )
 
 
