@@ -10,6 +10,8 @@ TRUNCATED = "[TRUNCATED]"
 
 # Segments are runs of escaped pairs or of characters other than dot.
 _SEGMENT = r"((?:\\.|[^.])+)"
+# Root collation, without case and accents.
+COLLATION = "UNICODE_CI_AI"
 # A digit run is preceded by its number of digits, in so many places.
 _COUNT_WIDTH = 8
 
@@ -77,9 +79,16 @@ def natural_key(text: Column) -> Column:
     return F.array_join(F.transform(runs, ordered), "")
 
 
+def natural_order(text: Column) -> Column:
+    """Order by base letters: case and accents are ignored, marks come before digits and digits before letters, runs of digits
+    order as numbers. Texts that differ in case or accents only are equal; order by the text itself after it.
+    """
+    return F.collate(natural_key(text), COLLATION)
+
+
 def path_key(path: Column) -> Column:
-    """Natural key per dot-separated segment; a shorter path sorts before its extensions."""
-    return natural_key(F.translate(path, ".", "\x01"))
+    """Natural order of each dot-separated segment in turn; a shorter path sorts before its extensions."""
+    return F.transform(F.split(path, r"\."), natural_order)
 
 
 def sort_paths(paths: Column) -> Column:

@@ -25,6 +25,8 @@ FIELD_TYPE = ["collection", "path", "type"]
 
 # Rendered values are spread over this many slots to bound the search for first examples.
 EXAMPLE_SLOTS = 16
+# Size of quantile sketches.
+QUANTILE_SIZE = 1000
 # One document in so many is looked at for the bounds of that search, and so many bounds are kept at most.
 BOUND_SHARE, BOUND_ROWS = 64, 100_000
 
@@ -164,6 +166,33 @@ def field_percentile(paths: DataFrame, p: float) -> DataFrame:
     return picked.groupBy(*FIELD).agg((lower * (1 - fraction) + upper * fraction).alias("percentile"))
 
 
+def partial_quantiles(paths: DataFrame, size: int = QUANTILE_SIZE) -> DataFrame:
+    """A quantile sketch of the numbers of each field, which adds up across disjoint sets of documents.
+
+    The rank of a value read from a sketch of size k is off by some 2.3 / k^0.9 of the values (1.3 % for 200, 0.3 % for 1000)
+    with 99 % confidence, for one set or many. It takes one map-side combined pass and no sort; see `field_percentile` for
+    exact percentiles.
+    """
+    return numeric_values(paths).groupBy(*FIELD).agg(F.kll_sketch_agg_double("num", F.lit(size)).alias("sketch"))
+
+
+def merge_quantiles(*parts: DataFrame) -> DataFrame:
+    """Sketches of all documents from those of disjoint sets, fresh or read back from a table."""
+    union = parts[0]
+    for other in parts[1:]:
+        union = union.unionByName(other)
+    return union.groupBy(*FIELD).agg(F.kll_merge_agg_double("sketch").alias("sketch"))
+
+
+def sketched_percentile(quantiles: DataFrame, p: float) -> DataFrame:
+    """A value near the p-th percentile of each field, and of how many numbers."""
+    return quantiles.select(
+        *FIELD,
+        F.kll_sketch_get_n_double("sketch").alias("n"),
+        F.kll_sketch_get_quantile_double("sketch", F.lit(p / 100.0)).alias("percentile"),
+    )
+
+
 # --- examples and hints ------------------------------------------------------------------------
 
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docstrata.functions.paths import natural_key
+from docstrata.functions.paths import natural_order
 from docstrata.functions.text import (
     format_count,
     format_diff,
@@ -95,7 +95,7 @@ def collection_overview(
         F.coalesce("fields", F.lit(0)).alias("fields"),
         F.coalesce("variants", F.lit(0)).alias("variants"),
         F.when(text == "", F.lit("-")).otherwise(text).alias("warnings"),
-    ).orderBy(natural_key(F.col("collection")), "collection")
+    ).orderBy(natural_order(F.col("collection")), "collection")
 
 
 def overview_report(
@@ -146,11 +146,9 @@ def overview_report(
         )
     ).where(F.col("line").isNotNull())
     warned = warned.select(F.lit("truncation").alias("section"), "position", "line")
-    named = pii.select(
-        F.lit("warnings").alias("section"),
-        F.row_number().over(Window.orderBy(natural_key(F.col("collection")), "collection")).alias("position"),
-        F.concat(
-            F.lit("["), F.col("collection"), F.lit("] PII-suspected fields detected: "), F.array_join("paths", ", ")
-        ).alias("line"),
-    )
+    line = F.concat(F.lit("["), F.col("collection"), F.lit("] PII-suspected fields detected: "), F.array_join("paths", ", "))
+    # one short line per collection, in order
+    lines = F.array_sort(F.collect_list(F.struct(natural_order(F.col("collection")).alias("k"), "collection", line.alias("line"))))
+    placed = pii.agg(lines.alias("lines")).select(F.posexplode("lines").alias("at", "entry"))
+    named = placed.select(F.lit("warnings").alias("section"), (F.col("at") + 1).alias("position"), F.col("entry.line").alias("line"))
     return head.unionByName(counted).unionByName(warned).unionByName(named)

@@ -45,6 +45,28 @@ def random_sample(df: DataFrame, size: int, key: str = "doc_id", seed: str = "0"
     return df.orderBy(sample_order(key, seed), key).limit(size)
 
 
+def fraction_sample(df: DataFrame, fraction: float, seed: int = 0) -> DataFrame:
+    """Each row with this chance, decided where it is read: no shuffle, no count of the table."""
+    if not 0 <= fraction <= 1:
+        raise ValueError(f"fraction must lie in [0, 1], got {fraction}")
+    return df.sample(withReplacement=False, fraction=float(fraction), seed=seed)
+
+
+def stratified_fraction(df: DataFrame, column: str, fractions: dict, seed: int = 0) -> DataFrame:
+    """Each row with the chance that its value of a column has; rows of other values are left out."""
+    return df.sampleBy(column, fractions, seed)
+
+
+def keyed_fraction(df: DataFrame, fraction: float, key: str = "doc_id", seed: str = "0") -> DataFrame:
+    """The rows whose key falls into a fixed share of all keys: the same ones on every run, in every engine and whatever
+    else is in the table, so that samples of growing tables grow with them. A larger fraction keeps the rows of a smaller one.
+    """
+    if not 0 <= fraction <= 1:
+        raise ValueError(f"fraction must lie in [0, 1], got {fraction}")
+    digits = 8
+    return df.where(F.conv(F.left(sample_order(key, seed), F.lit(digits)), 16, 10).cast("bigint") < int(fraction * 16**digits))
+
+
 def per_collection_sample(df: DataFrame, size: int, key: str = "doc_id", seed: str = "0") -> DataFrame:
     """`size` rows of every collection. Each task keeps only its own first rows of a collection."""
     order = Window.partitionBy("collection").orderBy("_order", key)

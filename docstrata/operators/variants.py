@@ -71,13 +71,25 @@ def shapes(documents: DataFrame) -> DataFrame:
     )
 
 
+def merge_shapes(*parts: DataFrame) -> DataFrame:
+    """Add up the shapes of disjoint document sets, fresh or read back from a table: the shapes of them all."""
+    union = parts[0]
+    for other in parts[1:]:
+        union = union.unionByName(other)
+    return union.groupBy("collection", "signature").agg(
+        F.sum("count").alias("count"), F.min("first_doc").alias("first_doc"), F.min_by("paths", "first_doc").alias("paths")
+    )
+
+
 def top_variants(shapes_: DataFrame, n: int) -> DataFrame:
-    """The n most frequent shapes of each collection, first seen on ties, with rank and ratio."""
-    whole = Window.partitionBy("collection")
-    order = whole.orderBy(F.desc("count"), "first_doc", "signature")
-    # Total and rank come from the same pass over the shapes, so they are derived once.
-    counted = shapes_.withColumns({"docs": F.sum("count").over(whole), "rank": F.row_number().over(order)})
-    return counted.where(F.col("rank") <= n).withColumn("ratio", F.col("count") / F.col("docs")).drop("docs")
+    """The n most frequent shapes of each collection, first seen on ties, with rank and ratio.
+
+    The rank is alone in its window, so that each task keeps its first n only before they meet; totals are a sum of their own.
+    """
+    order = Window.partitionBy("collection").orderBy(F.desc("count"), "first_doc", "signature")
+    ranked = shapes_.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
+    totals = shapes_.groupBy("collection").agg(F.sum("count").alias("docs"))
+    return ranked.join(totals, "collection").withColumn("ratio", F.col("count") / F.col("docs")).drop("docs")
 
 
 def variant_diff(variants: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Mapping, Sequence
 
@@ -155,6 +156,66 @@ def glob_to_regex(glob: str) -> str:
     return "".join(out)
 
 
+def key_estimates(df: DataFrame, keys: Mapping[str, Sequence[str]], precision: int = 14) -> DataFrame:
+    """One row of sketches: per candidate key the rows with all parts present, the absent rows and a HyperLogLog sketch.
+
+    All keys are screened in one scan, with map-side merging. Rows of disjoint sets of rows are merged by `merge_estimates`.
+    """
+    columns = [F.count(F.lit(1)).alias("rows")]
+    for i, parts in enumerate(keys.values()):
+        present = _all_present(parts)
+        # parts are told apart and typed; equal hashes of different keys are beyond a sketch's error
+        value = F.xxhash64(*[F.col(c) for c in parts])
+        columns += [F.count_if(present).alias(f"present_{i}"), F.hll_sketch_agg(F.when(present, value), F.lit(precision)).alias(f"sketch_{i}")]
+    return df.agg(*columns)
+
+
+def merge_estimates(*parts: DataFrame) -> DataFrame:
+    """The sketches of all rows from those of disjoint sets of them, fresh or read back from a table."""
+    union = parts[0]
+    for other in parts[1:]:
+        union = union.unionByName(other)
+    merged = [F.hll_union_agg(c).alias(c) if c.startswith("sketch_") else F.sum(c).alias(c) for c in union.columns]
+    return union.agg(*merged)
+
+
+def spelled_estimates(estimates: DataFrame, keys: Mapping[str, Sequence[str]]) -> DataFrame:
+    """keys(name, keys, rows, absent, estimate) from a row of sketches."""
+    listed = [
+        F.struct(
+            F.lit(name).alias("name"),
+            F.lit(_spelled(parts)).alias("keys"),
+            "rows",
+            (F.col("rows") - F.col(f"present_{i}")).alias("absent"),
+            F.col(f"present_{i}").alias("present"),
+            F.hll_sketch_estimate(f"sketch_{i}").alias("estimate"),
+        )
+        for i, (name, parts) in enumerate(keys.items())
+    ]
+    return estimates.select(F.inline(F.array(*listed)))
+
+
+def screened_keys(df: DataFrame, keys: Mapping[str, Sequence[str]], precision: int = 14, margin: float = 4.0) -> DataFrame:
+    """name, keys, rows, absent, unique of every candidate key; only those that may be unique are grouped exactly.
+
+    A sketch of 2^p buckets is off by 1.04 / sqrt(2^p) as a rule. A key whose estimate stays `margin` times that below its
+    present rows is not unique; all others, and so every unique key but for an error beyond the margin, are grouped (see
+    `key_profile`). One small row decides, so the exact jobs are planned after the screen has run.
+    """
+    allowed = 1 - margin * 1.04 / math.sqrt(2**precision)
+    screened = spelled_estimates(key_estimates(df, keys, precision), keys)
+    # one row per candidate key, and the exact ones are chosen by it
+    rows = screened.collect()
+    maybe = [r["name"] for r in rows if r["estimate"] >= allowed * r["present"]]
+    schema = "name string, keys string, rows bigint, absent bigint, unique boolean"
+    decided = [(r["name"], r["keys"], r["rows"], r["absent"], False) for r in rows if r["name"] not in maybe]
+    found = df.sparkSession.createDataFrame(decided, schema)
+    if maybe:
+        exact = key_profile(df, {name: keys[name] for name in maybe})
+        found = found.unionByName(exact.select("name", "keys", "rows", "absent", "unique"))
+    return found
+
+
 def key_profile(df: DataFrame, keys: Mapping[str, Sequence[str]]) -> DataFrame:
     """For each candidate key: is it unique, and is it absent (any part NULL) in some rows?
 
@@ -172,7 +233,7 @@ def key_profile(df: DataFrame, keys: Mapping[str, Sequence[str]]) -> DataFrame:
                 F.count_if(present).alias("distinct_values"),
                 (F.coalesce(F.max(F.when(present, F.col("_rows"))), F.lit(0)) <= 1).alias("unique"),
                 F.coalesce(F.bool_or(~present), F.lit(False)).alias("sparse"),
-            ).select(F.lit(name).alias("name"), F.lit(", ".join(f"{c}: 1" for c in columns)).alias("keys"), "*")
+            ).select(F.lit(name).alias("name"), F.lit(_spelled(columns)).alias("keys"), "*")
         )
     union = profiles[0]
     for more in profiles[1:]:
@@ -180,6 +241,10 @@ def key_profile(df: DataFrame, keys: Mapping[str, Sequence[str]]) -> DataFrame:
     return union.where("rows is not null")
 
 
+def _spelled(columns: Sequence[str]) -> str:
+    return ", ".join(f"{c}: 1" for c in columns)
+
+
 def _all_present(columns: Sequence[str]) -> Column:
     present = F.col(columns[0]).isNotNull()
     for c in columns[1:]:

@@ -48,6 +48,33 @@ def write_schema_json(
     profile_rows(fields, variants, summaries).write.mode(mode).json(path)
 
 
+def update_schema_json(path: str, fields: DataFrame, variants: DataFrame, summaries: DataFrame | None = None) -> None:
+    """Replace the collections of a run in a stored profile and keep all others.
+
+    Such a profile has one folder per collection from its first writing on; `load_schema_json` reads both forms.
+    """
+    _update(profile_rows(fields, variants, summaries), path, "json")
+
+
+def update_reports(path: str, reports: dict[str, DataFrame], file_format: str = "parquet") -> None:
+    """Replace the collections of a run in the reports written by `write_reports` and keep all others.
+
+    Reports without a collection column describe a run; they are replaced as a whole.
+    """
+    for name, report in reports.items():
+        target = f"{path.rstrip('/')}/{name}"
+        if "collection" in report.columns:
+            _update(report, target, file_format)
+        else:
+            report.write.mode("overwrite").format(file_format).save(target)
+
+
+def _update(rows: DataFrame, path: str, file_format: str) -> None:
+    # only the partitions that have rows are overwritten
+    writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("collection").format(file_format).save(path)
+
+
 def load_schema_json(spark: SparkSession, path: str) -> DataFrame:
     """An earlier profile; a missing folder gives no rows, an unreadable line an error when it is read."""
     try:
