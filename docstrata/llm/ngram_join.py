@@ -3,8 +3,11 @@
 A document is the set of its distinct shingle hashes. Two documents link when intersection / union >= 0.8.
 
 1. Equal sets fall together by digest; their class is its smallest document.
-2. Documents at that similarity share one of their `size - ceil(0.8 size) + 1` smallest hashes. Those hashes are dealt out;
-   a hash that only one document has is dropped where it lies.
+2. Documents at that similarity share one of their first `size - ceil(0.8 size) + 1` hashes, in any order that is the same for
+   all. Hashes that many documents have come last: those of one document in `SAMPLE_SHARE` are counted, and the most frequent
+   (at most `FREQUENT_ROWS`) are put behind all others, so that a passage that many documents share seldom deals them out. The
+   order only saves work; no result depends on it. First hashes are dealt out; one that only one document has is dropped where
+   it lies.
 3. A first round compares every document of such a group with the group's smallest one only. Linked documents form
    components, so the many copies of one text cost one comparison each and never all pairs.
 4. What is left are groups with several components. Hashes dealt into token groups make a document a point of counts. An
@@ -38,6 +41,7 @@ FINE_SHARE = 4
 BROADCAST_NODES = 100_000
 FANOUT = 16
 BUNDLE_ROWS = 30_000
+SAMPLE_SHARE, LEAST_SAMPLED, FREQUENT_ROWS = 64, 3, 200_000
 
 # ---------------------------------------------------------------- sets
 
@@ -105,25 +109,69 @@ def _digests(batches):
             )
 
 
-def _postings(batches):
+def _sampled_shingles(batches):
     for batch in batches:
         for part in slices([batch], "t"):
-            sets = shingle_sets(part.column("t"))
-            sizes = np.array([len(s) for s in sets])
-            prefixes = [s[: prefix_size(len(s))] for s in sets]
-            counts = np.array([len(p) for p in prefixes])
-            # signed keys in the order of the hashes
-            keys = (np.concatenate(prefixes) ^ np.uint64(1 << 63)).view(np.int64)
-            ranks = np.concatenate([np.arange(n) for n in counts])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(keys),
-                    pa.array(np.repeat(part.column("doc_id").to_numpy(), counts)),
-                    pa.array(np.repeat(sizes, counts).astype(np.int32)),
-                    pa.array(ranks.astype(np.int32)),
-                ],
-                ["key", "doc", "size", "rank"],
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(shingle_sets(part.column("t"))).view(np.int64))], ["shingle"])
+
+
+def frequent_shingles(docs: DataFrame) -> np.ndarray:
+    """The sorted hashes that come last in the order of shingles, at most FREQUENT_ROWS of them."""
+    sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE_SHARE)) == 0).select("t")
+    counts = sample.mapInArrow(_sampled_shingles, "shingle long").groupBy("shingle").agg(F.count("*").alias("n"))
+    most = counts.where(F.col("n") >= LEAST_SAMPLED).orderBy(F.desc("n"), "shingle").limit(FREQUENT_ROWS)
+    return np.sort(np.array([r["shingle"] for r in most.select("shingle").collect()], np.int64).view(np.uint64))
+
+
+class Order:
+    """The order of shingles: the frequent ones last, else by hash."""
+
+    def __init__(self, frequent: np.ndarray):
+        self.frequent, self.low = frequent, np.zeros(1 << 22, bool)
+        self.low[(frequent & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
+
+    def is_frequent(self, shingles: np.ndarray) -> np.ndarray:
+        out = self.low[(shingles & np.uint64((1 << 22) - 1)).astype(np.int64)]
+        at = np.flatnonzero(out)
+        if len(at):
+            place = np.minimum(np.searchsorted(self.frequent, shingles[at]), len(self.frequent) - 1)
+            out[at] = self.frequent[place] == shingles[at]
+        return out
+
+    def sorted(self, sets: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Each sorted set in this order, and its keys: numbers in the same order."""
+        flags = self.is_frequent(np.concatenate(sets)) if sets else np.zeros(0, bool)
+        out, keys, at = [], [], 0
+        for s in sets:
+            last = flags[at : at + len(s)]
+            at += len(s)
+            if last.any():
+                s, last = np.concatenate([s[~last], s[last]]), np.sort(last)
+            out.append(s)
+            keys.append((s >> np.uint64(2)).astype(np.int64) | (last.astype(np.int64) << 62))
+        return out, keys
+
+
+def _postings(frequent):
+    def run(batches):
+        order = Order(frequent.value)
+        for batch in batches:
+            for part in slices([batch], "t"):
+                sets, keys = order.sorted(shingle_sets(part.column("t")))
+                sizes = np.array([len(s) for s in sets])
+                counts = np.array([prefix_size(n) for n in sizes.tolist()])
+                ranks = np.concatenate([np.arange(n) for n in counts])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.concatenate([k[:n] for k, n in zip(keys, counts.tolist(), strict=True)])),
+                        pa.array(np.repeat(part.column("doc_id").to_numpy(), counts)),
+                        pa.array(np.repeat(sizes, counts).astype(np.int32)),
+                        pa.array(ranks.astype(np.int32)),
+                    ],
+                    ["key", "doc", "size", "rank"],
+                )
+
+    return run
 
 
 def _whole_sets(batches):
@@ -296,9 +344,11 @@ def link_documents(documents: DataFrame, block_rows: int = 1000) -> DataFrame:
     several = stored(several, "shingles-several").withColumn("several", F.lit(True))
     renamed = stored(copies.join(several, "doc", "left_anti"), "shingles-renamed")
 
-    # Documents that share one of their smallest hashes, with the smallest document that does.
+    # Documents that share one of their first hashes, with the smallest document that does.
     group = Window.partitionBy("key")
-    postings = with_id.mapInArrow(_postings, "key long, doc long, size int, rank int")
+    # at most FREQUENT_ROWS numbers
+    frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(with_id))
+    postings = with_id.mapInArrow(_postings(frequent), "key long, doc long, size int, rank int")
     shared = postings.withColumns({"center": F.min("doc").over(group), "last": F.max("doc").over(group)}).where("center <> last").drop("last")
     shared = stored(shared, "shingles-shared")
     # A copy's place is its class's.

@@ -88,6 +88,48 @@ def test_texts_that_share_an_id(spark, block_rows):
         assert edges.same([tuple(r) for r in ngram_join.link_documents(df, block_rows).collect()], expected(docs))
 
 
+def test_order_of_shingles():
+    rng = np.random.default_rng(8)
+    hashes = np.unique(rng.integers(0, 2**63, 3000, dtype=np.uint64) * np.uint64(2) + np.uint64(1))
+    order = ngram_join.Order(hashes[::7])
+    sets = [np.sort(rng.choice(hashes, n, replace=False)) for n in (0, 1, 5, 200)] + [hashes[::7]]
+    first = set(hashes[::7].tolist())
+    for plain, (arranged, keys) in zip(sets, zip(*order.sorted(sets), strict=True), strict=True):
+        assert arranged.tolist() == sorted(plain.tolist(), key=lambda h: (h in first, h))
+        assert (np.diff(keys) > 0).all() and (keys >= 0).all()
+    assert not ngram_join.Order(hashes[:0]).is_frequent(hashes).any()
+
+
+def boilerplate(n, seed=9):
+    """Texts of their own words around one passage, some of them near copies of another."""
+    rng = random.Random(seed)
+    passage = " ".join(f"p{i}" for i in range(20))
+    texts = [[*(f"u{i}_{k}" for k in range(40)), passage, *(f"v{i}_{k}" for k in range(40))] for i in range(n)]
+    for i in range(0, n, 10):
+        texts[i] = list(texts[i // 2])
+        texts[i][rng.randrange(30)] = "other"
+    return [(i, " ".join(t)) for i, t in enumerate(texts)]
+
+
+def test_a_common_passage_deals_out_few_rows(spark, monkeypatch):
+    """The tree's rows grow with the documents, not with the square of those that share a passage."""
+    monkeypatch.setattr(ngram_join, "SAMPLE_SHARE", 8)
+    dealt, stored = {}, ngram_join.stored
+
+    def counted(df, name, *args):
+        out = stored(df, name, *args)
+        if name == "shingles-groups":
+            dealt[len(dealt)] = out.groupBy("key").count().agg({"count": "max"}).first()[0]
+        return out
+
+    monkeypatch.setattr(ngram_join, "stored", counted)
+    for n in (300, 1200):
+        docs = boilerplate(n)
+        df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+        assert edges.same([tuple(r) for r in ngram_join.link_documents(df, 50).collect()], expected(docs))
+    assert max(dealt.values()) < 30
+
+
 def test_tree_loses_no_pair_that_may_link():
     random = np.random.default_rng(4)
     sizes = random.integers(5, 60, 200)
