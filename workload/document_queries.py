@@ -11,6 +11,7 @@ from docstrata.functions import masks, paths as P, pii, text as X
 from docstrata.operators import fields as A
 from docstrata.operators import variants as V
 from docstrata.operators.flatten import flatten_documents, normalize_wildcards, value_type
+from docstrata.operators.typed import flatten_table, table_totals
 from docstrata.session import shared_folder
 from docstrata.sources.fixtures import spread_table, table
 from docstrata.sources.readers import documents_from_json, documents_from_table, duplicate_ids, read_documents, rejected_documents
@@ -44,9 +45,9 @@ def normalize_wildcards_query(spark, sf):
     return normalize_wildcards(raw).groupBy("path", "type").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(O.with_flat("select path, text, count(*) as n from flat where path like 'charges%' group by 1, 2", "order_docs"))
+@query(O.with_flat("select path, text, count(*) as n from flat where type = 'array' or path like '%[*]%' group by 1, 2", "order_docs", "contact_docs"))
 def array_paths(spark, sf):
-    rows = paths_of(spark, sf, "order_docs").where(F.startswith("path", F.lit("charges")))
+    rows = paths_of(spark, sf, "order_docs", "contact_docs").where((F.col("type") == "array") | F.contains("path", F.lit(P.WILDCARD)))
     return rows.groupBy("path", "text").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -463,27 +464,28 @@ def pii_scan(spark, sf):
     return found.select("collection", "path", "hint", "docs_hit", R6("hit_ratio").alias("hit_ratio"))
 
 
-@query(
-    r"""with long as (select 'conversations' as collection, conv_id * 1000 + turn as doc_id, unnest(['who', 'says', 'reply']) as path,
+_LONG = """long as (select 'conversations' as collection, conv_id * 1000 + turn as doc_id, unnest(['who', 'says', 'reply', 'text', 'role']) as path,
  unnest([case when turn % 3 = 0 then role || conv_id || '@mail.example.org' else role end, '192.168.' || (conv_id % 256) || '.' || (turn % 256),
- 'm' || turn]) as text from conversations),
-each as (select collection, doc_id, path, 'email' as hint from long where path = 'who' and contains(text, '@')
- union all select collection, doc_id, path, 'ip_address' from long where path = 'says'),
-total as (select count(distinct doc_id) as docs from long)
-select collection, path, hint, count(distinct doc_id) as docs_hit, round(count(distinct doc_id) / any_value(docs), 6) as hit_ratio
-from each, total group by 1, 2, 3"""
-)
+ 'm' || turn, text, role]) as text, 'string' as type from conversations
+ union all select 'documents', doc_id, unnest(['text', 'lang', 'source']), unnest([text, lang, source]), 'string' from documents),
+docs as (select 'conversations' as collection from conversations union all select 'documents' from documents)"""
+
+
+@query(f"with {_LONG}, " + _SCAN.replace("SOURCE", "long").replace("DOCS", "docs"))
 def pii_scan_documents(spark, sf):
-    """Turns of conversations as a typed table, with addresses in some of them."""
+    """Turns of conversations, with addresses in some of them, and whole documents, as typed tables."""
     turns = spread_table(spark, sf, "conversations").select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("number"),
         F.when(F.col("turn") % 3 == 0, F.concat("role", "conv_id", F.lit("@mail.example.org"))).otherwise(F.col("role")).alias("who"),
         F.concat(F.lit("192.168."), F.col("conv_id") % 256, F.lit("."), F.col("turn") % 256).alias("says"),
         F.concat(F.lit("m"), "turn").alias("reply"),
+        "text",
+        "role",
     )
-    docs = documents_from_table(turns, "conversations", "number")
-    found = A.pii_scan(flatten_documents(docs, OPTIONS), A.document_counts(docs), OPTIONS)
-    return found.where("hint <> 'phone'").select("collection", "path", "hint", "docs_hit", R6("hit_ratio").alias("hit_ratio"))
+    texts = spread_table(spark, sf, "documents")
+    paths = A.merge_paths(flatten_table(turns, "conversations", "number"), flatten_table(texts, "documents", "doc_id"))
+    totals = table_totals(turns, "conversations").unionByName(table_totals(texts, "documents"))
+    return A.pii_scan(paths, totals, OPTIONS).select("collection", "path", "hint", "docs_hit", R6("hit_ratio").alias("hit_ratio"))
 
 
 @query(f"with {O.flat('contact_docs')}, {O.fields()}, {O.field_hints()} select path, hints from fh_text")
@@ -663,7 +665,7 @@ def long_arrays(spark, sf):
 def pii_in_long_arrays(spark, sf):
     docs = _supplied(spark, sf)
     found = A.pii_scan(flatten_documents(docs, OPTIONS), A.document_counts(docs), OPTIONS)
-    return found.where("path = 'lines.[*].contact' and hint = 'email'").select("path", "hint", "docs_hit")
+    return found.select("path", "hint", "docs_hit")
 
 
 @query(
