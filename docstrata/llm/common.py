@@ -53,10 +53,20 @@ def text_of(docs: DataFrame) -> Column:
     return F.coalesce(F.col("text").cast("string"), F.lit(""))
 
 
+def _check_offsets(texts: pa.Array) -> None:
+    if texts.type not in (pa.string(), pa.binary()):
+        raise TypeError(f"texts must have 32-bit offsets, not {texts.type}: unset spark.sql.execution.arrow.useLargeVarTypes")
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Cut batches into runs of rows of about `most_bytes` of text; a longer text stands alone, whole."""
+    """Cut batches into runs of rows of about `most_bytes` of text; a longer text stands alone, whole.
+
+    Texts with 64-bit offsets, as sessions with spark.sql.execution.arrow.useLargeVarTypes send them, are refused: raw buffers are
+    read here, and rows go back with 32-bit ones.
+    """
     for batch in batches:
         texts = batch.column(column)
+        _check_offsets(texts)
         if not len(texts):
             continue
         ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
@@ -84,6 +94,7 @@ class Words:
     """The words of a batch of texts: byte ranges in `data`, a 64-bit hash each, and where each text's words begin."""
 
     def __init__(self, texts: pa.Array, lower: bool = False, parting: np.ndarray = SPACE_BYTES):
+        _check_offsets(texts)
         if texts.null_count:
             texts = texts.fill_null("")
         offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)

@@ -136,7 +136,7 @@ class PieceCodec:
         words, known = text.split(" "), self.words
         if SPACE not in text and "" not in words:
             return [known.get(w) or self._run(SPACE + w) for w in words]
-        return [self._run(r) for r in RUN.findall(SPACE + text.replace(" ", SPACE))]
+        return [known.get(r[1:]) or self._run(r) for r in RUN.findall(SPACE + text.replace(" ", SPACE))]
 
     def encode(self, text: str) -> list[int]:
         return [int(i) for ids, _ in self._runs(text) for i in ids.split(",")]

@@ -85,7 +85,7 @@ def _suffix_rows(batches):
             text = np.searchsorted(words.word_at, anchor, "right") - 1
             # the text's repeated anchors, as a set of (text, place)
             places = part.column("places")
-            counts = np.diff(np.frombuffer(places.buffers()[1], np.int32)[places.offset : places.offset + len(places) + 1])
+            counts = np.diff(places.offsets.to_numpy())
             items = places.flatten()
             wanted = np.repeat(words.word_at[:-1], counts) + items.field("place").to_numpy()
             owner = np.repeat(np.arange(len(places)), counts)
@@ -231,7 +231,7 @@ def repeated_windows(documents: DataFrame, group_rows: int = 2000) -> DataFrame:
 
 def _covered(words: Words, runs: pa.ListArray) -> np.ndarray:
     """Which words of a batch of texts lie in a repeated window."""
-    counts = np.diff(np.frombuffer(runs.buffers()[1], np.int32)[runs.offset : runs.offset + len(runs) + 1])
+    counts = np.diff(runs.offsets.to_numpy())
     items = runs.flatten()
     begin = np.repeat(words.word_at[:-1], counts) + items.field("start").to_numpy()
     change = np.zeros(len(words.starts) + 1, np.int64)
