@@ -31,17 +31,25 @@ def _pieces(name: Column) -> Column:
     )
 
 
+def _key_pieces(name: Column) -> Column:
+    """The distinct substrings of a name that end in "id", as every key name does: one per start before each such end."""
+    ends = F.filter(F.sequence(F.lit(1), F.length(name)), lambda e: F.substr(name, e, F.lit(2)) == "id")
+    return F.array_distinct(
+        F.flatten(F.transform(ends, lambda e: F.transform(F.sequence(F.lit(1), e), lambda a: F.substr(name, a, e - a + 2))))
+    )
+
+
 def related_names(fields: DataFrame, candidates: DataFrame) -> DataFrame:
     """(name, candidate_name) pairs where one name contains the other, ignoring case.
 
     Containment becomes equality: the substrings of the distinct names on one side are joined
-    with the distinct names on the other, so no pair is formed that does not match.
+    with the distinct names on the other, so no pair is formed that does not match. Of a field name only substrings that end
+    like a key are made; all are of the key names, which are few.
     """
     names = fields.select(F.lower(last_segment(F.col("path"))).alias("name")).distinct()
     keys = candidates.select(F.lower(last_segment(F.col("path"))).alias("candidate_name")).distinct()
-    # Every candidate name ends in "id", so other substrings of a field name cannot be one.
-    name_pieces = names.select("name", F.explode(_pieces(F.col("name"))).alias("candidate_name"))
-    name_holds = name_pieces.where(F.endswith("candidate_name", F.lit("id"))).join(keys, "candidate_name")
+    name_pieces = names.select("name", F.explode(_key_pieces(F.col("name"))).alias("candidate_name"))
+    name_holds = name_pieces.join(keys, "candidate_name")
     key_pieces = keys.select("candidate_name", F.explode(_pieces(F.col("candidate_name"))).alias("name"))
     key_holds = key_pieces.join(names, "name")
     return name_holds.select("name", "candidate_name").union(key_holds.select("name", "candidate_name")).distinct()
