@@ -108,9 +108,13 @@ def description_queue(profile: Profile, answered: DataFrame, max_fields: int | N
     return describe.description_work_queue(describe.description_inputs(wanted, context), answered)
 
 
-def write_profile(profile: Profile, folder: str, keys: DataFrame | None = None) -> None:
-    """The profile as JSON plus one report table per folder."""
-    store.write_schema_json(f"{folder}/schema", profile.fields, profile.variants, profile.summaries)
+def write_profile(profile: Profile, folder: str, keys: DataFrame | None = None, update: bool = False) -> None:
+    """The profile as JSON plus one report table per folder.
+
+    With `update` only the collections of this profile are replaced in what the folder holds; all others stay.
+    """
+    save = store.update_schema_json if update else store.write_schema_json
+    save(f"{folder}/schema", profile.fields, profile.variants, profile.summaries)
     totals = profile.catalog.withColumnRenamed("est_count", "docs")
     overview = reports.collection_overview(totals, profile.fields, profile.variants, profile.warnings, profile.catalog)
     run = reports.overview_report(
@@ -127,4 +131,4 @@ def write_profile(profile: Profile, folder: str, keys: DataFrame | None = None)
         tables |= {"drift": profile.drift, "preserved": profile.preserved}
     if keys is not None:
         tables["keys"] = reports.key_report(keys)
-    store.write_reports(folder, tables)
+    (store.update_reports if update else store.write_reports)(folder, tables)

@@ -100,6 +100,17 @@ def test_whole_run_and_its_second_round(spark, docs_of, tmp_path):
     assert sorted(r["path"] for r in waiting.collect()) == ["name", "x"]
 
 
+def test_a_run_over_some_collections_keeps_the_others(spark, docs_of, tmp_path):
+    people, places = docs_of({"name": "Ann"}, collection="people"), docs_of({"city": "Bonn"}, {"city": "Ulm"}, collection="places")
+    write_profile(profile_documents(people.unionByName(places), SMALL), str(tmp_path), update=True)
+    earlier = store.load_schema_json(spark, f"{tmp_path}/schema")
+    write_profile(profile_documents(docs_of({"town": "Trier"}, collection="places"), SMALL, previous=earlier), str(tmp_path), update=True)
+    fields = store.stored_fields(store.load_schema_json(spark, f"{tmp_path}/schema"))
+    assert sorted((r["collection"], r["path"], r["present_count"]) for r in fields.collect()) == [("people", "name", 1), ("places", "town", 1)]
+    for report in ("fields", "variants", "overview"):
+        assert sorted(r["collection"] for r in spark.read.parquet(f"{tmp_path}/{report}").collect()) == ["people", "places"]
+
+
 def _types(fields):
     return fields.select("collection", "path", F.explode("types").alias("t")).select("collection", "path", "t.type")
 
