@@ -14,7 +14,7 @@ lines already joined are not compared again. Candidates are verified on the whol
 
 Defined cases: a null or empty text has no lines with a word. Null ids come after all others. Rows with an equal id and
 text are one document and get the same result; rows with an equal id and other texts count by line numbers alone, and a
-line at an equal number is not later. An empty table gives an empty result. Columns beyond doc_id and text pass through
+line at an equal number is not later. A very long text is worked on alone, whole, and a very long line verified alone. An empty table gives an empty result. Columns beyond doc_id and text pass through
 `remove_lines`.
 """
 

@@ -21,8 +21,9 @@ Each (distinct) pair that may link is verified or already connected, so the comp
 
 Defined cases: null and empty texts, and texts without words, have the empty set (n_shingles 0) and link with nothing;
 fewer than five words are one shingle. Rows with equal ids are texts of one document, which links when any of them does;
-each is a row of the result. A null id links with nothing and has a null component. An empty table gives an empty result.
-Other columns are not read.
+each is a row of the result. A null id links with nothing and has a null component. A very
+long text is worked on alone, whole; its set is held in memory. Ties do not arise: a component has the name of its smallest id. An
+empty table gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations

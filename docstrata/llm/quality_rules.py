@@ -5,7 +5,7 @@ reject, 0 abstain). Only counts per vote pattern, at most 3^8 rows, are needed t
 classes; the posterior of a pattern then replaces an all-must-pass filter.
 
 Defined cases: a null or empty text has zero counts and fails the base rule (fewer than ten words). Repeated rows are
-scored alike, each on its own. An empty table gives an empty result. Columns beyond doc_id and text pass through `keep` only.
+scored alike, each on its own. A text of any length is judged whole; no rule ranks rows, so there are no ties. An empty table gives an empty result. Columns beyond doc_id and text pass through `keep` only.
 """
 
 from __future__ import annotations

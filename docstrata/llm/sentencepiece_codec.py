@@ -10,7 +10,8 @@ worker keeps a bounded table of them. The vocabulary file is read with the sente
 not.
 
 Defined cases: a null or empty text has no ids and decodes to the empty text. Characters without a piece become byte
-pieces. Every row is encoded on its own. An empty table gives an empty result. Other columns are not read.
+pieces. Every row is encoded on its own,
+whole, whatever its length; a run of letters without a space takes memory by its length. An empty table gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations

@@ -16,7 +16,8 @@ window has started earlier. Suffixes are split by variable-length prefixes:
 
 Defined cases: null and empty texts, and those under `WINDOW` words, keep all they have. A null id comes after all others.
 Rows with an equal id and text are one document and get the same result; rows with an equal id and other texts count by
-their starts alone, and a window at an equal start is not earlier. An empty table gives an empty result. Columns beyond
+their starts alone, and a window at an equal start is not earlier. A very long text is worked on alone, whole. An empty
+table gives an empty result. Columns beyond
 doc_id and text are not read by `repeated_windows` and pass through `remove_repeats`.
 """
 

@@ -11,7 +11,7 @@ Ids are little-endian and 16 bits wide; the stored and shuffled runs of sequence
 task writes under a name of its own and renames it at the end, so one that is repeated replaces its file.
 
 Defined cases: a null or empty text is the end id alone. Null ids and repeated rows do not matter, as every row is
-tokenized. An empty table gives no shards. Other columns are not read.
+tokenized, whole, whatever its length; sequences of equal content keep slots of their own. An empty table gives no shards. Other columns are not read.
 """
 
 from __future__ import annotations
