@@ -10,27 +10,28 @@ from docstrata.llm.common import ship_package, stored, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules reject go."""
+    """Documents that the rules reject go, null and empty texts among them. Equal rows are judged alike, whatever their ids."""
     return quality_rules.filter_documents(docs)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that repeat an earlier one go, and documents that have lost all of theirs."""
+    """Lines that repeat an earlier one go, and documents that have lost all of theirs. Null ids come last; equal rows are one
+    document, so both stay."""
     return line_dedup.remove_lines(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked documents stays."""
+    """One document of each group of linked documents stays: all rows of the smallest id. Rows without an id or a word stay."""
     return ngram_join.one_of_each_group(docs)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words in windows that have started earlier go."""
+    """Words in windows that have started earlier go. Null ids come last; texts of under twenty words keep all of theirs."""
     return substring_dedup.remove_repeats(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What is left, as pieces of sequences."""
+    """What is left, as pieces of sequences; an empty text is one id, and each row is packed on its own."""
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
