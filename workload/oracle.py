@@ -2,10 +2,68 @@
 
 from __future__ import annotations
 
-from docstrata.functions import pii
-from docstrata.functions.masks import MAX_SHOWN, MAX_STARS, SHOWN_SHARE
 from docstrata.sources.fixtures import STATEMENTS
 
+# Stated here once more, so that a wrong value in the library is a difference and not the same mistake twice.
+# Longest run of stars, most characters shown per side, share shown per side.
+MAX_STARS, MAX_SHOWN, SHOWN_SHARE = 10, 3, 4
+
+# Name patterns on the last path segment, in hint order.
+NAME_PATTERNS = [
+    ("email", "email"),
+    ("e[-_]?mail", "email"),
+    ("phone", "phone"),
+    ("mobile", "phone"),
+    ("tel(?:ephone)?", "phone"),
+    ("password", "password"),
+    ("passwd", "password"),
+    ("pwd", "password"),
+    ("secret", "secret"),
+    ("token", "token"),
+    ("api[-_]?key", "api_key"),
+    ("access[-_]?key", "access_key"),
+    ("auth", "auth"),
+    ("ssn", "ssn"),
+    ("serial", "ssn"),
+    ("social[-_]?security", "ssn"),
+    ("credit[-_]?card", "credit_card"),
+    ("card[-_]?number", "credit_card"),
+    ("cvv", "cvv"),
+    ("cvc", "cvv"),
+    ("address", "address"),
+    ("birth[-_]?date", "birthdate"),
+    ("dob", "birthdate"),
+    ("ip[-_]?address", "ip_address"),
+    (r"\Aci\z", "ci"),
+    (r"\Adi\z", "di"),
+    ("salt", "salt"),
+    ("name", "name"),
+]
+
+# A segment with this name marks everything below it.
+ANCESTOR_NAMES = ["address", "location"]
+
+# White space, inside of brackets, as patterns of the value lists mean it on any regular expression engine.
+SPACES = r"\t\n\x0B\f\r\x{20}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}"
+
+# Patterns over whole string values, in hint order.
+VALUE_PATTERNS = [
+    (r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}", "email"),
+    (r"\+?\d{1,4}[-." + SPACES + r"]?\(?\d{1,3}\)?[-." + SPACES + r"]?\d{1,4}[-." + SPACES + r"]?\d{1,9}", "phone"),
+    (r"\d{3}[-]?\d{2}[-]?\d{4}", "ssn"),
+    (r"\d{4}[-" + SPACES + r"]?\d{4}[-" + SPACES + r"]?\d{4}[-" + SPACES + r"]?\d{4}", "credit_card"),
+    (r"eyJ[a-zA-Z0-9_-]+\.eyJ[a-zA-Z0-9_-]+\.[a-zA-Z0-9_-]+", "jwt"),
+    ("(?i:[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12})", "uuid"),
+    (r"(?:(?:25[0-5]|2[0-4]\d|[01]?\d\d?)\.){3}(?:25[0-5]|2[0-4]\d|[01]?\d\d?)", "ip_address"),
+    (r"(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}", "ip_address"),
+]
+
+# Hints that names and ancestors give, and those of values, in report order.
+NAME_HINTS = (
+    "email phone password secret token api_key access_key auth ssn credit_card cvv address birthdate ip_address ci di salt name location"
+).split()
+VALUE_HINTS = "email phone ssn credit_card jwt uuid ip_address".split()
+
 # --- documents -> path rows ----------------------------------------------------------------------
 
 _PATH = r"""regexp_replace(replace(substr(fullkey, 3), '"', ''), '\[\d+\]', '.[*]', 'g')"""
@@ -93,20 +151,28 @@ def last_segment(x: str) -> str:
     return f"split_part({x}, '.', -1)"
 
 
+def custom_hint(pattern: str) -> str:
+    return pattern.removesuffix(".*").split(".")[-1] or pattern
+
+
+def hint_order(custom: tuple[str, ...] = ()) -> list[str]:
+    return list(dict.fromkeys([*NAME_HINTS, *map(custom_hint, custom), *VALUE_HINTS]))
+
+
 def hint_list(path: str, value: str | None, custom: tuple[str, ...] = ()) -> str:
     """Hints as a list, in report order; `value` is NULL for anything but strings."""
     by_hint: dict[str, list[str]] = {}
-    for pattern, hint in pii.NAME_PATTERNS:
+    for pattern, hint in NAME_PATTERNS:
         by_hint.setdefault(hint, []).append(f"regexp_matches({last_segment(path)}, '(?i){pattern}')")
-    for name in pii.ANCESTOR_NAMES:
+    for name in ANCESTOR_NAMES:
         by_hint.setdefault(name, []).append(f"list_contains(string_split(lower({path}), '.'), '{name}')")
     for pattern in custom:
-        by_hint.setdefault(pii.custom_hint(pattern), []).append(custom_match(path, pattern))
-    for pattern, hint in pii.VALUE_PATTERNS:
+        by_hint.setdefault(custom_hint(pattern), []).append(custom_match(path, pattern))
+    for pattern, hint in VALUE_PATTERNS:
         tests = by_hint.setdefault(hint, [])
         if value is not None:
             tests.append(f"coalesce(regexp_matches({value}, '\\A(?:{pattern})\\z'), false)")
-    order = [h for h in pii.hint_order(custom) if by_hint.get(h)]
+    order = [h for h in hint_order(custom) if by_hint.get(h)]
     cases = ", ".join(f"case when {' or '.join(by_hint[h])} then '{h}' end" for h in order)
     return f"list_filter([{cases}], lambda x: x is not null)"
 
@@ -160,7 +226,7 @@ def fields(name: str = "fields", source: str = "flat", docs: str = "flat_docs")
 
 
 def field_hints(name: str = "fh", source: str = "fields_rows") -> str:
-    names = ", ".join(f"'{h}'" for h in pii.hint_order())
+    names = ", ".join(f"'{h}'" for h in hint_order())
     return f"""{name}_each as (select collection, path, unnest({hint_list('path', STRING_VALUE)}) as hint from {source}),
 {name} as (select collection, path,
  list_sort(list(distinct list_position([{names}], hint))) as ranks from {name}_each group by 1, 2),
