@@ -123,7 +123,7 @@ def test_a_common_passage_deals_out_few_rows(spark, monkeypatch):
         return out
 
     monkeypatch.setattr(ngram_join, "stored", counted)
-    for n in (300, 1200):
+    for n in (200, 600):
         docs = boilerplate(n)
         df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
         assert edges.same([tuple(r) for r in ngram_join.link_documents(df, 50).collect()], expected(docs))
