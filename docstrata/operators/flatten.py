@@ -20,6 +20,8 @@ VALUE, MARKER, CUT = 0, 1, 2
 
 # Documents that nest deeper are expanded apart, so that the plan of all others stays short.
 PLAIN_LEVELS = 7
+# At most so many collections with documents of several kinds are named in a filter.
+SPLIT_COLLECTIONS = 100
 # Bits of `pos`. An array index takes 4, 12, 28 or 60 of them, by its size.
 ORDER_BITS = 60
 # Levels analysed together; more would exceed the analyzer's iteration limit.
@@ -312,17 +314,21 @@ def _levels_needed(options: ProfileOptions) -> str:
         depth.append(f"cast({nested} <> '' as int)")
         nested = f"replace({nested}, '<>', '')"
     exact = f"if({nested} = '', {' + '.join(depth)}, length(n) div 2)"
-    exact = _let("n", "regexp_replace(s, '[^<>]', '')", exact)
-    opens = "length(t) - length(translate(t, '[{', ''))"
+    exact = _let("n", "regexp_replace(s, '[^<>]+', '')", exact)
+    cap = options.max_keys_per_doc
+    # The document is printed only where its text is looked at.
+    text = "cast(x as string)" if cap is None else "t"
+    opens = f"length({text}) - length(translate({text}, '[{{', ''))"
     bound = f"if(contains(s, '`') or contains(s, 'VARIANT'), {opens}, {exact})"
     # Every row costs a separator or an opening bracket, and brings at most one marker with it.
     rows = "2 * (length(t) - length(translate(t, ',[{', ''))) + 2"
-    cap = options.max_keys_per_doc
     ranked = "false" if cap is None else f"if(length(t) <= {cap}, false, {rows} > {cap})"
     if options.max_depth is not None:
         bound = f"least({bound}, {options.max_depth + 1})"
     levels = _let("d", f"cast(greatest(1, {bound}) as int)", f"if({ranked}, -d, d)")
-    return _let("x", "v", _let("s", "schema_of_variant(x)", _let("t", "cast(x as string)", levels)))
+    if cap is not None:
+        levels = _let("t", "cast(x as string)", levels)
+    return _let("x", "v", _let("s", "schema_of_variant(x)", levels))
 
 
 def classify(documents: DataFrame, options: ProfileOptions = ProfileOptions()) -> DataFrame:
@@ -355,19 +361,32 @@ def flatten_documents(
         documents = classify(documents, options)
     levels = F.col("levels")
     plain, deep, ranked = levels.between(1, PLAIN_LEVELS), levels > PLAIN_LEVELS, levels < 0
-    depths = documents.agg(*[F.max(F.when(kind, F.abs(levels))) for kind in (plain, deep, ranked)]).first()
+    deepest = [F.max(F.when(kind, F.abs(levels))).alias(name) for name, kind in (("plain", plain), ("deep", deep), ("ranked", ranked))]
+    per_collection = documents.groupBy("collection").agg(*deepest)
+    special = F.when(F.col("deep").isNotNull() | F.col("ranked").isNotNull(), F.col("collection"))
+    *depths, mixed = per_collection.agg(F.max("plain"), F.max("deep"), F.max("ranked"), F.collect_set(special)).first()
+    # Documents are told apart by a filter that parses and measures them once more; collections of plain ones need none.
+    apart = F.col("collection").isin(mixed) if 0 < len(mixed) <= SPLIT_COLLECTIONS else None
 
     def chain(docs: DataFrame, depth: int, ranked: bool) -> DataFrame:
         return _Chain(options, raw_paths, extended_json, ranked, markers or ranked).run(docs, depth)
 
     kept = ["collection", "doc_id", "path", "pos", "depth", "type", "text", "size", "num", "kind", "solo"]
     rows = []
+
+    def of_kind(kind: Column) -> DataFrame:
+        if sum(d is not None for d in depths) == 1:
+            return documents
+        if apart is None:
+            return documents.where(kind)
+        return documents.where(F.coalesce(~apart, F.lit(True)) | kind if kind is plain else apart & kind)
+
     for kind, depth in zip((plain, deep), depths, strict=False):
         if depth or (kind is plain and not any(depths)):
-            expanded = chain(documents.where(kind) if sum(d is not None for d in depths) > 1 else documents, depth or 1, ranked=False)
+            expanded = chain(of_kind(kind) if any(depths) else documents, depth or 1, ranked=False)
             rows.append(expanded.selectExpr(*kept, "0L as keys_refused", f"cast(kind = {CUT} as int) as depth_cut"))
     if depths[2]:
-        within = _within_budget(chain(documents.where(ranked), depths[2], ranked=True), options.max_keys_per_doc)
+        within = _within_budget(chain(of_kind(ranked), depths[2], ranked=True), options.max_keys_per_doc)
         if not markers:
             within = within.where(F.col("kind") != MARKER)
         rows.append(within.select(*kept, "keys_refused", "depth_cut"))

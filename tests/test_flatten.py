@@ -102,3 +102,11 @@ def test_raw_paths_normalise_to_wildcards(docs_of):
 
 def test_unparsable_and_null_documents_have_no_rows(docs_of):
     assert flatten_documents(docs_of("{broken", "null", {}), SMALL).count() == 0
+
+
+def test_collections_of_plain_documents_are_not_filtered_by_levels(docs_of):
+    deep = '{"a":' * 12 + "1" + "}" * 12
+    docs = docs_of(deep, {"a": 1}, collection="mixed").unionByName(docs_of({"b": 1}, {"b": {"c": 2}}, collection="plain"))
+    paths = flatten_documents(docs)
+    found = {r["collection"]: r["n"] for r in paths.groupBy("collection").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert found == {"mixed": 13, "plain": 3}
