@@ -412,6 +412,13 @@ def truncation_counters(paths: DataFrame, options: ProfileOptions = ProfileOptio
     )
 
 
+def nothing_truncated(collections: DataFrame) -> DataFrame:
+    """`truncation_counters` of collections whose documents are flattened without caps."""
+    none = [F.lit(0).cast("bigint").alias(c) for c in ("depth_truncated", "keys_truncated", "arrays_truncated")]
+    per_collection = collections.select("collection", *none)
+    return per_collection.rollup("collection").agg(*[F.sum(c).alias(c) for c in ("depth_truncated", "keys_truncated", "arrays_truncated")])
+
+
 def partial_profile(paths: DataFrame) -> DataFrame:
     """Counts that add up across disjoint sets of documents: n, num_n, num_sum, num_min, num_max.
 

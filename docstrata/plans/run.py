@@ -11,7 +11,7 @@ from docstrata.operators import describe, drift, fields, relate, reports, sampli
 from docstrata.operators.flatten import classify, flatten_documents
 from docstrata.options import ProfileOptions
 from docstrata.session import cut_lineage
-from docstrata.sources import readers, store
+from docstrata.sources import store
 
 
 @dataclass(frozen=True)
@@ -31,6 +31,15 @@ class Profile:
     options: ProfileOptions
 
 
+def _counts(documents: DataFrame) -> DataFrame:
+    """Per collection, in one look: documents, those that did not parse, those that have path rows."""
+    whole = documents.withColumn("s", F.expr("schema_of_variant(v)")).withColumn("first", F.expr("try_variant_get(v, '$[0]', 'variant')"))
+    with_rows = (F.startswith("s", F.lit("OBJECT<")) & (F.col("s") != "OBJECT<>")) | F.col("first").isNotNull()
+    return whole.groupBy("collection").agg(
+        F.count(F.lit(1)).alias("documents"), F.count_if(F.col("v").isNull()).alias("rejected"), F.count_if(with_rows).alias("with_rows")
+    )
+
+
 def profile_documents(
     documents: DataFrame,
     options: ProfileOptions = ProfileOptions(),
@@ -50,11 +59,12 @@ def profile_documents(
     """
     if sampled:
         documents = sampling.per_collection_sample(documents, options.sample_size)
-    rejected = cut_lineage(readers.rejected_documents(documents))
+    counted = cut_lineage(_counts(documents))
+    rejected = counted.where("rejected > 0").select("collection", "rejected", "documents")
+    totals = counted.where("documents > rejected").select("collection", (F.col("documents") - F.col("rejected")).alias("docs"))
     if "levels" not in documents.columns:
         documents = classify(documents, options)
     paths = flatten_documents(documents, options)
-    totals = cut_lineage(fields.document_counts(documents))
     profiled = fields.profile_collection(paths, totals, options)
     earlier = None if previous is None or force else store.stored_descriptions(previous)
     if earlier is not None:
@@ -63,7 +73,9 @@ def profile_documents(
         profiled = describe.apply_descriptions(profiled, answers)
     profiled = cut_lineage(profiled)
     shapes = cut_lineage(variants.variant_analysis(documents, options))
-    truncation = cut_lineage(fields.truncation_counters(paths, options))
+    capped = any(cap is not None for cap in (options.max_depth, options.max_keys_per_doc, options.max_array_sample))
+    # without caps nothing is cut, so the documents need not be expanded once more to count it
+    truncation = cut_lineage(fields.truncation_counters(paths, options)) if capped else fields.nothing_truncated(counted.where("with_rows > 0"))
     hits = fields.pii_fields(profiled).select("collection", "pii_field_count")
     run = totals.select("collection", F.col("docs").alias("sampled"), F.lit(False).alias("fallback"))
     warnings = fields.collection_warnings(run.join(hits, "collection", "left"))

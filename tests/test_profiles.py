@@ -149,3 +149,15 @@ def test_string_document_ids_order_first_seen(spark):
     found = A.profile_collection(flatten_documents(docs, SMALL), A.document_counts(docs), SMALL).first()
     assert [(t["type"], t["n"]) for t in found["types"]] == [("string", 1), ("int", 2)]
     assert [e["value"] for e in found["examples"]] == ["x", "2"]
+
+
+def test_run_without_caps_expands_documents_once(docs_of, monkeypatch):
+    from docstrata.operators import fields
+
+    docs = docs_of({"a": [1]}, "{broken", {}, collection="c").unionByName(docs_of({}, [], 5, collection="empty")).unionByName(docs_of([None], collection="l"))
+    counted = {(r[0], r[1], r[2], r[3]) for r in fields.truncation_counters(fields.flatten_documents(docs)).collect()}
+    monkeypatch.setattr(fields, "truncation_counters", None)
+    run = profile_documents(docs)
+    assert {tuple(r) for r in run.truncation.collect()} == counted == {("c", 0, 0, 0), ("l", 0, 0, 0), (None, 0, 0, 0)}
+    assert [tuple(r) for r in run.rejected.collect()] == [("c", 1, 3)]
+    assert sorted(tuple(r) for r in run.catalog.collect()) == [("c", 2), ("empty", 3), ("l", 1)]
