@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from docstrata.functions import masks, pii
 from docstrata.functions.paths import TRUNCATED, WILDCARD, path_key
-from docstrata.operators.flatten import MARKER, VALUE
+from docstrata.operators.flatten import MARKER, SPLIT_COLLECTIONS, VALUE, flatten_documents
 from docstrata.options import ProfileOptions
 from docstrata.session import cut_lineage
 
@@ -41,6 +41,34 @@ def drop_marker_paths(paths: DataFrame) -> DataFrame:
     return paths.where(~F.endswith(path, F.lit(f".{WILDCARD}")) & ~F.endswith(path, F.lit(f".{TRUNCATED}")))
 
 
+# Schema texts that do not settle which paths a document has: quoted keys, elements of several kinds, an array that may be empty.
+_UNSETTLED = "(contains(s, '`') or contains(s, 'VARIANT') or s = 'ARRAY<VOID>')"
+
+
+def field_names(documents: DataFrame) -> DataFrame:
+    """Distinct (collection, path) of the field rows of documents flattened without caps.
+
+    Documents of one schema text have the same paths, so one made-up document is flattened for each text, in which an array
+    is an object whose only key is an index. Documents whose text leaves their paths open are flattened themselves.
+    """
+    described = documents.withColumn("s", F.expr("schema_of_variant(v)"))
+    # no filter here: it would read every document twice
+    texts = cut_lineage(described.select("collection", F.expr(f"if({_UNSETTLED}, '', s)").alias("s")).distinct())
+    like = "s"
+    for pattern, made in ((r"(\w+): ", '"$1":'), ("OBJECT<", "{"), ("ARRAY<", '{"[0]":'), (">", "}"), (r":[A-Z][A-Z_ ]*(\([0-9, ]*\))?", ":0")):
+        like = F.regexp_replace(like, pattern, made)
+    made_up = texts.where("s <> ''").select("collection", F.lit(0).cast("bigint").alias("doc_id"), F.try_parse_json(like).alias("v"))
+    names = field_rows(flatten_documents(made_up)).select(*FIELD)
+    unsettled = [r[0] for r in texts.where("s = ''").select("collection").limit(SPLIT_COLLECTIONS + 1).collect()]
+    if unsettled:
+        # collections without such documents are not read again
+        if len(unsettled) <= SPLIT_COLLECTIONS:
+            described = described.where(F.coalesce(F.col("collection").isin([c for c in unsettled if c is not None]), F.lit(None in unsettled)))
+        own = described.where(_UNSETTLED).select("collection", "doc_id", "v")
+        names = names.unionByName(field_rows(flatten_documents(own)).select(*FIELD))
+    return names.distinct()
+
+
 def document_counts(documents: DataFrame) -> DataFrame:
     """Documents per collection; those that did not parse are counted by `rejected_documents` instead."""
     return documents.where("v is not null").groupBy("collection").agg(F.count(F.lit(1)).alias("docs"))

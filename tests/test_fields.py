@@ -101,3 +101,26 @@ def test_custom_patterns_reach_masks_and_hints(docs_of):
     assert shown["vendor.id"] == "a****f" and shown["other"] == "abcdef"
     hints = {r["path"]: r["hints"] for r in A.field_hints(paths, o).collect()}
     assert hints["vendor.id"] == ["vendor"] and hints["vendor"] == []
+
+
+def test_field_names_are_those_of_all_path_rows(docs_of):
+    """Names come from schema texts; texts that hide paths, and keys that look like types, must lose none."""
+    docs = docs_of(
+        {"a": 1, "STRING": "x", "OBJECT": {"ARRAY": [[1.5], []]}, "_id": True},
+        {"a": [{"b": None}, {"c": {"d": []}}, None], "e": {}},
+        {"a": [1, {"hidden": 2}]},
+        {"two words": 1, "x.y": {"z": 1}, "": [3]},
+        [], [None], [[1]], 5, "null", "{broken",
+        {"w": {"$oid": "1"}, "l": [{"$oid": "1"}, {"k": 1}]},
+        {"[0]": {"k": 1}, "d": {"D": {"e": {"f": {"g": {"h": {"i": {"j": 1}}}}}}}},
+    )
+    every = {(r["collection"], r["path"]) for r in A.field_rows(flatten_documents(docs)).select("collection", "path").collect()}
+    found = [(r["collection"], r["path"]) for r in A.field_names(docs).collect()]
+    assert len(found) == len(set(found)) and set(found) == every
+
+
+def test_field_names_flatten_one_document_per_schema_text(docs_of, monkeypatch):
+    seen = []
+    monkeypatch.setattr(A, "flatten_documents", lambda documents, *a: seen.append(documents.count()) or flatten_documents(documents, *a))
+    assert A.field_names(docs_of(*[{"a": i, "b": {"c": [str(i)]}} for i in range(50)])).count() == 3
+    assert seen == [1]

@@ -130,7 +130,7 @@ _COLLECTIONS = ("contact_docs", "order_docs", "mixed_docs", "events_v1", "event_
 sets as (select collection as name, list(path) as paths from names group by 1) {_pairs_sql('sets', 0.1)}"""
 )
 def similar_collections(spark, sf):
-    found = A.field_rows(paths_of(spark, sf, *_COLLECTIONS)).select("collection", "path").distinct()
+    found = A.field_names(documents(spark, sf, *_COLLECTIONS))
     return M.similar_sets(cut_lineage(M.collection_paths(found)), 0.1).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 

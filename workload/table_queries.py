@@ -157,7 +157,7 @@ _FIELDS = f"with {O.flat(*_ALL)}, names as (select distinct collection, path fro
 
 
 def _field_names(spark, sf, *names):
-    return cut_lineage(A.field_rows(paths_of(spark, sf, *names)).select("collection", "path").distinct())
+    return cut_lineage(A.field_names(documents(spark, sf, *names)))
 
 
 def _fields(spark, sf):
