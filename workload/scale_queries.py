@@ -244,7 +244,7 @@ def update_profile(spark, sf):
     folder = f"{shared_folder(spark)}/updated-{uuid.uuid4().hex}"
 
     def save(docs):
-        fields = A.profile_collection(flatten_documents(docs, OPTIONS), A.document_counts(docs), OPTIONS)
+        fields = cut_lineage(A.profile_collection(flatten_documents(docs, OPTIONS), A.document_counts(docs), OPTIONS))
         store.update_reports(folder, {"fields": fields.select("collection", "path", "present_count")})
         store.update_schema_json(f"{folder}/schema", fields, V.variant_analysis(docs, OPTIONS))
 
