@@ -392,9 +392,12 @@ def default_descriptions(spark, sf):
 select collection, collection || ' 컬렉션이다. ' || count(*) || '개의 필드로 구성되어 있다.' as summary from fields group by 1"""
 )
 def default_summaries(spark, sf):
-    totals = A.document_counts(documents(spark, sf, *_ALL))
-    fields = profile(spark, sf, *_ALL)
-    return D.default_summaries(D.summary_inputs(fields, totals))
+    docs = documents(spark, sf, *_ALL)
+    # a summary needs no numbers, hints or examples: only types in the order of their first occurrence
+    counts = A.type_counts(flatten_documents(docs, OPTIONS))
+    listed = F.array_sort(F.collect_list(F.struct("first", "type"))).alias("types")
+    fields = cut_lineage(counts.groupBy("collection", "path").agg(listed))
+    return D.default_summaries(D.summary_inputs(fields, A.document_counts(docs)))
 
 
 @query(
