@@ -10,11 +10,14 @@ that may exceed it be ranked in pre-order.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docstrata.functions.paths import TRUNCATED, WILDCARD, normalize_path
 from docstrata.options import ProfileOptions
+from docstrata.session import cut_lineage
 
 VALUE, MARKER, CUT = 0, 1, 2
 
@@ -26,6 +29,8 @@ SPLIT_COLLECTIONS = 100
 ORDER_BITS = 60
 # Levels analysed together; more would exceed the analyzer's iteration limit.
 LEVELS_PER_STATEMENT = 4
+# Printed documents in which a key may hold more than ASCII letters, digits and underscores; values may match too.
+_ODD_KEY = r'\\|""\s*:|[^A-Za-z0-9_"][A-Za-z0-9_]*"\s*:'
 
 # Extended JSON keys that turn an object into one typed value.
 EXTENDED_TAGS = {
@@ -164,14 +169,22 @@ class _Chain:
     size are derived once, after the last level.
     """
 
-    def __init__(self, options: ProfileOptions, raw_paths: bool, extended_json: bool, ranked: bool, markers: bool):
+    def __init__(
+        self, options: ProfileOptions, raw_paths: bool, extended_json: bool, ranked: bool, markers: bool,
+        plain_keys: bool = False, leaves: bool = True,
+    ):
         self.options = options
         self.raw_paths = raw_paths
-        self.extended = extended_json
+        # Wrapper keys begin with a dollar sign.
+        self.extended = extended_json and not plain_keys
         self.ranked = ranked
         self.markers = markers
+        self.plain_keys = plain_keys
+        self.leaves = leaves or ranked
 
     def has_empty_key(self, schema: str) -> str:
+        if self.plain_keys:
+            return "false"
         # Keys print sorted, so an empty key comes first.
         return f"coalesce(startswith({schema}, 'OBJECT<``:'), false)"
 
@@ -208,21 +221,27 @@ class _Chain:
         index = "concat('[', at, ']')" if self.raw_paths else f"'{WILDCARD}'"
         index_like = "(startswith(key, '[') and key rlike '^\\\\[[0-9]+\\\\]\\\\z')"
         named = _key_segment("key") if self.raw_paths else f"if({index_like}, '{WILDCARD}', {_key_segment('key')})"
+        if self.plain_keys:
+            index_like, named = "false", "key"
         segment = f"if(key is null, {index}, {named})"
-        child_path = f"case when key = '' then path when path = '' then {segment} else concat(path, '.', {segment}) end"
+        empty = "" if self.plain_keys else "when key = '' then path "
+        child_path = f"case {empty}when path = '' then {segment} else concat(path, '.', {segment}) end"
         marker_path = f"if(path = '', '{WILDCARD}', concat(path, '.{WILDCARD}'))"
         is_open = "(startswith(es, 'OBJECT') or startswith(es, 'ARRAY'))"
         if self.extended:
             is_open = f"({is_open} and not {_is_wrapper('es')})"
         kind = str(VALUE)
+        kept = "left(es, 1) in ('O', 'A')"
         if o.max_depth is not None and depth > o.max_depth:
             # Array elements are depth-checked only when they are plain containers.
             cut = f"(key is not null or {is_open})"
             child_path = f"if({cut}, concat({child_path}, '.{TRUNCATED}'), {child_path})"
-            kind, is_open = f"if({cut}, {CUT}, {VALUE})", "false"
+            kind, kept, is_open = f"if({cut}, {CUT}, {VALUE})", cut, "false"
         child_solo = (
             f"solo and if(key is null, single, key <> '' and not {index_like}) and not {self.has_empty_key('es')}"
         )
+        if self.plain_keys:
+            child_solo = "solo and (key is not null or single)"
 
         def pick(keep: str, child: str, marker: str) -> str:
             if self.markers and depth > 1:
@@ -243,7 +262,8 @@ class _Chain:
             "open": f"step = 1 and {is_open}",
         }
         listed = ", ".join(f"{sql} as {name}" for name, sql in columns.items())
-        return f"select collection, doc_id, {listed} from ({opened})"
+        wanted = "" if self.leaves else f" where step <> 1 or {kept}"
+        return f"select collection, doc_id, {listed} from ({opened}){wanted}"
 
     def described(self, state: DataFrame) -> DataFrame:
         """Type tag, printed form and size; the values they share are read once, one step earlier."""
@@ -277,6 +297,7 @@ class _Chain:
             "coalesce(n, if(x is null, size(names), 0), 0) as size",
             f"case when kind <> {VALUE} then null when x like '$number%' then try_cast(rare as double) "
             "when d is not null then if(isnan(d), null, d) else cast(b as double) end as num",
+            f"if(kind = {VALUE} and s = 'STRING', {_get('w', 'string')}, null) as string",
         )
 
     def run(self, documents: DataFrame, levels: int) -> DataFrame:
@@ -303,23 +324,36 @@ def _let(name: str, value: str, body: str) -> str:
     return f"transform(array({value}), {name} -> {body})[0]"
 
 
+# Schema texts that do not tell how deep a document is.
+_HIDES_DEPTH = "(contains(s, '`') or contains(s, 'VARIANT'))"
+# SQL: the brackets of a schema text.
+_BRACKETS = "regexp_replace(s, '[^<>]+', '')"
+
+
+def _openings(text: str) -> str:
+    return f"length({text}) - length(translate({text}, '[{{', ''))"
+
+
+def _bracket_depth() -> str:
+    """SQL: how deep the brackets `n` of a schema text nest; never too few."""
+    nested, depth = "n", []
+    for _ in range(PLAIN_LEVELS + 1):
+        depth.append(f"cast({nested} <> '' as int)")
+        nested = f"replace({nested}, '<>', '')"
+    return f"if({nested} = '', {' + '.join(depth)}, length(n) div 2)"
+
+
 def _levels_needed(options: ProfileOptions) -> str:
     """SQL: levels needed to expand document `v`; negative if a key budget may cut it.
 
     Never too few: the depth is read off the schema text, or, where that hides something (a
     VARIANT element type, quoted keys), bounded by the number of opening brackets.
     """
-    nested, depth = "n", []
-    for _ in range(PLAIN_LEVELS + 1):
-        depth.append(f"cast({nested} <> '' as int)")
-        nested = f"replace({nested}, '<>', '')"
-    exact = f"if({nested} = '', {' + '.join(depth)}, length(n) div 2)"
-    exact = _let("n", "regexp_replace(s, '[^<>]+', '')", exact)
+    exact = _let("n", _BRACKETS, _bracket_depth())
     cap = options.max_keys_per_doc
     # The document is printed only where its text is looked at.
-    text = "cast(x as string)" if cap is None else "t"
-    opens = f"length({text}) - length(translate({text}, '[{{', ''))"
-    bound = f"if(contains(s, '`') or contains(s, 'VARIANT'), {opens}, {exact})"
+    opens = _openings("cast(x as string)" if cap is None else "t")
+    bound = f"if({_HIDES_DEPTH}, {opens}, {exact})"
     # Every row costs a separator or an opening bracket, and brings at most one marker with it.
     rows = "2 * (length(t) - length(translate(t, ',[{', ''))) + 2"
     ranked = "false" if cap is None else f"if(length(t) <= {cap}, false, {rows} > {cap})"
@@ -339,39 +373,97 @@ def classify(documents: DataFrame, options: ProfileOptions = ProfileOptions()) -
     return documents.withColumn("levels", F.expr(_levels_needed(options)))
 
 
+class Look(NamedTuple):
+    """What a look at all documents tells about expanding them, under these options or stricter depth and array caps.
+
+    depths: levels of the deepest plain, deep and ranked document, None without any; mixed: collections with deep or ranked
+    documents; plain_keys: no key holds more than ASCII letters, digits and underscores, or is empty; totals: documents per
+    collection as `document_counts` gives them, if they were asked for.
+    """
+
+    options: ProfileOptions
+    depths: tuple[int | None, int | None, int | None]
+    mixed: list[str]
+    plain_keys: bool
+    totals: DataFrame | None = None
+
+
+def look(documents: DataFrame, options: ProfileOptions = ProfileOptions(), counted: bool = False) -> Look:
+    """One aggregate over the documents. Those expanded several times need to be looked at once only, without caps.
+
+    With `counted` its rows, one per collection, are checkpointed, so that totals need no look of their own.
+    """
+    if "levels" in documents.columns or options.max_keys_per_doc is not None:
+        seen = documents if "levels" in documents.columns else classify(documents, options)
+        seen = seen.select("collection", "levels", F.lit(True).alias("odd"), F.expr("if(v is null, 0L, 1L)").alias("docs"))
+    else:
+        # Column by column: within a lambda function all of it, parsing included, would be interpreted row by row.
+        seen = documents.selectExpr("collection", "v", "schema_of_variant(v) as s")
+        seen = seen.selectExpr("collection", "s", f"if({_HIDES_DEPTH}, cast(v as string), null) as t")
+        odd = F.contains("s", F.lit("`")) | F.coalesce(F.col("t").rlike(_ODD_KEY), F.lit(False))
+        seen = seen.select("collection", "s", F.expr(_openings("t")).alias("opens"), F.coalesce(odd, F.lit(False)).alias("odd"))
+        seen = seen.groupBy("collection", "s", "opens", "odd").agg(F.count("s").alias("docs"))
+        bound = f"if(opens is null, {_let('n', _BRACKETS, _bracket_depth())}, opens)"
+        if options.max_depth is not None:
+            bound = f"least({bound}, {options.max_depth + 1})"
+        seen = seen.selectExpr("collection", f"cast(greatest(1, {bound}) as int) as levels", "odd", "docs")
+    plain, deep, ranked = _kinds()
+    deepest = [F.max(F.when(kind, F.abs("levels"))).alias(name) for name, kind in (("plain", plain), ("deep", deep), ("ranked", ranked))]
+    per_collection = seen.groupBy("collection").agg(*deepest, F.max("odd").alias("odd"), F.sum("docs").alias("docs"))
+    totals = None
+    if counted:
+        per_collection = cut_lineage(per_collection)
+        totals = per_collection.where("docs > 0").select("collection", "docs")
+    special = F.when(F.col("deep").isNotNull() | F.col("ranked").isNotNull(), F.col("collection"))
+    *depths, mixed, odd = per_collection.agg(
+        F.max("plain"), F.max("deep"), F.max("ranked"), F.collect_set(special), F.max("odd")
+    ).first()
+    return Look(options, tuple(depths), mixed, odd is False, totals)
+
+
+def _kinds() -> tuple[Column, Column, Column]:
+    levels = F.col("levels")
+    return levels.between(1, PLAIN_LEVELS), levels > PLAIN_LEVELS, levels < 0
+
+
 def flatten_documents(
     documents: DataFrame,
     options: ProfileOptions = ProfileOptions(),
     raw_paths: bool = False,
     extended_json: bool = True,
     markers: bool = False,
+    leaves: bool = True,
+    strings: bool = False,
+    seen: Look | None = None,
 ) -> DataFrame:
     """documents(collection, doc_id, v VARIANT) -> one row per path occurrence.
 
     Columns: collection, doc_id, path, pos (orders the occurrences of one path within the
     document), depth, type, text, size, num (numbers other than NaN), kind (0 value, 1
     array-element-type marker, 2 depth cut), solo (no other row of this document can have this
-    path), keys_refused, depth_cut.
+    path), keys_refused, depth_cut; with `strings` also string (text of strings alone, cheaper than text).
     Marker rows are returned only with `markers`, but always count towards the key budget.
+    Without `leaves`, rows of values that are no containers may be left out.
 
-    One aggregate over the documents (see `classify`) fixes how many levels are unrolled, so the
-    plan is as long as the deepest ordinary document and no longer.
+    One aggregate over the documents (see `look`, or `classify`) fixes how many levels are unrolled, so the
+    plan is as long as the deepest ordinary document and no longer. `seen` is its result where it is known.
     """
+    if seen is None:
+        seen = look(documents, options)
+    depths, mixed = seen.depths, seen.mixed
+    if options.max_depth is not None:
+        depths = [None if d is None else min(d, options.max_depth + 1) for d in depths]
     if "levels" not in documents.columns:
-        documents = classify(documents, options)
-    levels = F.col("levels")
-    plain, deep, ranked = levels.between(1, PLAIN_LEVELS), levels > PLAIN_LEVELS, levels < 0
-    deepest = [F.max(F.when(kind, F.abs(levels))).alias(name) for name, kind in (("plain", plain), ("deep", deep), ("ranked", ranked))]
-    per_collection = documents.groupBy("collection").agg(*deepest)
-    special = F.when(F.col("deep").isNotNull() | F.col("ranked").isNotNull(), F.col("collection"))
-    *depths, mixed = per_collection.agg(F.max("plain"), F.max("deep"), F.max("ranked"), F.collect_set(special)).first()
+        documents = classify(documents, seen.options)
+    plain, deep, ranked = _kinds()
     # Documents are told apart by a filter that parses and measures them once more; collections of plain ones need none.
     apart = F.col("collection").isin(mixed) if 0 < len(mixed) <= SPLIT_COLLECTIONS else None
 
     def chain(docs: DataFrame, depth: int, ranked: bool) -> DataFrame:
-        return _Chain(options, raw_paths, extended_json, ranked, markers or ranked).run(docs, depth)
+        return _Chain(options, raw_paths, extended_json, ranked, markers or ranked, seen.plain_keys, leaves).run(docs, depth)
 
     kept = ["collection", "doc_id", "path", "pos", "depth", "type", "text", "size", "num", "kind", "solo"]
+    kept += ["string"] if strings else []
     rows = []
 
     def of_kind(kind: Column) -> DataFrame:

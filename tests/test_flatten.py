@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from docstrata.operators import fields as A
-from docstrata.operators.flatten import MARKER, flatten_documents, normalize_wildcards
+from docstrata.operators.flatten import MARKER, flatten_documents, look, normalize_wildcards
 from docstrata.options import ProfileOptions
 
 SMALL = ProfileOptions(max_depth=4)
@@ -110,3 +110,40 @@ def test_collections_of_plain_documents_are_not_filtered_by_levels(docs_of):
     paths = flatten_documents(docs)
     found = {r["collection"]: r["n"] for r in paths.groupBy("collection").agg(F.count(F.lit(1)).alias("n")).collect()}
     assert found == {"mixed": 13, "plain": 3}
+
+
+def test_plain_keys_are_known_from_all_documents(docs_of):
+    plain = docs_of('{"a":{"b":[1,"x-y",{"c":2.5}]},"e":"","t":["a.b",1]}')
+    assert look(plain).plain_keys and look(plain).depths == (5, None, None)
+    for odd in ('{"a.b":1}', '{"t":[1,{"$x":1}]}', '{"t":[1,{"":1}]}', '{"t":[1,{"[0]":1}]}', r'{"t":[1,{"a\"b":1}]}', '{"t":[1,{"é":1}]}'):
+        assert not look(plain.unionByName(docs_of(odd))).plain_keys
+    found = rows(flatten_documents(plain), "path", "type", "solo")
+    assert found == sorted([
+        ("a", "object", True), ("a.b", "array", True), ("a.b.[*]", "int", False), ("a.b.[*]", "string", False),
+        ("a.b.[*]", "object", False), ("a.b.[*].c", "double", False), ("e", "string", True), ("t", "array", True),
+        ("t.[*]", "string", False), ("t.[*]", "int", False),
+    ])
+
+
+def test_containers_alone_give_the_same_markers_and_counters(docs_of):
+    docs = docs_of('{"a":{"b":[1,"x",[2,{"c":[]}]]},"n":null}', {"t": [[1, 2, 3], [], [None]], "s": 1}, {"a": {"b": {"c": {"d": {"e": 1}}}}})
+    capped = ProfileOptions(max_depth=3, max_array_sample=2)
+    seen = look(docs)
+    for options in (ProfileOptions(), capped):
+        whole, containers = (flatten_documents(docs, options, markers=True, leaves=leaves, seen=seen) for leaves in (True, False))
+        assert rows(containers, "path").count(("s",)) == 0
+        assert sorted(A.array_element_types(whole).collect()) == sorted(A.array_element_types(containers).collect())
+        assert A.truncation_counters(whole, options).where("collection is null").collect() == A.truncation_counters(containers, options).where("collection is null").collect()
+    assert A.truncation_counters(flatten_documents(docs, capped, leaves=False), capped).where("collection is null").first()["depth_truncated"] > 0
+
+
+def test_hints_of_texts_alone(docs_of):
+    docs = docs_of('{"mail":"a@b.example.com","n":5,"t":["1.2.3.4",7],"z":null}', {"mail": 3, "x": {"$oid": "a@b.example.com"}})
+    whole, texts = flatten_documents(docs), flatten_documents(docs, strings=True)
+    assert rows(A.field_hints(texts), "path", "hints") == rows(A.field_hints(whole), "path", "hints")
+
+
+def test_a_look_counts_the_documents_that_parse(docs_of):
+    docs = docs_of("{broken", "null", {"a": 1}, {"a": 2}).unionByName(docs_of("{broken", collection="none"))
+    seen = look(docs, counted=True)
+    assert rows(seen.totals, "collection", "docs") == rows(A.document_counts(docs), "collection", "docs") == [("c", 3)]

@@ -490,7 +490,7 @@ def pii_scan_documents(spark, sf):
 
 @query(f"with {O.flat('contact_docs')}, {O.fields()}, {O.field_hints()} select path, hints from fh_text")
 def field_hints(spark, sf):
-    rows = A.field_hints(paths_of(spark, sf, "contact_docs"), OPTIONS).where(F.size("hints") > 0)
+    rows = A.field_hints(paths_of(spark, sf, "contact_docs", strings=True), OPTIONS).where(F.size("hints") > 0)
     return rows.select("path", F.array_join("hints", ", ").alias("hints"))
 
 
@@ -501,7 +501,7 @@ from fh_text group by 1"""
 )
 def pii_fields(spark, sf):
     names = ("contact_docs", "mixed_docs", "order_docs")
-    found = A.pii_fields(A.field_hints(paths_of(spark, sf, *names), OPTIONS))
+    found = A.pii_fields(A.field_hints(paths_of(spark, sf, *names, strings=True), OPTIONS))
     return found.select("collection", F.array_join("paths", ", ").alias("paths"), "pii_field_count")
 
 
