@@ -134,7 +134,7 @@ def truncation_counters(spark, sf):
     )
 )
 def array_element_types(spark, sf):
-    rows = paths_of(spark, sf, "order_docs", "contact_docs", "deep_docs", markers=True)
+    rows = paths_of(spark, sf, "order_docs", "contact_docs", "deep_docs", markers=True, leaves=False)
     return A.array_element_types(rows).select("path", "type", "arrays", "docs")
 
 
