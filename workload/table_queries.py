@@ -19,7 +19,7 @@ from docstrata.operators import reports as T
 from docstrata.operators import sampling as S
 from docstrata.operators import tree as N
 from docstrata.operators import variants as V
-from docstrata.operators.flatten import flatten_documents
+from docstrata.operators.flatten import flatten_documents, look
 from docstrata.plans.run import profile_documents, write_profile
 from docstrata.session import cut_lineage, shared_folder
 from docstrata.sources import readers, store
@@ -428,7 +428,7 @@ union all select 'empty_docs', 'Empty collection'"""
 )
 def collection_warnings(spark, sf):
     docs = documents(spark, sf, "event_props", "contact_docs")
-    hits = A.pii_fields(A.field_hints(flatten_documents(docs, OPTIONS), OPTIONS)).select("collection", "pii_field_count")
+    hits = A.pii_fields(A.field_hints(flatten_documents(docs, OPTIONS, strings=True), OPTIONS)).select("collection", "pii_field_count")
     totals = A.document_counts(docs)
     none = totals.where("collection = 'event_props'").select(F.lit("empty_docs").alias("collection"), F.lit(0).cast("bigint").alias("docs"))
     run = totals.unionByName(none).select(
@@ -543,9 +543,10 @@ union all select 'warnings', row_number() over (order by {O.natural_key('collect
 def overview_report(spark, sf):
     docs = documents(spark, sf, "contact_docs", "deep_docs", "order_docs")
     capped = replace(OPTIONS, max_array_sample=2, max_depth=9)
-    truncation = A.truncation_counters(flatten_documents(docs, capped), capped)
-    found = A.pii_fields(A.field_hints(flatten_documents(docs, OPTIONS), OPTIONS))
-    report = T.overview_report(truncation, found, A.document_counts(docs), capped)
+    seen = look(docs, OPTIONS, counted=True)
+    truncation = A.truncation_counters(flatten_documents(docs, capped, leaves=False, seen=seen), capped)
+    found = A.pii_fields(A.field_hints(flatten_documents(docs, OPTIONS, strings=True, seen=seen), OPTIONS))
+    report = T.overview_report(truncation, found, seen.totals, capped)
     return report.withColumn("position", F.col("position").cast("bigint"))
 
 
