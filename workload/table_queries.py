@@ -271,7 +271,8 @@ qualify row_number() over (partition by collection order by present_ratio desc,
 )
 def top_fields_by_presence(spark, sf):
     docs = documents(spark, sf, "contact_docs", "order_docs")
-    fields = A.field_presence(flatten_documents(docs, OPTIONS), A.document_counts(docs), OPTIONS)
+    seen = look(docs, OPTIONS, counted=True)
+    fields = A.field_presence(flatten_documents(docs, OPTIONS, seen=seen), seen.totals, OPTIONS)
     return D.top_fields_by_presence(fields, 5).select("collection", "path", F.round("present_ratio", 6).alias("present_ratio"))
 
 
