@@ -171,7 +171,7 @@ class _Chain:
 
     def __init__(
         self, options: ProfileOptions, raw_paths: bool, extended_json: bool, ranked: bool, markers: bool,
-        plain_keys: bool = False, leaves: bool = True,
+        plain_keys: bool = False, leaves: bool = True, arrays_only: bool = False,
     ):
         self.options = options
         self.raw_paths = raw_paths
@@ -181,6 +181,7 @@ class _Chain:
         self.markers = markers
         self.plain_keys = plain_keys
         self.leaves = leaves or ranked
+        self.arrays_only = arrays_only
 
     def has_empty_key(self, schema: str) -> str:
         if self.plain_keys:
@@ -263,10 +264,20 @@ class _Chain:
         }
         listed = ", ".join(f"{sql} as {name}" for name, sql in columns.items())
         wanted = "" if self.leaves else f" where step <> 1 or {kept}"
-        return f"select collection, doc_id, {listed} from ({opened}){wanted}"
+        rows = f"select collection, doc_id, {listed} from ({opened}){wanted}"
+        # A budget counts all rows, so none is dropped before it.
+        return f"select * from ({rows}) where {self.may_hold_array()}" if self.arrays_only and not self.ranked else rows
+
+    def may_hold_array(self) -> str:
+        """SQL: is a row, or can a row below it be, an array or inside one? The schema text is read once at most."""
+        # Element types that an array's schema text hides are inside that array.
+        return "(contains(path, '[') or " + ("contains(s, 'ARRAY'))" if self.plain_keys else "s rlike 'ARRAY|\\\\[')")
 
     def described(self, state: DataFrame) -> DataFrame:
         """Type tag, printed form and size; the values they share are read once, one step earlier."""
+        if self.arrays_only and not self.ranked:
+            # The type tag would tell it too, but a filter on that takes the schema text apart many times for each row.
+            state = state.where(_in_array("startswith(s, 'ARRAY')", self.raw_paths))
         key = _extended_key("s") if self.extended else "cast(null as string)"
         named = f"startswith(s, 'OBJECT') and kind = {VALUE}"
         read = state.selectExpr(
@@ -319,6 +330,12 @@ class _Chain:
         return documents.sparkSession.sql(statement, documents=documents)
 
 
+def _in_array(is_array: str, raw_paths: bool) -> str:
+    """SQL: is a row an array, or does its path hold an index?"""
+    index = "path rlike '\\\\[[0-9]+\\\\]' or " if raw_paths else ""
+    return f"{index}contains(path, '{WILDCARD}') or kind = {VALUE} and {is_array}"
+
+
 def _let(name: str, value: str, body: str) -> str:
     """SQL: evaluate `value` once and use it as `name` in `body`."""
     return f"transform(array({value}), {name} -> {body})[0]"
@@ -395,7 +412,8 @@ def look(documents: DataFrame, options: ProfileOptions = ProfileOptions(), count
     """
     if "levels" in documents.columns or options.max_keys_per_doc is not None:
         seen = documents if "levels" in documents.columns else classify(documents, options)
-        seen = seen.select("collection", "levels", F.lit(True).alias("odd"), F.expr("if(v is null, 0L, 1L)").alias("docs"))
+        docs = F.expr("if(v is null, 0L, 1L)") if counted else F.lit(1)
+        seen = seen.select("collection", "levels", F.lit(True).alias("odd"), docs.alias("docs"))
     else:
         # Column by column: within a lambda function all of it, parsing included, would be interpreted row by row.
         seen = documents.selectExpr("collection", "v", "schema_of_variant(v) as s")
@@ -415,8 +433,9 @@ def look(documents: DataFrame, options: ProfileOptions = ProfileOptions(), count
         per_collection = cut_lineage(per_collection)
         totals = per_collection.where("docs > 0").select("collection", "docs")
     special = F.when(F.col("deep").isNotNull() | F.col("ranked").isNotNull(), F.col("collection"))
-    *depths, mixed, odd = per_collection.agg(
-        F.max("plain"), F.max("deep"), F.max("ranked"), F.collect_set(special), F.max("odd")
+    # Where counts are asked for, the optimizer keeps the grouping by schema text, which spares all documents the steps after it.
+    *depths, mixed, odd, _ = per_collection.agg(
+        F.max("plain"), F.max("deep"), F.max("ranked"), F.collect_set(special), F.max("odd"), F.sum("docs")
     ).first()
     return Look(options, tuple(depths), mixed, odd is False, totals)
 
@@ -434,6 +453,7 @@ def flatten_documents(
     markers: bool = False,
     leaves: bool = True,
     strings: bool = False,
+    arrays_only: bool = False,
     seen: Look | None = None,
 ) -> DataFrame:
     """documents(collection, doc_id, v VARIANT) -> one row per path occurrence.
@@ -443,7 +463,8 @@ def flatten_documents(
     array-element-type marker, 2 depth cut), solo (no other row of this document can have this
     path), keys_refused, depth_cut; with `strings` also string (text of strings alone, cheaper than text).
     Marker rows are returned only with `markers`, but always count towards the key budget.
-    Without `leaves`, rows of values that are no containers may be left out.
+    Without `leaves`, rows of values that are no containers may be left out. With `arrays_only`, only arrays and rows whose
+    path holds an index or wildcard are returned, and documents are followed no further than these lie.
 
     One aggregate over the documents (see `look`, or `classify`) fixes how many levels are unrolled, so the
     plan is as long as the deepest ordinary document and no longer. `seen` is its result where it is known.
@@ -460,7 +481,7 @@ def flatten_documents(
     apart = F.col("collection").isin(mixed) if 0 < len(mixed) <= SPLIT_COLLECTIONS else None
 
     def chain(docs: DataFrame, depth: int, ranked: bool) -> DataFrame:
-        return _Chain(options, raw_paths, extended_json, ranked, markers or ranked, seen.plain_keys, leaves).run(docs, depth)
+        return _Chain(options, raw_paths, extended_json, ranked, markers or ranked, seen.plain_keys, leaves, arrays_only).run(docs, depth)
 
     kept = ["collection", "doc_id", "path", "pos", "depth", "type", "text", "size", "num", "kind", "solo"]
     kept += ["string"] if strings else []
@@ -481,6 +502,8 @@ def flatten_documents(
         within = _within_budget(chain(of_kind(ranked), depths[2], ranked=True), options.max_keys_per_doc)
         if not markers:
             within = within.where(F.col("kind") != MARKER)
+        if arrays_only:
+            within = within.where(_in_array("type = 'array'", raw_paths))
         rows.append(within.select(*kept, "keys_refused", "depth_cut"))
     union = rows[0]
     for more in rows[1:]:

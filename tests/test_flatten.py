@@ -147,3 +147,46 @@ def test_a_look_counts_the_documents_that_parse(docs_of):
     docs = docs_of("{broken", "null", {"a": 1}, {"a": 2}).unionByName(docs_of("{broken", collection="none"))
     seen = look(docs, counted=True)
     assert rows(seen.totals, "collection", "docs") == rows(A.document_counts(docs), "collection", "docs") == [("c", 3)]
+
+
+def test_arrays_alone_are_those_of_all_rows(docs_of):
+    # An odd key in one document makes all of them take the way of odd keys.
+    plain = docs_of('{"a":{"c":[1,{"d":"x","e":[]}],"s":"ARRAY"},"o":{"ARRAY":1},"n":null,"t":["x",null]}', "[1,[2]]", {"k": 1}, "{broken", "null", "7")
+    odd = docs_of('{"x[*]y":1,"[0]":{"z":true},"q[1":{"w":1},"":[1,{"":[2]}],"w":{"$oid":"x"},"v":[{"$date":"2024-01-15T10:30:00Z"}]}', collection="odd")
+    columns = ["collection", "doc_id", "path", "pos", "depth", "type", "text", "size", "num", "kind", "solo"]
+    inside = (F.col("type") == "array") | F.contains("path", F.lit("[*]"))
+    deep = docs_of('{"a":' * 8 + "[1]" + "}" * 8, {"k": {"l": 1}})
+    cases = [
+        (plain, ProfileOptions(), True), (plain.unionByName(odd), ProfileOptions(), False), (deep, ProfileOptions(), False),
+        (plain, ProfileOptions(max_depth=2, max_array_sample=1), True), (plain.unionByName(odd), ProfileOptions(max_keys_per_doc=4), False),
+    ]
+    for docs, options, markers in cases:
+        whole = flatten_documents(docs, options, markers=markers)
+        arrays = flatten_documents(docs, options, markers=markers, arrays_only=True)
+        # As text, for missing numbers have no order.
+        expected, found = (sorted(str(tuple(r)) for r in df.select(*columns).collect()) for df in (whole.where(inside), arrays))
+        assert expected and found == expected
+    raw = flatten_documents(plain, raw_paths=True)
+    expected = rows(raw.where((F.col("type") == "array") | F.col("path").rlike(r"\[[0-9]+\]")), "doc_id", "path", "text")
+    assert expected and rows(flatten_documents(plain, raw_paths=True, arrays_only=True), "doc_id", "path", "text") == expected
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_filter_on_arrays_reads_a_schema_text_a_few_times_at_most(docs_of):
+    docs = docs_of({"a": {"b": [1, {"c": "x"}]}, "s": 1})
+    found = _plan(flatten_documents(docs, arrays_only=True).groupBy("path", "text").count())
+    filters = [line for line in found.splitlines() if "Filter " in line]
+    assert filters and max(line.count("schemaOfVariant(") for line in filters) <= 2
+    # Values outside arrays are dropped at each level, not after the last one alone.
+    assert sum("ARRAY" in line for line in filters) == look(docs).depths[0]
+
+
+def test_a_look_groups_documents_by_schema_text_first(spark, docs_of, monkeypatch):
+    plans, frame = [], type(spark.range(0))
+    monkeypatch.setattr(frame, "first", lambda self, first=frame.first: plans.append(_plan(self)) or first(self))
+    look(docs_of({"a": 1}, {"a": {"b": 2}}))
+    # By schema text, by collection, and of all collections.
+    assert sum("Aggregate [" in line for line in plans[0].splitlines()) == 3

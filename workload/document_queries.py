@@ -47,7 +47,7 @@ def normalize_wildcards_query(spark, sf):
 
 @query(O.with_flat("select path, text, count(*) as n from flat where type = 'array' or path like '%[*]%' group by 1, 2", "order_docs", "contact_docs"))
 def array_paths(spark, sf):
-    rows = paths_of(spark, sf, "order_docs", "contact_docs").where((F.col("type") == "array") | F.contains("path", F.lit(P.WILDCARD)))
+    rows = paths_of(spark, sf, "order_docs", "contact_docs", arrays_only=True)
     return rows.groupBy("path", "text").agg(F.count(F.lit(1)).alias("n"))
 
 
